@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tracemark.llm import chat_format, exact_dedup
+from tracemark.llm import chat_format, exact_dedup, jaccard_join
 from tracemark.llm.common import table
 
 
 def queries() -> dict:
     return {
         "op2_chat_format": lambda spark, d: chat_format.op2(table(spark, d, "conversations")),
+        "op3_jaccard_join": lambda spark, d: jaccard_join.op3(table(spark, d, "documents")),
         "op5_exact_dedup": lambda spark, d: exact_dedup.op5(table(spark, d, "documents")),
     }
 
@@ -16,5 +17,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op2_chat_format": chat_format.OP2_SQL,
+        "op3_jaccard_join": jaccard_join.OP3_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
     }
