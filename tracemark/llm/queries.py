@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemark.llm import chat_format, exact_dedup, jaccard_join
+from tracemark.llm import chat_format, exact_dedup, jaccard_join, mixing, warc
 from tracemark.llm.common import table
 
 
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_chat_format": lambda spark, d: chat_format.op2(table(spark, d, "conversations")),
         "op3_jaccard_join": lambda spark, d: jaccard_join.op3(table(spark, d, "documents")),
         "op5_exact_dedup": lambda spark, d: exact_dedup.op5(table(spark, d, "documents")),
+        "op8_mixing": lambda spark, d: mixing.op8(table(spark, d, "documents")),
+        "op9_warc": lambda spark, d: warc.op9(table(spark, d, "pages")),
     }
 
 
@@ -19,4 +21,6 @@ def oracle_sql() -> dict:
         "op2_chat_format": chat_format.OP2_SQL,
         "op3_jaccard_join": jaccard_join.OP3_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
+        "op8_mixing": mixing.OP8_SQL,
+        "op9_warc": warc.OP9_SQL,
     }
