@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tracemark.llm import chat_format, exact_dedup, jaccard_join, mixing, warc
+from tracemark.llm import chat_format, exact_dedup, jaccard_join, language_id, mixing, warc
 from tracemark.llm.common import table
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": lambda spark, d: language_id.op1(table(spark, d, "documents")),
         "op2_chat_format": lambda spark, d: chat_format.op2(table(spark, d, "conversations")),
         "op3_jaccard_join": lambda spark, d: jaccard_join.op3(table(spark, d, "documents")),
         "op5_exact_dedup": lambda spark, d: exact_dedup.op5(table(spark, d, "documents")),
