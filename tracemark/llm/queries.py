@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemark.llm import chat_format, exact_dedup, jaccard_join, language_id, mixing, warc
+from tracemark.llm import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, mixing, warc
 from tracemark.llm.common import table
 
 
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_language_id": lambda spark, d: language_id.op1(table(spark, d, "documents")),
         "op2_chat_format": lambda spark, d: chat_format.op2(table(spark, d, "conversations")),
         "op3_jaccard_join": lambda spark, d: jaccard_join.op3(table(spark, d, "documents")),
+        "op4_decontaminate": lambda spark, d: decontaminate.op4(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op5_exact_dedup": lambda spark, d: exact_dedup.op5(table(spark, d, "documents")),
         "op8_mixing": lambda spark, d: mixing.op8(table(spark, d, "documents")),
         "op9_warc": lambda spark, d: warc.op9(table(spark, d, "pages")),
