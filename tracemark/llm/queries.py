@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemark.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, mixing, token_counts, warc
+from tracemark.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, mixing, pii, token_counts, warc
 from tracemark.llm.common import table
 
 
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op4_decontaminate": lambda spark, d: decontaminate.op4(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op5_exact_dedup": lambda spark, d: exact_dedup.op5(table(spark, d, "documents")),
         "op6_html_extract": lambda spark, d: html_extract.op6(table(spark, d, "pages")),
+        "op7_pii": lambda spark, d: pii.op7(table(spark, d, "documents")),
         "op8_mixing": lambda spark, d: mixing.op8(table(spark, d, "documents")),
         "op9_warc": lambda spark, d: warc.op9(table(spark, d, "pages")),
         "op10_token_counts": lambda spark, d: token_counts.op10(table(spark, d, "documents")),
