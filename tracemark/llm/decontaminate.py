@@ -20,37 +20,36 @@ UNITS = ("km", "m", "cm", "mm", "mi", "miles", "kg", "g", "mg", "lb", "lbs", "to
          "minutes", "minute", "min", "seconds", "second", "s", "days", "day", "weeks", "years", "year", "dollars", "euros", "cents", "percent",
          "mph", "kmh", "meters", "metres", "feet", "inches", "degrees")
 SEPARATORS = rf"(?:[^\p{{L}}\p{{N}}.,{NUM}{UNIT}{NAME}]|(?<!\p{{N}})[.,]|[.,](?!\p{{N}}))+"
+BETWEEN = rf"[^\p{{L}}{NUM}{UNIT}{NAME}]+"  # once all numbers are placeholders
 
 
 def split_words(text: Column) -> Column:
     """Words of letters and digits; a number keeps its inner points and commas, and letters after digits are a word."""
     spaced = F.regexp_replace(text, r"(?<=\p{N})(?=\p{L})", " ")
-    return F.filter(F.split(spaced, SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(spaced, SEPARATORS), "")
 
 
 def canonical_words(text: Column) -> Column:
-    """The same words with placeholders, the others in lower case."""
-    t = F.regexp_replace(text, f"[{NUM}{UNIT}{NAME}]", " ")
-    t = F.regexp_replace(t, r"(?<=\p{N})(?=\p{L})", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{N},;:] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME)
-    t = F.regexp_replace(t, r"\p{N}+(?:[.,]\p{N}+)*", NUM)
-    t = F.regexp_replace(t, rf"(?<={NUM} )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", UNIT)
-    return F.filter(F.split(F.lower(t), SEPARATORS), lambda w: w != "")
+    """The same words with placeholders, the others in lower case. Texts without digits, most of them, take a short way."""
+    held = text.contains(NUM) | text.contains(UNIT) | text.contains(NAME)
+    text = F.when(held, F.regexp_replace(text, f"[{NUM}{UNIT}{NAME}]", " ")).otherwise(text)
+    # a capital is looked for first, and only then what stands before it
+    named = F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll}\p{N},;:] .)\p{Ll}+(?![\p{L}\p{N}])", NAME)
+    spaced = F.regexp_replace(text, r"(?<=\p{N})(?=\p{L})", " ")
+    spaced = F.regexp_replace(spaced, r"\p{Lu}(?<=[\p{Ll}\p{N},;:] .)\p{Ll}+(?![\p{L}\p{N}])", NAME)
+    numbers = F.regexp_replace(spaced, r"\p{N}+(?:[.,]\p{N}+)*", NUM)
+    units = F.regexp_replace(numbers, rf"(?<={NUM} )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", UNIT)
+    return F.array_remove(F.split(F.lower(F.when(text.rlike(r"\p{N}"), units).otherwise(named)), BETWEEN), "")
 
 
 def is_slot(word: Column) -> Column:
     return word.isin(NUM, UNIT, NAME)
 
 
-def _windows(words: str, hashes: str, size: int) -> Column:
+def _windows(hashes: str, size: int) -> Column:
     """Of every window of size words its hash, in order; none if there are fewer words."""
-    spots = F.sequence(F.lit(0), F.size(words) - size)
-    return F.when(F.size(words) >= size, F.transform(spots, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(size)])))
-
-
-def _with_hashes(df: DataFrame, text: Column) -> DataFrame:
-    df = df.withColumn("words", canonical_words(text))
-    return df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    spots = F.sequence(F.lit(1), F.size(hashes) - (size - 1))
+    return F.when(F.size(hashes) >= size, F.transform(spots, lambda i: F.xxhash64(F.slice(hashes, i, size))))
 
 
 def benchmark_windows(bench: DataFrame, item_col: str, text_col: str, window: int, min_literals: int) -> DataFrame:
@@ -66,8 +65,7 @@ def benchmark_windows(bench: DataFrame, item_col: str, text_col: str, window: in
     at = F.sequence(F.lit(0), F.when(F.col("variant") == 1, 0).otherwise(F.size("words") - F.col("size")))
     rows = both.withColumn("at", F.explode(at)).withColumn("part", F.slice("hashes", F.col("at") + 1, F.col("size")))
     literals = F.size(F.filter(F.slice("words", F.col("at") + 1, F.col("size")), lambda w: ~is_slot(w)))
-    by_size = F.coalesce(*[F.when(F.col("size") == s, F.xxhash64(*[F.get("part", F.lit(k)) for k in range(s)])) for s in range(1, window + 1)])
-    rows = rows.filter(literals >= min_literals).select("item_id", "at", "size", by_size.alias("h"))
+    rows = rows.filter(literals >= min_literals).select("item_id", "at", "size", F.xxhash64("part").alias("h"))
     counts = rows.groupBy("item_id").agg(F.count_distinct("at").alias("n_windows"))
     return rows.distinct().join(counts, "item_id")
 
@@ -84,11 +82,11 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     rows = rows.withColumn("tk", F.xxhash64("text"))
     marks = benchmark_windows(bench, item_col, item_text_col, window, min_literals)
     sizes = sorted(r["size"] for r in marks.select("size").distinct().collect()) or [window]
-    keyed = _with_hashes(rows, F.col("text")).select("id", "tk", "words", "hashes")
+    keyed = rows.select("id", "tk", F.transform(canonical_words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
     if len(sizes) == 1:
-        spots = keyed.select("id", "tk", F.lit(sizes[0]).alias("size"), F.posexplode(_windows("words", "hashes", sizes[0])).alias("pos", "h"))
+        spots = keyed.select("id", "tk", F.lit(sizes[0]).alias("size"), F.posexplode(_windows("hashes", sizes[0])).alias("pos", "h"))
     else:
-        all_sizes = F.array(*[F.struct(F.lit(s).alias("size"), _windows("words", "hashes", s).alias("hs")) for s in sizes])
+        all_sizes = F.array(*[F.struct(F.lit(s).alias("size"), _windows("hashes", s).alias("hs")) for s in sizes])
         spots = keyed.select("id", "tk", F.explode(all_sizes).alias("w")).select("id", "tk", F.col("w.size").alias("size"), F.posexplode("w.hs").alias("pos", "h"))
     held = F.broadcast(marks) if marks.count() <= BROADCAST_WINDOWS else marks
     hits = spots.join(held, ["h", "size"]).select("id", "tk", "item_id", "pos", "at", "size", F.col("n_windows").alias("item_windows")).distinct()
