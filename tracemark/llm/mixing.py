@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemark.llm.common import without
+from tracemark.llm.common import materialise, without
 
 BLOCKS = 4096  # of each source
 STEPS = 60
@@ -81,18 +81,21 @@ def temperature_weights(totals: DataFrame, budget: float = 1.0, target_entropy:
 
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix",
-                budget: float = 1.0, target_entropy: float | None = 0.9, max_repeats: float | None = 4.0, blocks: int = BLOCKS) -> DataFrame:
+                budget: float = 1.0, target_entropy: float | None = 0.9, max_repeats: float | None = 4.0, blocks: int = BLOCKS,
+                tokens: Column | None = None) -> DataFrame:
     """df with n_tokens, block, weight and copies, how often the row is in the mixture.
 
-    budget is in all the tokens of df. A null source is the source "". A source's whole epochs go to all its rows;
+    budget is in all the tokens of df, which are the words of text_col or, where they are counted already, tokens, a
+    non-null column of whole numbers. A null source is the source "". A source's whole epochs go to all its rows;
     in its last epoch, blocks are taken in that epoch's order while they fit in whole, then rows of the next block in
     the order of their hashes while they fit in whole. Rows without tokens fit always, and go with their block. Rows
     that repeat an id are taken together as far as their order goes; a tie of hashes falls to the smaller id, then the
     shorter text. An empty table gives an empty table. Own columns replace columns of the same names.
     """
-    df = without(df, "n_tokens", "block", "weight", "copies")
+    counted = df.withColumn("_n", words(F.col(text_col)) if tokens is None else tokens.cast("long"))
+    df = without(counted, "n_tokens", "block", "weight", "copies")
     key = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    rows = df.withColumns({"_src": key, "_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "n_tokens": words(F.col(text_col))})
+    rows = df.withColumns({"_src": key, "_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "n_tokens": F.col("_n")})
     rows = rows.withColumn("block", F.pmod(hash_number(F.lit(seed), F.lit("block"), F.col("_src"), F.col("_id")), F.lit(blocks)))
     held = rows.select("_src", "_id", "n_tokens", "block").groupBy("_src", "block").agg(F.sum("n_tokens").alias("t"))
     totals = held.groupBy(F.col("_src").alias("source")).agg(F.sum("t").alias("tokens"))
@@ -117,7 +120,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     # the decisions by block: at most `blocks` rows for a source
     out = rows.join(dealt.drop("left"), ["_src", "block"]).join(edge, ["_src", "_id", "n_tokens"], "left")
     copies = F.col("epochs") + F.when(F.col("whole") | F.coalesce("fits", F.lit(False)), 1).otherwise(0)
-    return out.withColumn("copies", copies.cast("long")).select(*df.columns, "n_tokens", "block", "weight", "copies")
+    return out.withColumn("copies", copies.cast("long")).select(*[c for c in df.columns if c != "_n"], "n_tokens", "block", "weight", "copies")
 
 
 def realise(mixed: DataFrame, seed: str = "mix") -> DataFrame:
@@ -128,7 +131,8 @@ def realise(mixed: DataFrame, seed: str = "mix") -> DataFrame:
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    return mix_sources(docs.select("doc_id", "source", "text")).select(
+    counted = materialise(docs.select("doc_id", "source", words(F.col("text")).alias("n")), "counted")
+    return mix_sources(counted, tokens=F.col("n")).select(
         "doc_id", "source", "n_tokens", "block", F.round("weight", 9).alias("weight"), "copies")
 
 
