@@ -25,7 +25,10 @@ def with_halo(df: DataFrame, before: int, after: int, size: int = BLOCK, t: str
 
 
 def neighborhood(grid: DataFrame, half_f: int = 7, half_t: int = 7) -> DataFrame:
-    """Grid with nb_max and nb_min over the box around each point, cut off at the grid's border."""
+    """Grid with nb_max and nb_min over the box around each point, cut off at the grid's border.
+
+    The grid is dense: a song has the same bins at each of its ticks. One axis is folded after the other.
+    """
     across = Window.partitionBy("song_id", "t").orderBy("f").rangeBetween(-half_f, half_f)
     rows = grid.withColumns({"_hi": F.max("db").over(across), "_lo": F.min("db").over(across)})
     along = Window.partitionBy("song_id", "f", "block").orderBy("t").rangeBetween(-half_t, half_t)
