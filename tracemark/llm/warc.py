@@ -10,6 +10,7 @@ will do.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -28,6 +29,7 @@ FIELDS = {
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
 RECORD_END = "\r\n\r\n"
+BROADCAST_GROUPS = 500_000
 FILE_RECORDS = 1000
 SMALL = 1000
 
@@ -150,8 +152,10 @@ def plan_records(records: DataFrame, order: str = "name", small: int = SMALL) ->
     Payloads are equal if their SHA-256 and lengths are. Nulls of `order` come last, and revisit any that has one.
     """
     sized = records.withColumns({"digest": F.sha1("payload"), "size": F.length("payload").cast("long"), "same": F.sha2("payload", 256)})
-    groups = sized.filter(F.col("size") >= small).groupBy("same", "size").agg(F.max(order).alias("chosen"))
-    joined = sized.join(groups, ["same", "size"], "left")
+    groups = (sized.filter(F.col("size") >= small).groupBy("same", "size").agg(F.max(order).alias("chosen"), F.count(F.lit(1)).alias("n"))
+              .filter("n > 1").drop("n"))
+    # payloads stay where they are as long as the groups are counted to be few
+    joined = sized.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, ["same", "size"], "left")
     revisit = F.col("chosen").isNotNull() & ~F.col(order).eqNullSafe(F.col("chosen"))
     return joined.withColumn("kind", F.when(revisit, "revisit").otherwise("response")).withColumn(
         "refers", F.when(revisit, F.col("chosen"))).drop("same", "chosen")
@@ -173,7 +177,7 @@ def warc_text(version: int, file: str, offset: int, url, ip, date, mime, page, p
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, small: int = SMALL) -> None:
-    """ARC files to WARC files. Payloads of UTF-8 text go through as they are; other bytes raise an error."""
+    """ARC files to WARC files, each compressed as a whole. Payloads of UTF-8 text go through as they are; other bytes raise an error."""
     records = read_arc(spark, arc_path).withColumn("page", F.col("name").cast("long"))
     planned = plan_records(records, "page", small)
     columns = ["version", "file", "offset", "url", "ip", "date", "mime", "page", "payload", "digest", "kind", "refers"]
@@ -183,10 +187,12 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, small: int = SMA
             yield pa.RecordBatch.from_arrays([pa.array([warc_text(*r) for r in zip(*[c.to_pylist() for c in batch.columns], strict=True)], pa.string())], ["value"])
 
     (planned.select(*columns).mapInArrow(run, "value string").write.option("lineSep", RECORD_END)
-     .option("maxRecordsPerFile", FILE_RECORDS).text(warc_path))
+     .option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(warc_path))
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
+    """(header, payload) of the records of a WARC file's bytes, plain or compressed."""
+    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
@@ -223,7 +229,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if some:
                     yield pa.RecordBatch.from_pylist(some, schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
     return files.mapInArrow(run, "page_id long, record_id string, record_type string, refers_to long, date string, url string, declared_bytes long, declared_digest string, payload binary")
 
 
