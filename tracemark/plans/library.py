@@ -90,7 +90,8 @@ class Library:
         hashed = files.withColumn("content_hash", F.sha2(F.coalesce("content", F.lit("").cast("binary")), 256))
         first = Window.partitionBy("content_hash").orderBy("path")
         ranked = hashed.withColumn("nth", F.row_number().over(first))
-        todo = self.plan(hashed.select("content_hash").distinct(), indexers).persist()
+        # written, not cached: what was planned and found must not change with the tables that the batch appends to
+        todo = self._keep(self.plan(hashed.select("content_hash").distinct(), indexers), f"staging/{batch}/todo")
         work = ranked.filter("nth = 1").join(todo.select("content_hash").distinct(), "content_hash", "left_semi")
         decoded = []
         for rate in sorted({x.sample_rate for x in indexers}):  # W2: decoded once for each rate
@@ -123,14 +124,21 @@ class Library:
             markers.append(due.join(counts, "song_id", "left").select(  # A21
                 "song_id", F.lit(x.name).alias("index_name"), F.lit(x.version).alias("version"), F.coalesce("n", F.lit(0)).cast("long").alias("item_count"),
                 F.current_timestamp().alias("indexed_at"), F.lit(batch).alias("batch_id")))
-        result = self._outcomes(ranked, todo, per_file, known, named).persist()
-        result.count()
+        result = self._keep(self._outcomes(ranked, todo, per_file, known, named), f"results/batch={batch}")
         if fail_before_commit:
             raise RuntimeError("stopped before the commit")
         reduce(DataFrame.unionByName, markers).coalesce(1).write.mode("append").parquet(self._path("song_indexes"))
-        todo.unpersist()
+        self._delete(f"staging/{batch}")
         return result
 
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(self._path(name))
+        return self.spark.read.schema(df.schema).parquet(self._path(name))
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def _append(self, indexer: Indexer, rows: DataFrame, batch: str) -> None:
         """Rows by version and bucket of the hash (else the song), sorted inside their files."""
         key = "hash" if "hash" in rows.columns else "song_id"
