@@ -2,10 +2,11 @@
 
 1. Equal sets fold to one class, whose representative is the smallest id.
 2. A class emits one key for each part of a partition of its tokens. A linked pair differs in fewer tokens than there
-   are non-empty parts, so it has a part in common (a set for which that cannot be said emits one more, shared key):
-   classes without a common key need never meet. Sizes are in bands, so that both sides use one number of parts.
-3. Similar classes form groups: a class joins the smallest id with which it shares a key. The other groups that its
-   keys touch are the groups that it queries.
+   are non-empty parts, so it has a known number of parts in common (a set for which that cannot be said emits one more,
+   shared key): classes with fewer common keys need never meet. Sizes are in bands, so that both sides use one number
+   of parts. Classes that share too few keys with all others together are left out, twice over.
+3. Similar classes form groups: a class joins the smallest id with which it shares a key. The other groups in which
+   it finds enough of its keys are the groups that it queries.
 4. A group is stored in blocks of a bounded number of tokens. For each block and each block of queries, the union of
    the block's tokens bounds a query's overlap with any member; only a query that the bound lets through opens the
    block and is compared with the members.
@@ -51,21 +52,23 @@ class Bands:
         return 2 * (self.low[slot + 1] - 1) * (self.den - self.num) // (self.den + self.num)
 
     def count(self, slot: int) -> int:
-        """So many parts that, for nearly every set of the slot, more than most(slot) are non-empty."""
+        """So many parts that, for nearly every set of the slot, a good deal more than most(slot) are non-empty."""
         if slot not in self.parts:
             d, n = self.most(slot), max(1, self.low[max(1, slot - 1)])
             k = d + 1
             while k < 3 * n + d:
                 q = math.exp(-n / k)
                 full, spread = k * (1 - q), math.sqrt(max(0.0, k * q * (1 - q * (1 + n / k))))
-                if full - 3 * spread >= d + 1:
+                if full - 3 * spread >= 1.15 * d + 2:
                     break
                 k += max(1, k // 50)
             self.parts[slot] = k
         return self.parts[slot]
 
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
-        out, own = [], self.band(len(tokens))
+    def keys(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, and for each a tag that tells a set's two slots apart and says how many keys of the slot a linked set
+        has in common with this one at least: tag // 2."""
+        out, tags, own = [], [], self.band(len(tokens))
         for slot in (own, own + 1):
             d = self.most(slot)
             if not d:
@@ -81,7 +84,8 @@ class Bands:
                 out.append(mix(sums[full] + mix(full.astype(U) * STEP + seed)))
                 if len(full) <= d:
                     out.append(mix(np.array([seed], U) + U(1)))
-        return np.concatenate(out) if out else np.empty(0, U)
+                tags.append(np.full(sum(map(len, out)) - sum(map(len, tags)), 2 * max(1, len(full) - d) + slot - own, np.int32))
+        return (np.concatenate(out), np.concatenate(tags)) if out else (np.empty(0, U), np.empty(0, np.int32))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -104,17 +108,17 @@ def _keys(words: int, num: int, den: int):
     def run(batches):
         bands = Bands(num, den)
         for ids, texts in _texts(batches):
-            held, owner, size = [], [], 0
+            held, size = [], 0
             for i, t in zip(ids.to_pylist(), texts, strict=True):
-                k = bands.keys(s) if len(s := shingle_set(t, words)) else np.empty(0, U)
-                held.append(k)
-                owner.append(np.full(len(k), i, np.int64))
-                size += len(k)
+                if len(s := shingle_set(t, words)):
+                    keys, tags = bands.keys(s)
+                    held.append((keys.view(np.int64), np.full(len(keys), i, np.int64), tags))
+                    size += len(keys)
                 if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(owner))], ["key", "id"])
-                    held, owner, size = [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["key", "id", "tag"])
+                    held, size = [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(owner))], ["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["key", "id", "tag"])
     return run
 
 
@@ -215,6 +219,13 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
 
 
+def _shared(keys: DataFrame) -> DataFrame:
+    """Rows of keys (key, id, tag) whose key more than one id has, with lead, the smallest of them; written."""
+    by_key = Window.partitionBy("key")
+    rows = keys.withColumns({"lead": F.min("id").over(by_key), "last": F.max("id").over(by_key)})
+    return materialise(rows.filter("lead < last").select("key", "id", "tag", "lead"), "shared")
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                        threshold: tuple[int, int] = (80, 100), block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(id, n_shingles, component_id) for every row of df.
@@ -235,20 +246,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     copies = (members.filter("n > 0 and id is not null").groupBy("id")
               .agg(F.bool_or(F.col("id") == F.col("rep")).alias("first")).filter("not first").select("id"))
     named = docs.filter("id is not null and text is not null")
-    keys = _only(named, copies, "left_anti").mapInArrow(_keys(words, num, den), "key long, id long")
-    by_key = Window.partitionBy("key")
-    shared = materialise(
-        keys.withColumns({"lead": F.min("id").over(by_key), "last": F.max("id").over(by_key)})
-        .filter("lead < last").select("key", "id", "lead"), "shared")
+    keys = _only(named, copies, "left_anti").mapInArrow(_keys(words, num, den), "key long, id long, tag int")
+    shared = _shared(keys)
+    for _ in range(2):
+        enough = F.count(F.lit(1)).over(Window.partitionBy("id", "tag")) >= F.floor(F.col("tag") / 2)
+        before, shared = shared, _shared(shared.select("key", "id", "tag", enough.alias("enough")).filter("enough").select("key", "id", "tag"))
+        discard(before)
 
     joined = shared.groupBy("id").agg(F.min("lead").alias("g"))
     sizes = members.filter("id = rep").groupBy("id").agg(F.max("n").alias("n"))
     grouped = materialise(joined.join(sizes, "id"), "groups")  # id, g, n
-    touched = shared.select("key", "id").join(grouped.select("id", "g"), "id")
+    touched = shared.select("key", "id", "tag").join(grouped.select("id", "g"), "id")
     mixed = touched.groupBy("key").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 < g2").select("key")
     touched = materialise(touched.join(mixed, "key", "left_semi"), "touched")
-    queries = (touched.alias("q").join(touched.select("key", "g").distinct().alias("m"), "key")
-               .filter("m.g < q.g").select(F.col("q.id").alias("id"), F.col("m.g").alias("g")).distinct())
+    # (a query's keys are counted in each group of smaller name, whose turn it is to be asked)
+    queries = (touched.alias("q").join(touched.select("key", "g").distinct().alias("m"), "key").filter("m.g < q.g")
+               .groupBy(F.col("q.id").alias("id"), F.col("q.tag").alias("tag"), F.col("m.g").alias("g")).agg(F.count(F.lit(1)).alias("found"))
+               .filter(F.col("found") >= F.floor(F.col("tag") / 2)).select("id", "g").distinct())
     queries = materialise(queries.join(grouped.select("id", "n"), "id"), "queries")
     discard(touched)
     discard(shared)
