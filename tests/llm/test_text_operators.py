@@ -1,0 +1,208 @@
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tracemark.llm import chat_format as C
+from tracemark.llm import decontaminate as D
+from tracemark.llm import language_id as L
+from tracemark.llm import pii as P
+from tracemark.llm.html_extract import extract, main_text
+
+DOCS = "doc_id long, text string"
+
+
+# ---- chat format ----
+
+MESSAGES = f"conv_id long, turn int, role string, parts array<{C.PART_TYPE}>"
+
+
+def text(t):
+    return ("text", t, None, None, None, None, None)
+
+
+def test_typed_parts_round_trip(spark):
+    nasty = ["<|turn|>user\n", "<", "|end|>", "␛e<␛|", "<|", "\\### Assistant: </turn> ok", "", "é\n\n", "<|part|><|image|>"]
+    rows = [(1, 0, "user", [text("look <"), ("image", None, "s3://a.png", 28, 15, None, None), text("|> and"), ("audio", None, "b.wav", None, None, 2.1, None)]),
+            (1, 1, "assistant", [text(t) for t in nasty]), (1, 2, "tool\n<|x", [("document", None, "c.pdf", None, None, None, 3), ("video", "odd kind", None, None, None, None, None)]),
+            (1, 3, "assistant", None), (2, None, None, [text(None)]), (None, 0, "assistant", [text("null id")])]
+    out = {r["conv_id"]: r for r in C.read_back(C.format_chat(spark.createDataFrame(rows, MESSAGES))).collect()}
+    one = out[1]
+    assert [t["role"] for t in one["turns"]] == ["user", "assistant", "tool\n<|x", "assistant"]
+    assert one["turns"][1]["parts"] == nasty and one["loss_texts"] == nasty
+    assert one["turns"][0]["parts"] == ["look <", "<|image|>", "|> and", "<|audio|>"] and one["turns"][2]["parts"] == ["<|document|>", "odd kind"]
+    assert [tuple(a) for a in one["attachments"]] == [(0, "image", "s3://a.png", 4), (1, "audio", "b.wav", 53), (2, "document", "c.pdf", 768)]
+    assert out[2]["turns"][0]["parts"] == [""] and out[2]["loss_texts"] == [] and out[None]["loss_texts"] == ["null id"]
+    assert one["formatted"].count("<|turn|>") == 4
+    assert C.format_chat(spark.createDataFrame([], MESSAGES)).isEmpty()
+
+
+def test_repeated_turns_have_one_order(spark):
+    rows = [(1, 0, "user", [text(t)]) for t in "ba"]
+    a, b = (C.format_chat(spark.createDataFrame(r, MESSAGES)).first()["formatted"] for r in (rows, rows[::-1]))
+    assert a == b and a.index("a<|end|>") < a.index("b<|end|>")
+
+
+# ---- language ----
+
+WORDS = {"en": "the of and that with this from", "de": "der die und das nicht mit eine", "fr": "le la les dans pour avec une"}
+
+
+def language_rows(n=240, seed=0):
+    rng = np.random.default_rng(seed)
+    return [(i, " ".join(rng.choice(WORDS[lang].split(), rng.integers(1, 40))), lang) for i in range(n) for lang in [list(WORDS)[i % 3]]]
+
+
+def test_language_held_out(spark):
+    df = spark.createDataFrame(language_rows(), "doc_id long, text string, lang string")
+    model = L.train(df.filter("doc_id % 4 <> 1"))
+    got = L.detect(df.filter("doc_id % 4 = 1").withColumn("score", F.lit("clash")), model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got) and all(0 <= r["score"] <= 1 for r in got)
+    assert 0 < np.count_nonzero(model.weights) < model.weights.size / 10 and model.temperature > 0
+    again = L.train(df.filter("doc_id % 4 <> 1"))
+    assert np.array_equal(model.weights, again.weights) and model.temperature == again.temperature
+
+
+def test_language_edge_cases(spark):
+    df = spark.createDataFrame([(1, None, "en"), (2, "", None), (3, "123 !?", "en"), (4, "the of", None), (5, "die und " * 30_000, "de"), (None, "der", None)], "doc_id long, text string, lang string")
+    model = L.train(spark.createDataFrame(language_rows(), "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.detect(df, model).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == "en" and got[5][0] == got[None][0] == "de"
+    empty = df.limit(0)
+    assert L.train(empty).langs == [] and L.detect(empty, model).isEmpty() and L.op1(df.limit(0)).isEmpty()
+    none = L.train(df.filter("doc_id = 1"))
+    assert {r["lang_pred"] for r in L.detect(df, none).collect()} == {"und"}
+    flags = {r[0]: r[1] for r in df.select("doc_id", L.held_out(F.col("doc_id"))).collect()}
+    import zlib
+    assert all(flags[i] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(1, 6)) and flags[None] is False
+    assert "n/a" not in {r["doc_id"] for r in L.keep_identified(spark.createDataFrame(language_rows(60), "doc_id long, text string, lang string")).collect()}
+
+
+def test_temperature_and_ftrl():
+    rng = np.random.default_rng(0)
+    y = rng.integers(0, 3, 4000)
+    logits = rng.standard_normal((4000, 3)) + 1.5 * np.eye(3)[y]
+    t = L.fit_temperature(logits * 4, y)
+    def nll(t):
+        s = logits * 4 / t
+        return (np.log(np.exp(s).sum(1)) - s[np.arange(4000), y]).mean()
+    assert all(nll(t) <= nll(t * f) + 1e-6 for f in (0.9, 1.1))
+    rows = [(i % 2, np.array([i % 2, 5]), np.array([0.8, 0.6])) for i in range(200)]
+    w, _ = L.fit_ftrl(rows, 2)
+    assert w[0, 0] > 0 > w[0, 1] and w[1, 1] > 0 and not w[6:].any()
+
+
+# ---- decontamination ----
+
+BENCH = [(1, "A train leaves Berlin at 80 km for 3 hours and then 80 km more, how far did it go in all of that time?"),
+         (2, "Which of these rivers flows through the city that lies north of all the others named above?"), (3, "too short"), (4, None), (5, "")]
+
+
+def test_leaks(spark):
+    filler = "nothing in here is of any interest to a reader who looks for questions. "
+    item = BENCH[0][1]
+    docs = [(1, filler + item), (2, filler + item.lower().replace("berlin", "Paris").replace("80", "120").replace("3 ", "5 ")),
+            (3, filler + item.replace("80", "120", 1).replace("Berlin", "Rome")),  # 120 and 80 for one value
+            (4, filler * 3), (5, None), (6, ""), (7, BENCH[1][1].upper().replace(" ", "!! ")), (8, "too short"), (None, item), (1, item),
+            (9, "the Which of these rivers flows through the city that lies north of all"), (10, filler * 4000 + item)]
+    df = spark.createDataFrame(docs, DOCS).withColumn("item_id", F.lit("clash"))
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    got = D.leaks(df, bench).collect()
+    pairs = sorted((str(r["doc_id"]), r["item_id"]) for r in got)
+    assert pairs == sorted([("1", 1), ("1", 1), ("2", 1), ("7", 2), ("9", 2), ("10", 1), ("None", 1)]) or ("3", 1) in pairs
+    full = {r["doc_id"]: r for r in got}
+    assert full[2]["n_windows"] == full[2]["item_windows"] and full[2]["n_slots"] >= 3
+    third = full.get(3)
+    assert third is None or third["n_windows"] < third["item_windows"]
+    kept = [r["doc_id"] for r in D.decontaminate(df, bench).collect()]
+    assert 4 in kept and 5 in kept and 6 in kept and 8 in kept and 1 not in kept and 10 not in kept
+    assert D.leaks(df.limit(0), bench).isEmpty() and D.leaks(df, bench.limit(0)).isEmpty()
+
+
+def brute_leaks(docs, bench, n=8):
+    def words(t):
+        return [("#" if w[0].isdigit() else w) for w in re.findall(r"[a-z]+|[0-9]+", (t or "").lower())]
+    out = set()
+    for d, t in docs:
+        have = {tuple(words(t)[i:i + n]) for i in range(len(words(t)) - n + 1)}
+        for b, u in bench:
+            if any(tuple(words(u)[i:i + n]) in have for i in range(len(words(u)) - n + 1)):
+                out.add((d, b))
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    vocab = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "pu") for b in ("ra", "so", "ti", "vu", "xe", "zo")]
+    bench = [(i, " ".join(rng.choice(vocab, 25))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        t = list(rng.choice(vocab, rng.integers(0, 60)))
+        if i % 3 == 0:
+            u = bench[rng.integers(12)][1].split()
+            a = rng.integers(0, 10)
+            t[5:5] = u[a:a + rng.integers(4, 16)]
+        docs.append((i, " ".join(t)))
+    got = {(r["doc_id"], r["item_id"]) for r in D.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == brute_leaks(docs, bench) and got
+
+
+# ---- HTML ----
+
+def test_main_text_of_a_page():
+    body = "This is the text of the article, and it is long enough to be told from what stands around it by its words. " * 2
+    page = f"""<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{{}}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
+    <script>var a = "</p>";</script><div class="cookie-notice">We use cookies, and this is the notice of that fact.</div><!-- <p>no</p> -->
+    <article><h1>Head &eacute; &#x41;</h1><p>{body}</p><p>Short.<br>line</p><p><a href=x>Read more about all the other things</a></p><aside>Related</aside>
+    <form><input value="q"><button>Go</button></form><p>{body}<b>un<i>closed</p><table><tr><td>a</td><td>b</td></tr></table>
+    <section class="comments"><article><p>{body}</p></article></section></article><div class=sidebar><p>{body}</p></div><footer>&copy; 2020</footer></body></html>"""
+    flat = " ".join(body.split())
+    assert main_text(page) == "\n\n".join(["Head é A", flat, "Short. line", flat + " unclosed", "a b"])
+
+
+def test_main_text_without_an_article():
+    body = "It is in the nature of a page that the words of the text are many, and that those of the menu are few and far from it. " * 2
+    page = f"<body><div><a href=1>One</a> | <a href=2>Two</a></div><div>{body}</div><p>And so on.</p><div>{body}</div><div><a href=3>Terms</a> <a href=4>Imprint</a></div>"
+    assert main_text(page).split("\n\n") == [" ".join(body.split()), "And so on.", " ".join(body.split())]
+    assert main_text("<p>hello</p>") == "hello" and main_text("a < b & c") == "a < b & c"
+
+
+def test_pages_that_are_odd(spark):
+    pages = [(1, None), (2, ""), (3, "<<<>>>"), (4, "<p"), (5, "<p>x</p>" * 5000), (6, "<script>no end <p>x</p>"), (7, "<div class='a" + "x" * 1000), (8, "&nbsp; &#0; &bogus;"), (9, "<nav>menu <article><p>text of it</p></article>")]
+    df = spark.createDataFrame(pages, "page_id long, html string").withColumn("text", F.lit("clash"))
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in extract(df).collect()}
+    assert len(got) == 9 and got[1] == got[2] == ("", 0) and got[5][0].count("x") == 5000 and got[6][0] == ""
+    assert extract(df.limit(0)).isEmpty()
+
+
+# ---- personal data ----
+
+def test_surrogates_keep_form_and_reference(spark):
+    rows = [(1, "Call +1 (743) 555-3824 or +1 743 555 3824; Bob.Smith@Mail5.example.com, bob.smith@mail5.example.com; ip 10.0.0.1; card 4111 1111 1111 1111"),
+            (2, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"### 4785380592391139$$$ Mr. John Smith met Mrs. Jane Doe and Mr John Smith; Госпожа Анна Петрова; 10.0.0.1'),
+            (3, None), (4, ""), (5, "DE89 3704 0044 0532 0130 00 and 123-45-6789, version 1.2.3, 12.04.2020, no. 12345"), (6, "HEIN.19@MAIL5.EXAMPLE.COM"), (7, "hein.19@mail5.example.com"), (None, "10.0.0.1")]
+    df = spark.createDataFrame(rows, DOCS).withColumn("kinds", F.lit("clash"))
+    got = {r["doc_id"]: r for r in P.pseudonymise(df).collect()}
+    t = {i: r["text"] for i, r in got.items()}
+    a = re.match(r"Call \+1 \((\d{3})\) (\d{3})-(\d{4}) or \+1 (\d{3}) (\d{3}) (\d{4}); (\S+), (\S+); ip (\S+); card (\d{4} \d{4} \d{4} \d{4})$", t[1])
+    assert a and a.groups()[:3] == a.groups()[3:6] and a[1] + a[2] + a[3] != "7435553824"
+    assert a[7].lower() == a[8] and a[7][0].isupper() and a[8].endswith(".com") and "bob" not in a[8] and a[8].count("@") == 1
+    digits = [int(c) for c in a[10].replace(" ", "")]
+    assert sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
+    b = re.match(r'token = "([0-9a-f]{40})"### (\d{16})\$\$\$ Mr\. (\w+ \w+) met Mrs\. (\w+) \w+ and Mr (\w+ \w+); Госпожа (\w+) \w+; (\S+)$', t[2])
+    assert b and b[3] == b[5] and b[3].split()[0] in P.FIRST["latin", "m"] and b[4] in P.FIRST["latin", "f"] and b[6] in P.FIRST["cyrillic", "f"]
+    assert b[7] == a[9] == t[None] != "10.0.0.1"
+    assert t[3] is None and t[4] == "" and got[3]["n_entities"] == 0 and got[1]["kinds"] == ["card", "email", "ip", "phone"]
+    assert "3704" not in t[5] and "123-45-6789" not in t[5] and t[5].endswith(", version 1.2.3, 12.04.2020, no. 12345")
+    assert t[6].lower() == t[7] and t[6].isupper()
+    other = {r["doc_id"]: r["text"] for r in P.pseudonymise(df, key="another").collect()}
+    assert other[1] != t[1] and P.pseudonymise(df.limit(0)).isEmpty()
+
+
+def test_surrogates_stay_distinct(spark):
+    # nearly all numbers of a small space: draws must collide, and be drawn again
+    norms = [("ip", f"{i}.{j}.7.7") for i in range(1, 60) for j in range(1, 30)] + [("person", f"latin|m|n{i}") for i in range(3000)]
+    rows = P.surrogates(spark.createDataFrame(norms, "kind string, norm string")).collect()
+    assert len(rows) == len(norms) and len({(r["kind"], r["sur"]) for r in rows}) == len(norms)
+    assert not {(r["kind"], r["sur"]) for r in rows} & set(norms)
