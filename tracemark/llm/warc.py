@@ -239,11 +239,13 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     records = read_warc(spark, path)
     measured = records.select("page_id", "record_type", "refers_to", "declared_bytes", "declared_digest",
                               F.length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha"))
-    full = measured.filter("record_type = 'response'").groupBy(F.col("page_id").alias("of")).agg(F.max("bytes").alias("of_bytes"), F.max("sha").alias("of_sha"))
-    rows = measured.join(full, F.col("refers_to") == F.col("of"), "left")
-    own = F.col("record_type") == "response"
-    return rows.select("page_id", F.when(own, F.col("bytes")).otherwise(F.coalesce("of_bytes", "declared_bytes")).alias("payload_bytes"),
-                       F.when(own, F.col("sha")).otherwise(F.coalesce("of_sha", "declared_digest")).alias("payload_digest"), "record_type", "refers_to")
+    own = measured.filter("record_type = 'response'")
+    full = own.groupBy(F.col("page_id").alias("refers_to")).agg(F.max("bytes").alias("of_bytes"), F.max("sha").alias("of_sha"))
+    # only revisits are joined: the rows without a reference would all meet in one task
+    again = measured.filter("record_type <> 'response'").join(full, "refers_to", "left")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return own.withColumnsRenamed({"bytes": "payload_bytes", "sha": "payload_digest"}).select(names).unionByName(again.select(
+        "page_id", F.coalesce("of_bytes", "declared_bytes").alias("payload_bytes"), F.coalesce("of_sha", "declared_digest").alias("payload_digest"), "record_type", "refers_to"))
 
 
 def op9(pages: DataFrame) -> DataFrame:
