@@ -26,6 +26,16 @@ def offset_histogram(offsets: DataFrame) -> DataFrame:
     return offsets.groupBy("clip_id", "song_id", "offset").agg(F.count(F.lit(1)).alias("n"))
 
 
+def counted_offsets(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """J1, J2 and A1 in one pass over the index: the histogram of join_offsets, with hits, the index rows counted once for
+    each hash of a clip whatever its repeats there. Summed over a clip, n are its pairs and hits its db_hits."""
+    sent = queries.groupBy("clip_id", "hash").agg(F.collect_list("anchor_time").alias("times"))
+    found = index.select("hash", "song_id", F.col("anchor_time").alias("db_t")).join(sent, "hash")
+    pairs = found.select("clip_id", "song_id", "db_t", F.posexplode("times").alias("nth", "q_t"))
+    return pairs.groupBy("clip_id", "song_id", (F.col("db_t") - F.col("q_t")).cast("int").alias("offset")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("nth") == 0, 1).otherwise(0)).alias("hits"))
+
+
 def tolerant_bins(histogram: DataFrame, tolerance: int = 1) -> DataFrame:
     """E5: each bin with score, the sum of the bins within the tolerance."""
     near = Window.partitionBy("clip_id", "song_id").orderBy("offset").rangeBetween(-tolerance, tolerance)
@@ -33,9 +43,11 @@ def tolerant_bins(histogram: DataFrame, tolerance: int = 1) -> DataFrame:
 
 
 def best_bins(bins: DataFrame) -> DataFrame:
-    """A2: the best bin of each clip and song; ties go to the smallest offset."""
+    """A2: the best bin of each clip and song; ties go to the smallest offset. A column hits of the bins is summed."""
     best = F.min_by(F.struct("offset", "score"), F.struct(-F.col("score"), F.col("offset")))
-    return bins.groupBy("clip_id", "song_id").agg(best.alias("b")).select("clip_id", "song_id", F.col("b.offset").alias("offset_frames"), F.col("b.score").alias("aligned_matches"))
+    sums = [F.sum("hits").alias("hits")] if "hits" in bins.columns else []
+    return bins.groupBy("clip_id", "song_id").agg(best.alias("b"), *sums).select(
+        "clip_id", "song_id", F.col("b.offset").alias("offset_frames"), F.col("b.score").alias("aligned_matches"), *(["hits"] if sums else []))
 
 
 def rank_candidates(best: DataFrame, k: int = 5) -> DataFrame:
@@ -44,16 +56,11 @@ def rank_candidates(best: DataFrame, k: int = 5) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def score_candidates(queries: DataFrame, index: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    bins = tolerant_bins(offset_histogram(join_offsets(queries, index)), cfg.offset_tolerance_frames)
-    return rank_candidates(best_bins(bins), max(2, cfg.top_candidates))
-
-
 def query_stats(clips: DataFrame, queries: DataFrame, index: DataFrame) -> DataFrame:
     """A4: query_hashes (with repeats) and db_hits (index rows of the clip's distinct hashes) of all clips, 0 where none."""
     sent = queries.groupBy("clip_id").agg(F.count(F.lit(1)).alias("query_hashes"))
     # index rows are counted by hash first, so that the join has one row for each hash of a clip
-    per_hash = index.groupBy("hash").agg(F.count(F.lit(1)).alias("rows"))
+    per_hash = lookup(index, queries).groupBy("hash").agg(F.count(F.lit(1)).alias("rows"))
     hits = queries.select("clip_id", "hash").distinct().join(per_hash, "hash").groupBy("clip_id").agg(F.sum("rows").alias("db_hits"))
     return clips.select("clip_id").distinct().join(sent, "clip_id", "left").join(hits, "clip_id", "left").fillna(0, ["query_hashes", "db_hits"])
 
@@ -65,16 +72,20 @@ def match_fingerprints(clips: DataFrame, queries: DataFrame, index: DataFrame, c
     queries: (clip_id, hash, anchor_time); index: (hash, song_id, anchor_time). Without candidates the scores are 0
     and nothing matches. Offsets may be negative.
     """
-    ranked = score_candidates(queries, index, cfg)
+    bins = tolerant_bins(counted_offsets(queries, index), cfg.offset_tolerance_frames)
+    # the hits of a clip are summed beside the ranking: a second branch would read the index again
+    songs = best_bins(bins).withColumn("db_hits", F.sum("hits").over(Window.partitionBy("clip_id")))
+    ranked = rank_candidates(songs, max(2, cfg.top_candidates))
     top = F.struct("rank", "song_id", "offset_frames", "aligned_matches")
     per_clip = ranked.groupBy("clip_id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("song_id"))).alias("best_song_id"),
         F.max(F.when(F.col("rank") == 1, F.col("offset_frames"))).alias("offset_frames"),
         F.max(F.when(F.col("rank") == 1, F.col("aligned_matches"))).alias("aligned_matches"),
-        F.max(F.when(F.col("rank") == 2, F.col("aligned_matches"))).alias("runner_up_matches"),
+        F.max(F.when(F.col("rank") == 2, F.col("aligned_matches"))).alias("runner_up_matches"), F.max("db_hits").alias("db_hits"),
         F.array_sort(F.collect_list(F.when(F.col("rank") <= cfg.top_candidates, top))).alias("c"))
-    rows = query_stats(clips, queries, index).join(per_clip, "clip_id", "left")
-    rows = rows.fillna(0, ["aligned_matches", "runner_up_matches"])
+    sent = queries.groupBy("clip_id").agg(F.count(F.lit(1)).alias("query_hashes"))
+    rows = clips.select("clip_id").distinct().join(sent, "clip_id", "left").join(per_clip, "clip_id", "left")
+    rows = rows.fillna(0, ["query_hashes", "db_hits", "aligned_matches", "runner_up_matches"])
     rows = rows.withColumn("confidence", confidence_score(F.col("aligned_matches"), F.col("runner_up_matches"), cfg))
     matched = F.col("best_song_id").isNotNull() & is_match(F.col("aligned_matches"), F.col("confidence"), cfg)
     rows = rows.withColumns({"is_match": matched, "song_id": F.when(matched, F.col("best_song_id"))})
