@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemark.llm.common import materialise
+
 WINDOW = 8
 MIN_LITERALS = 5
 BROADCAST_WINDOWS = 1_000_000
@@ -90,9 +92,11 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
         spots = keyed.select("id", "tk", F.explode(all_sizes).alias("w")).select("id", "tk", F.col("w.size").alias("size"), F.posexplode("w.hs").alias("pos", "h"))
     held = F.broadcast(marks) if marks.count() <= BROADCAST_WINDOWS else marks
     hits = spots.join(held, ["h", "size"]).select("id", "tk", "item_id", "pos", "at", "size", F.col("n_windows").alias("item_windows")).distinct()
+    hits = materialise(hits, "hits")  # few rows, read twice below
 
     # the words of the documents and items that met, to compare in full and to fill the placeholders
-    met = hits.select(F.col("id").alias("mid"), F.col("tk").alias("mtk")).distinct()
+    met = materialise(hits.select(F.col("id").alias("mid"), F.col("tk").alias("mtk")).distinct(), "met")
+    met = F.broadcast(met) if met.count() <= BROADCAST_WINDOWS else met
     found = rows.join(met, rows["id"].eqNullSafe(met["mid"]) & (rows["tk"] == met["mtk"]), "left_semi").dropDuplicates(["id", "tk"])
     found = found.select(F.col("id").alias("did"), F.col("tk").alias("dtk"), canonical_words(F.col("text")).alias("dc"), split_words(F.col("text")).alias("dw"))
     items = bench.filter(F.col(item_text_col).isNotNull()).select(
