@@ -21,7 +21,7 @@ from tracemark.llm.common import without
 BUCKETS = 1 << 15
 PER_LANG = 1500
 MAX_LANGS = 1000
-MIN_SCORE = 0.4
+MIN_SCORE = 0.3
 UND = "und"
 _letters: list = []
 
