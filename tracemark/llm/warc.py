@@ -30,6 +30,7 @@ FIELDS = {
 }
 RECORD_END = "\r\n\r\n"
 BROADCAST_GROUPS = 500_000
+COMPRESSED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 FILE_RECORDS = 1000
 SMALL = 1000
 
@@ -43,6 +44,10 @@ def _unfield(value: str):
     return None if value == "-" else unquote(value)
 
 
+def _plain(data: bytes) -> bytes:
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def version_block(version: int, date: str = "19960101000000") -> bytes:
     body = f"{version} 0 Archive\n{' '.join(FIELDS[version])}\n".encode()
     fields = ["filedesc://archive.arc", "0.0.0.0", date, "text/plain"]
@@ -59,9 +64,9 @@ def arc_record(version: int, payload: bytes, url=None, ip=None, date=None, mime=
 
 
 def parse_arc(data: bytes) -> Iterator[dict]:
-    """Records of an ARC file's bytes, by the declared lengths. A header line that does not fit the declared version
+    """Records of an ARC file's bytes, plain or compressed as a whole, by the declared lengths. A header line that does not fit the declared version
     or a length that runs over the end raises ValueError: what follows could not be told apart."""
-    at, version = 0, None
+    at, version, data = 0, None, _plain(data)
     while at < len(data):
         end = data.find(b"\n", at)
         if end < 0:
@@ -119,7 +124,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 2) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     rows = pages.select(F.col("page_id").cast("string"), F.col("url").cast("string"), F.col("html").cast("string"))
-    rows.mapInArrow(run, "value string").write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows.mapInArrow(run, "value string").write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).options(**COMPRESSED).text(path)
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -141,7 +146,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                 if some:
                     yield pa.RecordBatch.from_pylist(some, schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     return files.mapInArrow(run, "file string, offset long, version int, url string, ip string, date string, mime string, name string, payload binary")
 
 
@@ -187,13 +192,12 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, small: int = SMA
             yield pa.RecordBatch.from_arrays([pa.array([warc_text(*r) for r in zip(*[c.to_pylist() for c in batch.columns], strict=True)], pa.string())], ["value"])
 
     (planned.select(*columns).mapInArrow(run, "value string").write.option("lineSep", RECORD_END)
-     .option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(warc_path))
+     .option("maxRecordsPerFile", FILE_RECORDS).options(**COMPRESSED).text(warc_path))
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
     """(header, payload) of the records of a WARC file's bytes, plain or compressed."""
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-    at = 0
+    at, data = 0, _plain(data)
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
         if end < 0 or not data.startswith(b"WARC/1.", at):
