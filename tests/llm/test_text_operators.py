@@ -120,6 +120,20 @@ def test_leaks(spark):
     assert D.leaks(df.limit(0), bench).isEmpty() and D.leaks(df, bench.limit(0)).isEmpty()
 
 
+def test_a_clash_takes_only_its_windows(spark):
+    words = [f"w{a}{b}" for a in "abcdef" for b in "ghijklmn"]
+    passage = " ".join(words[:6] + ["3"] + words[6:40] + ["3"] + words[40:])
+    twice = "so there were 3 apples and then again another 3 pears left"
+    fruit = "in the old box are 3 ripe apples and 5 green pears for all of us"
+    bench = spark.createDataFrame([(1, passage), (2, twice), (3, fruit)], "item_id long, text string")
+    docs = [(1, passage[::-1].replace("3", "4", 1)[::-1]), (2, fruit.replace("3", "4").replace("5", "4")), (3, fruit.replace("3", "5").replace("5", "7")),
+            (4, "were 3 apples and then again another 4 pears"), (5, passage)]
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["item_windows"], r["n_slots"]) for r in D.leaks(spark.createDataFrame(docs, DOCS), bench).collect()}
+    # 50 words make 43 windows; those from the 35th word on hold the edited number, those up to the 7th the first one
+    assert got.keys() == {(1, 1), (2, 3), (3, 3), (5, 1)}
+    assert got[5, 1] == (43, 43, 1) and got[1, 1] == (36, 43, 1) and got[2, 3][0] == got[2, 3][1] and got[2, 3][2] == 2
+
+
 def brute_leaks(docs, bench, n=8):
     def words(t):
         return [("#" if w[0].isdigit() else w) for w in re.findall(r"[a-z]+|[0-9]+", (t or "").lower())]

@@ -2,13 +2,14 @@
 
 Numbers, units after them and names (capitalised words inside a sentence) become typed placeholders, so that a question
 with other parameters has the same template. Windows of a template's words are hashed and joined with the windows of
-the benchmark. On the documents that match, placeholders are filled again: along one alignment, each value of the item
-must stand for one value of the document and the other way round.
+the benchmark. On the documents that match, placeholders are filled again: in a run of windows of one alignment, each value
+of the item must stand for one value of the document. A clash ends the run and takes no other windows with it, and two
+values of the item may have become the same.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemark.llm.common import materialise
@@ -76,7 +77,8 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
           item_text_col: str = "text", window: int = WINDOW, min_literals: int = MIN_LITERALS, min_windows: int = 1) -> DataFrame:
     """(id_col, text_hash, item_col, n_windows, item_windows, n_slots): one row for each document and item that it leaks.
 
-    n_windows are the item's windows found in one alignment (the best), n_slots the different placeholder values in it.
+    n_windows are the item's windows found in one run of an alignment that agrees in its values (the best), n_slots the
+    different placeholder values in it.
     Null and empty texts leak nothing. Rows with one id and different texts are told apart by text_hash; a null id is
     an id like others. Equal alignments fall to the first in the text. Empty tables give an empty table.
     """
@@ -112,13 +114,22 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     same = (F.col("a") == F.col("b")) | (first & (F.slice("a", 2, 2**30) == F.slice("b", 2, 2**30)))
     full = full.filter(same).withColumn("pairs", F.filter(F.transform("a", lambda w, i: F.when(
         is_slot(w), F.struct(w.alias("kind"), F.lower(F.get("y", i)).alias("item"), F.lower(F.get("x", i)).alias("doc")))), lambda p: p.isNotNull()))
-    line = ["id", "tk", "item_id", (F.col("pos") - F.col("at")).alias("line")]
-    lines = full.select(*line, "item_windows", "at", "pairs").groupBy("id", "tk", "item_id", "line").agg(
-        F.max("item_windows").alias("item_windows"), F.count_distinct("at").alias("n_windows"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
-    one_to_one = (F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"])))) == F.size("slots")) & (
-        F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["doc"])))) == F.size("slots"))
-    good = lines.filter(one_to_one & (F.col("n_windows") >= min_windows))
+    line = ["id", "tk", "item_id", "line"]
+    wins = full.select("id", "tk", "item_id", (F.col("pos") - F.col("at")).alias("line"), "item_windows", "at", F.array_distinct("pairs").alias("pairs"))
+    # a window that clashes in itself goes alone
+    wins = wins.filter(F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["item"])))) == F.size("pairs")).distinct()
+    wins = wins.withColumn("nth", F.dense_rank().over(Window.partitionBy(*line).orderBy("at")))
+    # the last window before each that has another value for one of its own: runs that agree begin after it
+    held = Window.partitionBy(*line, "p.kind", "p.item").orderBy("nth", "p.doc")
+    slots = wins.withColumn("p", F.explode_outer("pairs")).withColumns({"last_doc": F.lag("p.doc").over(held), "last_nth": F.lag("nth").over(held)})
+    clashes = slots.groupBy(*line, "item_windows", "nth", "pairs").agg(F.max(F.when(F.col("last_doc") != F.col("p.doc"), F.col("last_nth"))).alias("clash"))
+    so_far = Window.partitionBy(*line).orderBy("nth").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = clashes.withColumn("n", F.col("nth") - F.coalesce(F.max("clash").over(so_far), F.lit(0)))
+    runs = runs.withColumn("top", F.max(F.struct("n", (-F.col("nth")).alias("end"))).over(Window.partitionBy(*line)))
+    runs = runs.filter((F.col("nth") <= -F.col("top.end")) & (F.col("nth") > -F.col("top.end") - F.col("top.n")))
+    lines = runs.groupBy(*line).agg(F.max("item_windows").alias("item_windows"), F.max("top.n").cast("long").alias("n_windows"),
+                                    F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
+    good = lines.filter(F.col("n_windows") >= min_windows)
     best = good.groupBy("id", "tk", "item_id").agg(F.max(F.struct("n_windows", -F.col("line"), "item_windows", F.size("slots").alias("n_slots"))).alias("m"))
     return best.select(F.col("id").alias(id_col), F.col("tk").alias("text_hash"), F.col("item_id").alias(item_col), F.col("m.n_windows").alias("n_windows"),
                        F.col("m.item_windows").alias("item_windows"), F.col("m.n_slots").cast("long").alias("n_slots"))
