@@ -134,6 +134,16 @@ def test_a_clash_takes_only_its_windows(spark):
     assert got[5, 1] == (43, 43, 1) and got[1, 1] == (36, 43, 1) and got[2, 3][0] == got[2, 3][1] and got[2, 3][2] == 2
 
 
+def test_exact_copies_of_items_without_a_template(spark):
+    items = ["What is 12 times 34 plus 5?", "Berlin", "7 8 9 10 11 12 13 14 15 16", "三只猫和五只狗在花园里玩耍", "你好", "ร้านนี้มีกาแฟอร่อย", "Maria has 3 red balls"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [(i, f"and so it was, {t} and then on") for i, t in enumerate(items)]
+    docs += [(10, "and what is 12 times 34 plus 6?"), (11, "Berliners 7 8 9 10 11 12 13 15"), (12, "三只猫"), (13, "我说你好吗"), (14, "he or Maria has 4 red balls"), (15, "maria has 3 red balls")]
+    got = {(r["doc_id"], r["item_id"]): r for r in D.op4(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert got.keys() == {(i, i) for i in range(len(items))} | {(13, 4), (15, 6)}
+    assert all(r["n_windows"] == r["item_windows"] for r in got.values()) and got[2, 2]["n_windows"] == 3 and got[0, 0]["n_slots"] == 3
+
+
 def brute_leaks(docs, bench, n=8):
     def words(t):
         return [("#" if w[0].isdigit() else w) for w in re.findall(r"[a-z]+|[0-9]+", (t or "").lower())]

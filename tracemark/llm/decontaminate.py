@@ -16,6 +16,7 @@ from tracemark.llm.common import materialise
 
 WINDOW = 8
 MIN_LITERALS = 5
+SHORTEST = 3  # default of the functions; the queries search items of any length
 BROADCAST_WINDOWS = 1_000_000
 NUM, UNIT, NAME = "\ue000", "\ue001", "\ue002"
 # fixed values: unit words, as they stand after a number
@@ -23,19 +24,26 @@ UNITS = ("km", "m", "cm", "mm", "mi", "miles", "kg", "g", "mg", "lb", "lbs", "to
          "minutes", "minute", "min", "seconds", "second", "s", "days", "day", "weeks", "years", "year", "dollars", "euros", "cents", "percent",
          "mph", "kmh", "meters", "metres", "feet", "inches", "degrees")
 SEPARATORS = rf"(?:[^\p{{L}}\p{{N}}.,{NUM}{UNIT}{NAME}]|(?<!\p{{N}})[.,]|[.,](?!\p{{N}}))+"
+# scripts without spaces: each character is a word
+SPACELESS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 BETWEEN = rf"[^\p{{L}}{NUM}{UNIT}{NAME}]+"  # once all numbers are placeholders
 
 
+def _apart(text: Column) -> Column:
+    return F.when(text.rlike(SPACELESS), F.regexp_replace(text, f"({SPACELESS})", " $1 ")).otherwise(text)
+
+
 def split_words(text: Column) -> Column:
-    """Words of letters and digits; a number keeps its inner points and commas, and letters after digits are a word."""
-    spaced = F.regexp_replace(text, r"(?<=\p{N})(?=\p{L})", " ")
+    """Words of letters and digits; a number keeps its inner points and commas, and letters after digits are a word. In
+    scripts without spaces each character is a word."""
+    spaced = F.regexp_replace(_apart(text), r"(?<=\p{N})(?=\p{L})", " ")
     return F.array_remove(F.split(spaced, SEPARATORS), "")
 
 
 def canonical_words(text: Column) -> Column:
     """The same words with placeholders, the others in lower case. Texts without digits, most of them, take a short way."""
     held = text.contains(NUM) | text.contains(UNIT) | text.contains(NAME)
-    text = F.when(held, F.regexp_replace(text, f"[{NUM}{UNIT}{NAME}]", " ")).otherwise(text)
+    text = _apart(F.when(held, F.regexp_replace(text, f"[{NUM}{UNIT}{NAME}]", " ")).otherwise(text))
     # a capital is looked for first, and only then what stands before it
     named = F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll}\p{N},;:] .)\p{Ll}+(?![\p{L}\p{N}])", NAME)
     spaced = F.regexp_replace(text, r"(?<=\p{N})(?=\p{L})", " ")
@@ -55,45 +63,58 @@ def _windows(hashes: str, size: int) -> Column:
     return F.when(F.size(hashes) >= size, F.transform(spots, lambda i: F.xxhash64(F.slice(hashes, i, size))))
 
 
-def benchmark_windows(bench: DataFrame, item_col: str, text_col: str, window: int, min_literals: int) -> DataFrame:
-    """(item_id, at, size, h, n_windows) of every item. A name at an item's start cannot be told from the capital of a
-    sentence, so the first window is there in both readings. Items of fewer words than window are one window; windows
-    with fewer than min_literals words besides placeholders are left out."""
+def word_hashes(text: Column) -> Column:
+    """Of every word as it stands, but for its case, the hash."""
+    return F.transform(split_words(text), lambda w: F.xxhash64(F.lower(w)))
+
+
+def benchmark_windows(bench: DataFrame, item_col: str, text_col: str, window: int, min_literals: int, shortest: int) -> DataFrame:
+    """(item_id, ik, exact, at, size, h, n_windows) of every item; ik tells apart texts of one id. A name at an item's
+    start cannot be told from the capital of a sentence, so the first window is there in both readings. Items of fewer
+    words than window are one window. Windows with fewer than min_literals words besides placeholders are exact: they
+    have the hash of their own words, but for items of fewer words than shortest, which are left out. n_windows counts
+    the item's windows of the same kind."""
     items = bench.filter(F.col(text_col).isNotNull()).select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).distinct()
-    items = items.withColumn("words", canonical_words(F.col("text"))).filter(F.size("words") > 0)
+    items = items.withColumns({"ik": F.xxhash64("text"), "words": canonical_words(F.col("text")), "own": word_hashes(F.col("text"))}).filter(F.size("words") > 0)
     capital = F.regexp_extract("text", r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", 0) != ""
     other = items.filter(capital).withColumn("words", F.concat(F.array(F.lit(NAME)), F.slice("words", 2, 2**30)))
     both = items.withColumn("variant", F.lit(0)).unionByName(other.withColumn("variant", F.lit(1)))
     both = both.withColumns({"hashes": F.transform("words", lambda w: F.xxhash64(w)), "size": F.least(F.size("words"), F.lit(window))})
     at = F.sequence(F.lit(0), F.when(F.col("variant") == 1, 0).otherwise(F.size("words") - F.col("size")))
-    rows = both.withColumn("at", F.explode(at)).withColumn("part", F.slice("hashes", F.col("at") + 1, F.col("size")))
+    rows = both.withColumn("at", F.explode(at))
     literals = F.size(F.filter(F.slice("words", F.col("at") + 1, F.col("size")), lambda w: ~is_slot(w)))
-    rows = rows.filter(literals >= min_literals).select("item_id", "at", "size", F.xxhash64("part").alias("h"))
-    counts = rows.groupBy("item_id").agg(F.count_distinct("at").alias("n_windows"))
-    return rows.distinct().join(counts, "item_id")
+    rows = rows.withColumn("exact", literals < min_literals).filter(~F.col("exact") | (F.size("words") >= shortest))
+    part = F.slice(F.when(F.col("exact"), F.col("own")).otherwise(F.col("hashes")), F.col("at") + 1, F.col("size"))
+    rows = rows.select("item_id", "ik", "exact", "at", "size", F.xxhash64(part).alias("h")).distinct()
+    counts = rows.groupBy("ik", "exact").agg(F.count_distinct("at").alias("n_windows"))
+    return rows.join(counts, ["ik", "exact"])
 
 
 def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-          item_text_col: str = "text", window: int = WINDOW, min_literals: int = MIN_LITERALS, min_windows: int = 1) -> DataFrame:
+          item_text_col: str = "text", window: int = WINDOW, min_literals: int = MIN_LITERALS, min_windows: int = 1,
+          shortest: int = SHORTEST) -> DataFrame:
     """(id_col, text_hash, item_col, n_windows, item_windows, n_slots): one row for each document and item that it leaks.
 
     n_windows are the item's windows found in one run of an alignment that agrees in its values (the best), n_slots the
-    different placeholder values in it.
+    different placeholder values in it. Windows with fewer than min_literals words besides placeholders are found as
+    exact copies (but for case) and count by themselves; items with fewer words than shortest are then left out.
     Null and empty texts leak nothing. Rows with one id and different texts are told apart by text_hash; a null id is
     an id like others. Equal alignments fall to the first in the text. Empty tables give an empty table.
     """
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("tk", F.xxhash64("text"))
-    marks = benchmark_windows(bench, item_col, item_text_col, window, min_literals)
-    sizes = sorted(r["size"] for r in marks.select("size").distinct().collect()) or [window]
-    keyed = rows.select("id", "tk", F.transform(canonical_words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
-    if len(sizes) == 1:
-        spots = keyed.select("id", "tk", F.lit(sizes[0]).alias("size"), F.posexplode(_windows("hashes", sizes[0])).alias("pos", "h"))
+    marks = benchmark_windows(bench, item_col, item_text_col, window, min_literals, shortest)
+    kinds = sorted((r["exact"], r["size"]) for r in marks.select("exact", "size").distinct().collect()) or [(False, window)]
+    hashes = {False: F.transform(canonical_words(F.col("text")), lambda w: F.xxhash64(w)), True: word_hashes(F.col("text"))}
+    keyed = rows.select("id", "tk", *[hashes[e].alias(f"hashes_{e}") for e in sorted({e for e, _ in kinds})])
+    if len(kinds) == 1:
+        e, size = kinds[0]
+        spots = keyed.select("id", "tk", F.lit(e).alias("exact"), F.lit(size).alias("size"), F.posexplode(_windows(f"hashes_{e}", size)).alias("pos", "h"))
     else:
-        all_sizes = F.array(*[F.struct(F.lit(s).alias("size"), _windows("hashes", s).alias("hs")) for s in sizes])
-        spots = keyed.select("id", "tk", F.explode(all_sizes).alias("w")).select("id", "tk", F.col("w.size").alias("size"), F.posexplode("w.hs").alias("pos", "h"))
+        all_kinds = F.array(*[F.struct(F.lit(e).alias("exact"), F.lit(s).alias("size"), _windows(f"hashes_{e}", s).alias("hs")) for e, s in kinds])
+        spots = keyed.select("id", "tk", F.explode(all_kinds).alias("w")).select("id", "tk", F.col("w.exact").alias("exact"), F.col("w.size").alias("size"), F.posexplode("w.hs").alias("pos", "h"))
     held = F.broadcast(marks) if marks.count() <= BROADCAST_WINDOWS else marks
-    hits = spots.join(held, ["h", "size"]).select("id", "tk", "item_id", "pos", "at", "size", F.col("n_windows").alias("item_windows")).distinct()
+    hits = spots.join(held, ["h", "size", "exact"]).select("id", "tk", "item_id", "ik", "exact", "pos", "at", "size", F.col("n_windows").alias("item_windows")).distinct()
     hits = materialise(hits, "hits")  # few rows, read twice below
 
     # the words of the documents and items that met, to compare in full and to fill the placeholders
@@ -102,20 +123,22 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     found = rows.join(met, rows["id"].eqNullSafe(met["mid"]) & (rows["tk"] == met["mtk"]), "left_semi").dropDuplicates(["id", "tk"])
     found = found.select(F.col("id").alias("did"), F.col("tk").alias("dtk"), canonical_words(F.col("text")).alias("dc"), split_words(F.col("text")).alias("dw"))
     items = bench.filter(F.col(item_text_col).isNotNull()).select(
-        F.col(item_col).alias("iid"), canonical_words(F.col(item_text_col).cast("string")).alias("ic"), split_words(F.col(item_text_col).cast("string")).alias("iw")).distinct()
-    full = hits.join(found, hits["id"].eqNullSafe(found["did"]) & (hits["tk"] == found["dtk"])).join(items, F.col("item_id").eqNullSafe(F.col("iid")))
+        F.col(item_col).alias("iid"), F.xxhash64(F.col(item_text_col).cast("string")).alias("iik"), canonical_words(F.col(item_text_col).cast("string")).alias("ic"), split_words(F.col(item_text_col).cast("string")).alias("iw")).distinct()
+    full = hits.join(found, hits["id"].eqNullSafe(found["did"]) & (hits["tk"] == found["dtk"])).join(
+        items, F.col("item_id").eqNullSafe(F.col("iid")) & (F.col("ik") == F.col("iik")))
 
     def cut(words, at):
         return F.slice(words, F.col(at) + 1, F.col("size"))
     full = full.withColumns({"a": cut("dc", "pos"), "b": cut("ic", "at"), "x": cut("dw", "pos"), "y": cut("iw", "at")}).select(
-        "id", "tk", "item_id", "item_windows", "pos", "at", "a", "b", "x", "y")
+        "id", "tk", "item_id", "ik", "exact", "item_windows", "pos", "at", F.when(F.col("exact"), F.col("b")).otherwise(F.col("a")).alias("a"), "b", "x", "y")
     # equal but for a name at the item's start, which has its own reading
     first = (F.col("at") == 0) & (F.get("a", F.lit(0)) == NAME)
     same = (F.col("a") == F.col("b")) | (first & (F.slice("a", 2, 2**30) == F.slice("b", 2, 2**30)))
+    same = F.when(F.col("exact"), F.transform("x", F.lower) == F.transform("y", F.lower)).otherwise(same)
     full = full.filter(same).withColumn("pairs", F.filter(F.transform("a", lambda w, i: F.when(
         is_slot(w), F.struct(w.alias("kind"), F.lower(F.get("y", i)).alias("item"), F.lower(F.get("x", i)).alias("doc")))), lambda p: p.isNotNull()))
-    line = ["id", "tk", "item_id", "line"]
-    wins = full.select("id", "tk", "item_id", (F.col("pos") - F.col("at")).alias("line"), "item_windows", "at", F.array_distinct("pairs").alias("pairs"))
+    line = ["id", "tk", "item_id", "ik", "exact", "line"]
+    wins = full.select("id", "tk", "item_id", "ik", "exact", (F.col("pos") - F.col("at")).alias("line"), "item_windows", "at", F.array_distinct("pairs").alias("pairs"))
     # a window that clashes in itself goes alone
     wins = wins.filter(F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["item"])))) == F.size("pairs")).distinct()
     wins = wins.withColumn("nth", F.dense_rank().over(Window.partitionBy(*line).orderBy("at")))
@@ -142,4 +165,4 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
 
 def op4(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    return leaks(docs, bench).select("doc_id", "item_id", "n_windows", "item_windows", "n_slots")
+    return leaks(docs, bench, shortest=1).select("doc_id", "item_id", "n_windows", "item_windows", "n_slots")
