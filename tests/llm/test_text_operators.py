@@ -185,6 +185,17 @@ def test_main_text_of_a_page():
     assert main_text(page) == "\n\n".join(["Head é A", flat, "Short. line", flat + " unclosed", "a b"])
 
 
+def test_link_blocks_do_not_outvote_an_article():
+    link = "<p><a href=x>Read more about all of the other things here</a></p>"
+    short = ["The harbour opens at six and the first boats leave for the islands soon after that.", "Tickets are sold on board.", "In winter there are none."]
+    other = ["Satama avataan kuudelta, ja ensimmäiset laivat lähtevät saarille pian sen jälkeen. " * 3, "Liput myydään laivalla."]
+    for paragraphs in (short, other):
+        for at in range(len(paragraphs) + 1):
+            inside = "".join(f"<p>{p}</p>" for p in paragraphs[:at]) + link + "".join(f"<p>{p}</p>" for p in paragraphs[at:])
+            page = f"<body><div><a href=y>Menu</a></div><article>{inside}</article><div>Outside of it</div></body>"
+            assert main_text(page).split("\n\n") == [p.strip() for p in paragraphs]
+
+
 def test_main_text_without_an_article():
     body = "It is in the nature of a page that the words of the text are many, and that those of the menu are few and far from it. " * 2
     page = f"<body><div><a href=1>One</a> | <a href=2>Two</a></div><div>{body}</div><p>And so on.</p><div>{body}</div><div><a href=3>Terms</a> <a href=4>Imprint</a></div>"

@@ -3,7 +3,8 @@
 The first pass judges each block on its own: by its length, the share of its words that are stop words, and the share
 of its text inside links. Blocks that this leaves open, the short ones above all, then take the label of the nearest
 decided neighbours. Regions that are no article by their element or by their names (menus, forms, adverts, comments
-and so on) make no blocks at all; where a page marks an article, blocks outside of it are decided to be bad.
+and so on) make no blocks at all; where a page marks an article, blocks outside of it are decided to be bad, and those
+inside to be good but for the link-heavy ones.
 """
 
 from __future__ import annotations
@@ -145,16 +146,17 @@ def label(blocks: list[tuple[str, float, bool]]) -> list[bool]:
         stops = sum(w in STOP for w in words) / len(words) if words else 0.0
         if links > MAX_LINKS or article and not inside:
             first.append("bad")
+        elif inside:
+            first.append("good")
         elif len(text) < SHORT:
-            first.append("bad" if links and not inside else "short")
+            first.append("bad" if links else "short")
         elif stops >= STOP_HIGH and len(text) >= LONG:
             first.append("good")
-        elif stops >= STOP_LOW or inside:
+        elif stops >= STOP_LOW:
             first.append("near")
         else:
             first.append("bad" if len(text) < LONG or links else "short")
-    # nearest decided neighbours on this side of the article's border only; without any, the border decides
-    decided = [was in ("good", "bad") and (not article or blocks[j][2]) for j, was in enumerate(first)]
+    decided = [was in ("good", "bad") for was in first]
     befores, afters, last = [], [None] * len(first), None
     for j in range(len(first)):
         befores.append(last)
