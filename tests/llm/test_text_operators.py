@@ -235,6 +235,18 @@ def test_surrogates_keep_form_and_reference(spark):
     assert other[1] != t[1] and P.pseudonymise(df.limit(0)).isEmpty()
 
 
+def test_long_secrets_and_names_go_whole(spark):
+    secret = "aB3x" * 125
+    rows = [(1, f'token = "{secret}" and Dr Maria Garcia Lopez came'), (2, f"password     : '{secret}'; Mr Bo Lee, Mrs Ana Sol de Rio"),
+            (3, "Ms " + " ".join(["Ann"] * 3000) + " left"), (4, "Dr Maria Garcia Perez and Dr Maria")]
+    got = {r["doc_id"]: r["text"] for r in P.pseudonymise(spark.createDataFrame(rows, DOCS)).collect()}
+    a = re.match(r'token = "([A-Za-z0-9]{500})" and Dr (\w+) (\w+) (\w+) came$', got[1])
+    b = re.match(r"password     : '([A-Za-z0-9]{500})'; Mr (\w+) (\w+), Mrs (\w+) (\w+) de Rio$", got[2])
+    assert a and b and a[1] == b[1] != secret and "Garcia" not in got[1] and "Lopez" not in got[1] and a[3] != a[4] and a[2] in P.FIRST["latin", "n"]
+    assert got[3].startswith("Ms ") and got[3].endswith(" left") and "Ann" not in got[3] and len(got[3].split()) == 3002
+    assert re.match(r"Dr \w+ \w+ \w+ and Dr \w+$", got[4]) and got[4].split()[1:4] != got[1].split()[-4:-1]
+
+
 def test_surrogates_stay_distinct(spark):
     # nearly all numbers of a small space: draws must collide, and be drawn again
     norms = [("ip", f"{i}.{j}.7.7") for i in range(1, 60) for j in range(1, 30)] + [("person", f"latin|m|n{i}") for i in range(3000)]

@@ -39,13 +39,13 @@ SYLLABLES = {
 TITLES = "|".join((*MALE, *FEMALE, *NEUTRAL))
 # fixed values: the patterns of the types; quantifiers are possessive and bounded by what may stand beside them
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+(?![\p{L}\p{N}])"
-SECRET = r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b)\s{0,3}[=:]\s{0,3}(?:\"[^\"\s]{6,200}+\"|'[^'\s]{6,200}+')"
+SECRET = r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b)\s*+[=:]\s*+(?:\"[^\"\s]{6,}+\"|'[^'\s]{6,}+')"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 IP = r"(?<![\p{L}\p{N}.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?[\p{L}\p{N}])"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?!-?[\p{L}\p{N}])"
 PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])"
 CARD = r"(?<![\p{L}\p{N}])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])"
-PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'-]++(?: \p{{Lu}}[\p{{L}}'-]++)?"
+PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'-]++(?: \p{{Lu}}[\p{{L}}'-]++)*+"
 KINDS = (("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("ip", IP), ("ssn", SSN), ("phone", PHONE), ("card", CARD), ("person", PERSON))
 ANY = "|".join(p for _, p in KINDS)
 
@@ -123,14 +123,20 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str = KEY) -> Co
     card = F.when(F.pmod(_luhn_sum(norm), F.lit(10)) == 0, checked).otherwise(card)
     hexes = F.when(norm.rlike("^[0-9a-fA-F]+$"), _like(norm, digest, "abcdef")).otherwise(_like(norm, digest))
     parts = F.split(norm, r"\|")
+    def last_name(syllables):  # each name after the first comes from a digest of its own
+        def name(j):
+            own = F.when(j == 0, digest).otherwise(F.sha2(F.concat_ws("|", digest, j.cast("string")), 256))
+            return F.array_join(F.transform(F.sequence(F.lit(0), 2 + F.least(attempt, F.lit(6))), lambda i: F.element_at(
+                F.array(*map(F.lit, syllables)), F.pmod(F.conv(F.substr(own, i * 5 + 1, F.lit(5)), 16, 10).cast("int"), F.lit(len(syllables))) + 1)), "")
+        return name
+
     person = F
     for script, syllables in SYLLABLES.items():
-        last = F.array_join(F.transform(F.sequence(F.lit(0), 2 + F.least(attempt, F.lit(6))), lambda i: F.element_at(
-            F.array(*map(F.lit, syllables)), F.pmod(F.conv(F.substr(digest, i * 5 + 1, F.lit(5)), 16, 10).cast("int"), F.lit(len(syllables))) + 1)), "")
+        lasts = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.size(F.split(parts[2], " ")) - 2, F.lit(0))), last_name(syllables)), " ")
         for gender in "mfn":
             names = FIRST[script, gender]
             first = F.lower(F.element_at(F.array(*map(F.lit, names)), F.pmod(F.conv(F.substring(digest, 50, 6), 16, 10).cast("int"), F.lit(len(names))) + 1))
-            whole = F.when(F.instr(parts[2], " ") > 0, F.concat(first, F.lit(" "), last)).otherwise(last)
+            whole = F.when(F.instr(parts[2], " ") > 0, F.concat(first, F.lit(" "), lasts)).otherwise(lasts)
             person = person.when((parts[0] == script) & (parts[1] == gender), F.concat_ws("|", parts[0], parts[1], whole))
     return (F.when(kind == "email", email).when(kind == "secret", hexes).when(kind == "iban", _like(norm, digest, first=2))
             .when(kind == "ip", octets).when(kind == "person", person.otherwise(norm)).when(kind == "card", card)
