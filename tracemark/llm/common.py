@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,19 @@ def discard(df: DataFrame) -> None:
             hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", share: int = 1000) -> DataFrame:
+    """big joined with small, which has one row for a key, on keys without nulls; how is inner or left.
+
+    Keys that hold more than one row of big in `share` are fewer than `share`: their rows of small are broadcast, so that
+    a hot key's rows stay where they are. The others are joined by shuffle.
+    """
+    counts = materialise(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "key-counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(counts.filter(F.col("_n") > max(total // share, 1000)).select(*keys))
+    few = F.broadcast(small.join(hot, keys, "left_semi"))
+    return big.join(hot, keys, "left_anti").join(small, keys, how).unionByName(big.join(hot, keys, "left_semi").join(few, keys, how))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns of these names, whatever their case: an operator's own columns replace them."""
     low = {n.lower() for n in names}
