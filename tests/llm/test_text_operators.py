@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tracemark.llm import chat_format as C
 from tracemark.llm import decontaminate as D
 from tracemark.llm import language_id as L
-from tracemark.llm.html_extract import extract, main_text
 
 DOCS = "doc_id long, text string"
 
@@ -169,42 +168,3 @@ def test_leaks_against_brute_force(spark):
         docs.append((i, " ".join(t)))
     got = {(r["doc_id"], r["item_id"]) for r in D.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string")).collect()}
     assert got == brute_leaks(docs, bench) and got
-
-
-# ---- HTML ----
-
-def test_main_text_of_a_page():
-    body = "This is the text of the article, and it is long enough to be told from what stands around it by its words. " * 2
-    page = f"""<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{{}}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
-    <script>var a = "</p>";</script><div class="cookie-notice">We use cookies, and this is the notice of that fact.</div><!-- <p>no</p> -->
-    <article><h1>Head &eacute; &#x41;</h1><p>{body}</p><p>Short.<br>line</p><p><a href=x>Read more about all the other things</a></p><aside>Related</aside>
-    <form><input value="q"><button>Go</button></form><p>{body}<b>un<i>closed</p><table><tr><td>a</td><td>b</td></tr></table>
-    <section class="comments"><article><p>{body}</p></article></section></article><div class=sidebar><p>{body}</p></div><footer>&copy; 2020</footer></body></html>"""
-    flat = " ".join(body.split())
-    assert main_text(page) == "\n\n".join(["Head é A", flat, "Short. line", flat + " unclosed", "a b"])
-
-
-def test_link_blocks_do_not_outvote_an_article():
-    link = "<p><a href=x>Read more about all of the other things here</a></p>"
-    short = ["The harbour opens at six and the first boats leave for the islands soon after that.", "Tickets are sold on board.", "In winter there are none."]
-    other = ["Satama avataan kuudelta, ja ensimmäiset laivat lähtevät saarille pian sen jälkeen. " * 3, "Liput myydään laivalla."]
-    for paragraphs in (short, other):
-        for at in range(len(paragraphs) + 1):
-            inside = "".join(f"<p>{p}</p>" for p in paragraphs[:at]) + link + "".join(f"<p>{p}</p>" for p in paragraphs[at:])
-            page = f"<body><div><a href=y>Menu</a></div><article>{inside}</article><div>Outside of it</div></body>"
-            assert main_text(page).split("\n\n") == [p.strip() for p in paragraphs]
-
-
-def test_main_text_without_an_article():
-    body = "It is in the nature of a page that the words of the text are many, and that those of the menu are few and far from it. " * 2
-    page = f"<body><div><a href=1>One</a> | <a href=2>Two</a></div><div>{body}</div><p>And so on.</p><div>{body}</div><div><a href=3>Terms</a> <a href=4>Imprint</a></div>"
-    assert main_text(page).split("\n\n") == [" ".join(body.split()), "And so on.", " ".join(body.split())]
-    assert main_text("<p>hello</p>") == "hello" and main_text("a < b & c") == "a < b & c"
-
-
-def test_pages_that_are_odd(spark):
-    pages = [(1, None), (2, ""), (3, "<<<>>>"), (4, "<p"), (5, "<p>x</p>" * 5000), (6, "<script>no end <p>x</p>"), (7, "<div class='a" + "x" * 1000), (8, "&nbsp; &#0; &bogus;"), (9, "<nav>menu <article><p>text of it</p></article>")]
-    df = spark.createDataFrame(pages, "page_id long, html string").withColumn("text", F.lit("clash"))
-    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in extract(df).collect()}
-    assert len(got) == 9 and got[1] == got[2] == ("", 0) and got[5][0].count("x") == 5000 and got[6][0] == ""
-    assert extract(df.limit(0)).isEmpty()

@@ -2,15 +2,16 @@
 
 The first pass judges each block on its own: by its length, the share of its words that are stop words, and the share
 of its text inside links. Blocks that this leaves open, the short ones above all, then take the label of the nearest
-decided neighbours. Regions that are no article by their element or by their names (menus, forms, adverts, comments
-and so on) make no blocks at all; where a page marks an article, blocks outside of it are decided to be bad, and those
-inside to be good but for the link-heavy ones.
+decided neighbours. What the markup says is a prior to this: elements and names that stand for menus, forms, adverts,
+comments and so on make a region bad, unless the page has its text in there; where a page marks an article, and has
+its text in it, blocks outside of it are bad, and blocks inside look for neighbours inside.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,11 +22,15 @@ from tracemark.llm.common import without
 SHORT, LONG = 60, 160  # characters
 STOP_LOW, STOP_HIGH = 0.12, 0.2
 MAX_LINKS = 0.5
+KNOWN = 0.08  # share of stop words from which on they are those of the page's language
+ARTICLE = 0.25  # share of a page's text from which on an article counts
+MENU = 3  # blocks of links in a row
 
 # fixed values: elements of HTML, by what they mean here
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
-DROPPED = frozenset("head nav footer aside form button select option datalist fieldset label svg canvas object audio video map dialog menu menuitem".split())
+DROPPED = frozenset("head button select option datalist svg canvas object audio video map".split())
+REGIONS = frozenset("nav footer aside form fieldset label dialog menu menuitem".split())
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul""".split())
 SPACED = frozenset(("br", "td", "th", "img"))
@@ -33,11 +38,21 @@ SPACED = frozenset(("br", "td", "th", "img"))
 NOT_MAIN = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies
 disqus footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted related
 recommended replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget""".split())
-# fixed values: frequent words of English, German, French and Spanish
+# fixed values: other parts of such names, which say nothing; a name with any further part is not one inside an article
+NEUTRAL = frozenset("""area bar block bottom box btn button buttons center col column container content desktop div fixed form foot footnote group head icon icons
+inner item items layout left line links list main mobile mid middle module outer page panel post primary row secondary section site sticky text title top user
+right wrap wrapper""".split())
+# fixed values: frequent words of English, German, French, Spanish, Italian, Portuguese, Dutch, Polish, Russian
 STOP = frozenset("""the of and to in a is that it for was on are as with be by this from at or an not have which but
 der die und das den dem des ein eine einer einem ist im in von mit zu auf für sich nicht auch als an es war wie
 de la le les des et un une en du est que qui dans pour par au aux sur pas plus avec ce il elle se sont ou
-el los las y del se con para una por su al lo como más pero sus este no son""".split())
+el los las y del se con para una por su al lo como más pero sus este no son
+di che il per non della sono gli nel più anche dei
+os um uma não mais com foi ao dos pela
+het van een niet zijn voor aan dat ook
+nie się na do jest przez dla jak
+и в не на что он как это по но из за его был для так же от мы вы""".split())
+SENTENCE = re.compile(r"[.!?…。！？।؟]")
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -45,28 +60,32 @@ HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|d
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def off_main(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds no main text, by its kind or its names."""
-    if tag in DROPPED or tag == "header" and not in_article:
+def region(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element stands for something other than main text, by its kind or its names."""
+    if tag in REGIONS or tag == "header" and not in_article:
         return True
     if not attributes or tag in ("html", "body", "main"):
         return False
     if HIDDEN.search(attributes):
         return True
     for names in NAMES.findall(attributes):
-        for name in re.split(r"\s+", "".join(names).lower()):
-            parts = re.split(r"[-_:]+", name)
-            if not {"with", "has", "no", "without"} & set(parts) and (NOT_MAIN & set(parts) or "header" in parts and not in_article and tag != "article"):
+        for name in "".join(names).lower().split():
+            parts = set(re.split(r"[-_:\d]+", name)) - {""}
+            if {"with", "has", "no", "without"} & parts:
+                continue
+            telling = NOT_MAIN & parts or (not in_article and tag != "article" and "header" in parts)
+            if telling and (not in_article or not parts - NOT_MAIN - NEUTRAL):
                 return True
     return False
 
 
-def blocks_of(page: str) -> list[tuple[str, float, bool]]:
-    """(text, share of it in links, whether it is in an article) of every block with text, in page order."""
-    found: list[tuple[str, float, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, dropped, in an article
+def blocks_of(page: str) -> list[tuple[str, float, bool, tuple]]:
+    """(text, share of it in links, whether it is in an article, its regions from the outermost on) of every block with
+    text, in page order."""
+    found: list[tuple[str, float, bool, tuple]] = []
+    stack: list[tuple[str, bool, bool, tuple]] = []  # element, dropped, in an article, regions
     text: list[str] = []
-    linked = at = 0
+    linked = at = n_regions = 0
     links = 0
     raw_end = ""
 
@@ -74,7 +93,7 @@ def blocks_of(page: str) -> list[tuple[str, float, bool]]:
         nonlocal linked
         whole = " ".join("".join(text).split())
         if whole:
-            found.append((whole, min(1.0, linked / len(whole)), inside()))
+            found.append((whole, min(1.0, linked / len(whole)), inside(), stack[-1][3] if stack else ()))
         text.clear()
         linked = 0
 
@@ -128,8 +147,11 @@ def blocks_of(page: str) -> list[tuple[str, float, bool]]:
             continue
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
-        dropped = bool(stack) and stack[-1][1] or off_main(tag, attributes, inside())
-        stack.append((tag, dropped, inside() or tag in ("article", "main") and not dropped))
+        regions = stack[-1][3] if stack else ()
+        if region(tag, attributes, inside()):
+            n_regions += 1
+            regions += (n_regions,)
+        stack.append((tag, bool(stack) and stack[-1][1] or tag in DROPPED, inside() or tag in ("article", "main"), regions))
         links += tag == "a"
     if not raw_end:
         add(page[at:])
@@ -137,49 +159,84 @@ def blocks_of(page: str) -> list[tuple[str, float, bool]]:
     return found
 
 
-def label(blocks: list[tuple[str, float, bool]]) -> list[bool]:
-    """Which blocks are main text."""
-    article = any(b[2] for b in blocks)
-    first: list[str] = []
-    for text, links, inside in blocks:
-        words = WORD.findall(text.lower())
-        stops = sum(w in STOP for w in words) / len(words) if words else 0.0
-        if links > MAX_LINKS or article and not inside:
-            first.append("bad")
-        elif inside:
-            first.append("good")
+def first_pass(blocks: list[tuple[str, float, bool, tuple]]) -> list[str]:
+    """good, bad, near (good if in doubt) or short, of each block by itself. Where the stop words are not the page's,
+    the ends of sentences take their place."""
+    words = [WORD.findall(b[0].lower()) for b in blocks]
+    hits = [sum(w in STOP for w in ws) for ws in words]
+    plain = [i for i, b in enumerate(blocks) if b[1] <= MAX_LINKS]
+    known = sum(hits[i] for i in plain) >= KNOWN * sum(len(words[i]) for i in plain)
+    out = []
+    for (text, links, *_), ws, n in zip(blocks, words, hits, strict=True):
+        stops = n / len(ws) if ws and known else 0.0
+        if not known and SENTENCE.search(text):
+            stops = STOP_HIGH
+        if links > MAX_LINKS:
+            out.append("bad")
         elif len(text) < SHORT:
-            first.append("bad" if links else "short")
-        elif stops >= STOP_HIGH and len(text) >= LONG:
-            first.append("good")
+            out.append("bad" if links else "short")
+        elif stops >= STOP_HIGH:
+            out.append("good" if len(text) >= LONG else "near")
         elif stops >= STOP_LOW:
-            first.append("near")
+            out.append("near")
         else:
-            first.append("bad" if len(text) < LONG or links else "short")
-    decided = [was in ("good", "bad") for was in first]
-    befores, afters, last = [], [None] * len(first), None
-    for j in range(len(first)):
+            out.append("bad" if links else "short")
+    return out
+
+
+def label(blocks: list[tuple[str, float, bool, tuple]]) -> list[bool]:
+    """Which blocks are main text."""
+    first = first_pass(blocks)
+    # what a region's markup says does not hold if the region has most of the text and nothing outside could be main text
+    weight = [len(b[0]) * (1 - b[1]) for b in blocks]
+    share: dict[int, float] = {}
+    for b, w in zip(blocks, weight, strict=True):
+        for r in b[3]:
+            share[r] = share.get(r, 0.0) + w
+    void: set[int] = set()
+    off = [bool(b[3]) for b in blocks]
+    for r in sorted(share):
+        if 2 * share[r] > sum(weight) and not any(not o and (b[2] or f == "good") for b, f, o in zip(blocks, first, off, strict=True)):
+            void.add(r)
+            off = [bool(set(b[3]) - void) for b in blocks]
+    # an article counts if a good part of what looks like text is in it
+    text = [w if not o and f in ("good", "near", "short") else 0.0 for w, f, o in zip(weight, first, off, strict=True)]
+    inside = [b[2] and not o for b, o in zip(blocks, off, strict=True)]
+    article = any(inside) and sum(t for t, i in zip(text, inside, strict=True) if i) >= ARTICLE * sum(text)
+    # a link alone says little inside an article; several in a row are a menu there too
+    for heavy, run in groupby(range(len(blocks)), key=lambda i: inside[i] and blocks[i][1] > MAX_LINKS):
+        run = list(run)
+        for i in run:
+            if off[i] or article and not inside[i]:
+                first[i] = "bad"
+            elif article and first[i] == "bad" and not (heavy and len(run) >= MENU):
+                first[i] = "short"
+    places = [i for i in range(len(blocks)) if inside[i] or not article]
+    return second_pass(first, places, article)
+
+
+def second_pass(first: list[str], places: list[int], article: bool) -> list[bool]:
+    """Open blocks among places take the label of the nearest decided ones there; in an article, blocks of links are no
+    neighbours. Without any they are good. Of two different neighbours the nearer counts; near blocks and ties go with the good."""
+    good = [was == "good" for was in first]
+    decided = [first[i] == "good" or first[i] == "bad" and not article for i in places]
+    befores, last = [], None
+    for j in range(len(places)):
         befores.append(last)
         last = j if decided[j] else last
     last = None
-    for j in range(len(first) - 1, -1, -1):
-        afters[j] = last
+    for j in range(len(places) - 1, -1, -1):
+        i, before, after = places[j], befores[j], last
         last = j if decided[j] else last
-    good = []
-    for i, was in enumerate(first):
-        if was in ("good", "bad"):
-            good.append(was == "good")
+        if first[i] in ("good", "bad"):
             continue
-        before, after = befores[i], afters[i]
-        sides = [first[j] for j in (before, after) if j is not None]
-        if not sides:
-            good.append(True)  # nothing on the page tells it from main text
-        elif len(set(sides)) == 1:
-            good.append(sides[0] == "good")
-        else:  # of two different neighbours the nearer one; near-good blocks and ties go with the good
-            near_before, near_after = i - before, after - i
-            nearer = first[before] if near_before < near_after else first[after] if near_after < near_before else "good"
-            good.append(was == "near" or nearer == "good")
+        sides = {first[places[x]] for x in (before, after) if x is not None}
+        if len(sides) < 2:
+            good[i] = "bad" not in sides
+        elif first[i] == "near" or j - before == after - j:
+            good[i] = True
+        else:
+            good[i] = first[places[before if j - before < after - j else after]] == "good"
     return good
 
 
