@@ -116,45 +116,3 @@ def test_op10_by_brute_force(spark, tmp_path):
                 old = want.get(k, (0, 0, 0))
                 want[k] = (old[0] + 1, old[1] + n, old[2] + len(t))
     assert got == want
-
-
-# ---- WARC ----
-
-def test_arc_versions():
-    for version in (1, 2):
-        bodies = [b"", b"a\n\nb", b"x" * 3000, "é".encode(), b"http://x 0.0.0.0 1 text/html 3\nabc"]
-        data = W.version_block(version) + b"".join(W.arc_record(version, b, f"http://a b/{i}", "1.2.3.4", "20010203040506", None, None, i) for i, b in enumerate(bodies))
-        got = list(W.parse_arc(data))
-        assert [r["payload"] for r in got] == bodies and [r["url"] for r in got] == [f"http://a b/{i}" for i in range(5)]
-        assert [r["name"] for r in got] == ([None] * 5 if version == 1 else list("01234")) and {r["version"] for r in got} == {version}
-        with pytest.raises(ValueError, match="declared length"):
-            list(W.parse_arc(data[:-20]))
-    with pytest.raises(ValueError, match="version block"):
-        list(W.parse_arc(W.arc_record(1, b"x", "u")))
-    with pytest.raises(ValueError, match="fields"):
-        list(W.parse_arc(W.version_block(2) + W.arc_record(1, b"x", "u")))
-    assert list(W.parse_arc(b"")) == []
-    assert W.iso_date("20010203040506") == "2001-02-03T04:05:06Z" and W.iso_date("200102030405") == "2001-02-03T04:05:00Z" and W.iso_date(None) == "0000-01-01T00:00:00Z"
-
-
-def test_round_trip(spark, tmp_path):
-    big = "<p>" + "é" * 600
-    pages = [(1, "http://a/1", big), (2, None, big), (5, "http://a/5", big + "x"), (3, "u v", ""), (4, "", None), (6, "http://s", "small"), (7, "http://s", "small"), (8, "http://n", "\r\n\r\nWARC/1.0\r\n" * 90)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("size", F.lit(1))
-    got = {r["page_id"]: r for r in W.op9(df).collect()}
-    for i, _, html in pages:
-        data = (html or "").encode()
-        assert got[i]["payload_bytes"] == len(data) and got[i]["payload_digest"] == hashlib.sha1(data).hexdigest()
-    assert {i: (r["record_type"], r["refers_to"]) for i, r in got.items() if r["record_type"] == "revisit"} == {1: ("revisit", 2)}
-    assert W.op9(df.limit(0)).isEmpty()
-
-
-def test_headers_and_version_one(spark, tmp_path):
-    df = spark.createDataFrame([(1, "http://a/ü", "x" * 1200), (2, "http://b", "x" * 1200)], "page_id long, url string, html string")
-    W.write_arc(df, str(tmp_path / "arc"), version=1)
-    W.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
-    rows = W.read_warc(spark, str(tmp_path / "warc")).collect()
-    assert len(rows) == 2 and {r["url"] for r in rows} == {"http://a/ü", "http://b"} and all(r["page_id"] is None and r["record_id"].startswith("urn:uuid:") for r in rows)
-    data = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "warc").glob("part-*")))
-    heads = [h for h, _ in W.parse_warc(data)]
-    assert len({h["WARC-Record-ID"] for h in heads}) == 2 and all(h["WARC-Date"] == "1996-01-01T00:00:00Z" and h["Content-Type"] == "text/html" for h in heads)
