@@ -28,12 +28,12 @@ def normalise(text: Column, how: str = "none") -> Column:
     raise ValueError(f"unknown normalisation {how!r}")
 
 
-def _runs(rows: DataFrame, best) -> DataFrame:
-    """rows (_head, _hash, _salt, _body, _id and others) in sorted runs of equal bodies, with _run, _first (whether a row begins
+def _runs(rows: DataFrame, best, *salt: str) -> DataFrame:
+    """rows (_head, _hash, _body, _id and others) in sorted runs of equal bodies, with _run, _first (whether a row begins
     a run), and of the run _keep, _n and _sha."""
-    ranged = rows.repartitionByRange("_head", "_hash", "_salt").sortWithinPartitions("_head", "_hash", "_salt", "_body", "_id")
+    place = ["_head", "_hash", *salt]
     # these hold the range keys, so that the windows need no further shuffle
-    place = ["_head", "_hash", "_salt"]
+    ranged = rows.repartitionByRange(*place).sortWithinPartitions(*place, "_body", "_id")
     in_order = Window.partitionBy(*place).orderBy("_body", "_id")
     before = F.lag("_body").over(in_order)
     told = ranged.withColumn("_first", before.isNull() | (before != F.col("_body")))
@@ -74,15 +74,15 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         return runs.select(*[back.alias(c) if c == text_col else F.col(c) for c in names], *own)
 
     if hot.isEmpty():
-        return shown(_runs(rows.withColumn("_salt", F.lit(0)), best), "_keep", "_n", "_sha")
+        return shown(_runs(rows, best), "_keep", "_n", "_sha")
     some = F.broadcast(hot)
-    cold = shown(_runs(rows.join(some, "_hash", "left_anti").withColumn("_salt", F.lit(0)), best), "_keep", "_n", "_sha")
+    cold = shown(_runs(rows.join(some, "_hash", "left_anti"), best), "_keep", "_n", "_sha")
     dealt = rows.join(some, "_hash").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")).drop("_parts")
-    dealt = materialise(_runs(dealt, best), "dealt")
+    dealt = materialise(_runs(dealt, best, "_salt"), "dealt")
     # a row of each run: about as many as there are partitions
-    tops = dealt.filter("_first").select("_head", "_hash", F.lit(0).alias("_salt"), "_body", F.col("_keep").alias("_id"), F.struct("_salt", "_run").alias("_of"), F.col("_n").alias("_rows"))
+    tops = dealt.filter("_first").select("_head", "_hash", "_body", F.col("_keep").alias("_id"), F.struct("_salt", "_run").alias("_of"), F.col("_n").alias("_rows"))
     whole = _runs(tops, best)
-    whole = whole.withColumn("_total", F.sum("_rows").over(Window.partitionBy("_head", "_hash", "_salt", "_run")))
+    whole = whole.withColumn("_total", F.sum("_rows").over(Window.partitionBy("_head", "_hash", "_run")))
     whole = whole.select(F.col("_hash").alias("_h"), F.col("_of._salt").alias("_s"), F.col("_of._run").alias("_r"), F.col("_keep").alias("_all"), "_total")
     joined = dealt.join(F.broadcast(whole), (F.col("_hash") == F.col("_h")) & (F.col("_salt") == F.col("_s")) & (F.col("_run") == F.col("_r")))
     return cold.unionByName(shown(joined, "_all", "_total", "_sha"))
