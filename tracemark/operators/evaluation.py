@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemark.config import FingerprintConfig, MatchConfig
 from tracemark.functions.scalars import seeded_uniform, stem, track_id_from_path
 from tracemark.operators.audio import slice_seconds
+from tracemark.scratch import with_rank
 
 SWEEP = (0.0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5)
 
@@ -18,10 +19,9 @@ def matched(aligned: Column, confidence: Column, best: Column, threshold: Column
 
 
 def split_holdout(files: DataFrame) -> DataFrame:
-    """Files (path, ...) with split, by turns calibration and test in the order of paths. For file lists only: the
-    rank is global."""
-    place = F.row_number().over(Window.orderBy("path")) - 1
-    return files.withColumn("split", F.when(place % 2 == 0, "calibration").otherwise("test"))
+    """Files (path, ...) with split, by turns calibration and test in the order of paths."""
+    odd = F.col("_place") % 2 == 1
+    return with_rank(files, ["path"], "_place").withColumn("split", F.when(odd, "calibration").otherwise("test")).drop("_place")
 
 
 def guard_holdout(holdout: DataFrame, songs: DataFrame) -> tuple[DataFrame, DataFrame]:

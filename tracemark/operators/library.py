@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemark.config import Limits
 from tracemark.functions.scalars import seeded_order
+from tracemark.scratch import join_hot, with_rank
 
 SORT_FIELDS = ("id", "title", "artist", "album", "duration_s", "created_at")
 TEXT_FIELDS = ("title", "artist", "album")
@@ -57,8 +58,8 @@ def get_songs(songs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def random_song(songs: DataFrame, seed: int | None = None) -> DataFrame:
-    """L3."""
-    return songs.orderBy(F.rand(seed)).limit(1)
+    """L3: any song; with a seed always the same, however the songs are stored."""
+    return songs.orderBy(F.rand() if seed is None else seeded_order(seed, F.col("id")), "id").limit(1)
 
 
 def sample_songs(songs: DataFrame, n: int, seed: int = 0, key: str = "id") -> DataFrame:
@@ -69,19 +70,25 @@ def sample_songs(songs: DataFrame, n: int, seed: int = 0, key: str = "id") -> Da
 def round_robin(tracks: DataFrame, genre: str, key: str, seed: int = 0) -> DataFrame:
     """Tracks with genre (null is ?), turn and place: the first of each genre in name order, then the second ones.
 
-    The order inside a genre is a fixed shuffle. place is a global rank and so belongs on file lists, not on hashes.
+    The order inside a genre is a fixed shuffle. A genre may hold most tracks: turns are ranks over all tracks less those
+    of the genres before, so that no task sees a genre whole. Runs when this is called.
     """
-    named = tracks.withColumn("genre", F.coalesce(F.col(genre), F.lit("?")))
-    turn = F.row_number().over(Window.partitionBy("genre").orderBy(seeded_order(seed, F.col(key)), key))
-    return named.withColumn("turn", turn).withColumn("place", F.row_number().over(Window.orderBy("turn", "genre")))
+    named = with_rank(_shuffled(tracks, genre, key, seed), ["genre", "_order", key], "_rank")
+    first = named.groupBy("genre").agg(F.min("_rank").alias("_first"))
+    turns = join_hot(named, first, ["genre"]).withColumn("turn", (F.col("_rank") - F.col("_first") + 1).cast("int"))
+    return with_rank(turns, ["turn", "genre"], "place").withColumn("place", F.col("place").cast("int")).select(*tracks.columns, *[c for c in ("genre",) if c not in tracks.columns], "turn", "place")
+
+
+def _shuffled(tracks: DataFrame, genre: str, key: str, seed: int) -> DataFrame:
+    return tracks.withColumns({"genre": F.coalesce(F.col(genre), F.lit("?")), "_order": seeded_order(seed, F.col(key))})
 
 
 def choose_tracks(tracks: DataFrame, genre: str, key: str, limit: int, skip: int = 0, seed: int = 0) -> DataFrame:
     """A slice of the round robin; slices of one seed with other skips share no track. Only skip + limit turns of a
-    genre are ranked against other genres."""
-    named = tracks.withColumn("genre", F.coalesce(F.col(genre), F.lit("?")))
-    turn = F.row_number().over(Window.partitionBy("genre").orderBy(seeded_order(seed, F.col(key)), key))
-    return named.withColumn("turn", turn).filter(F.col("turn") <= skip + limit).orderBy("turn", "genre").offset(skip).limit(limit)
+    genre are ranked, and ranked against other genres."""
+    turn = F.row_number().over(Window.partitionBy("genre").orderBy("_order", key))  # Spark keeps skip + limit of a genre on the map side
+    turns = _shuffled(tracks, genre, key, seed).withColumn("turn", turn).filter(F.col("turn") <= skip + limit).drop("_order")
+    return turns.orderBy("turn", "genre").offset(skip).limit(limit)
 
 
 def public_songs(songs: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from tracemark.operators.audio import duration_s
 from tracemark.operators.matching import match_fingerprints
 from tracemark.plans.indexers import Indexer, default_indexers
 from tracemark.schemas import SONG_INDEXES, SONGS
+from tracemark.scratch import with_rank
 from tracemark.sources.files import decode
 
 OUTCOMES = ("ingested", "updated", "skipped", "failed")
@@ -106,7 +107,7 @@ class Library:
         top = self.spark.read.schema(SONGS).parquet(self._path("songs")).agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
         fresh = work.join(good, "content_hash").join(known, "content_hash", "left_anti")
         # ids of new songs only: one narrow row each
-        ids = fresh.select("content_hash").withColumn("nth", F.row_number().over(Window.orderBy("content_hash"))).crossJoin(F.broadcast(top)).select("content_hash", (F.col("top") + F.col("nth")).cast("long").alias("id"))
+        ids = with_rank(fresh.select("content_hash"), ["content_hash"], "nth").crossJoin(F.broadcast(top)).select("content_hash", (F.col("top") + F.col("nth")).cast("long").alias("id"))
         rows = fresh.join(ids, "content_hash").select(
             "id", F.coalesce("source", F.lit("file")).alias("source"), "source_id", title_or_stem(F.col("title"), F.col("path")).alias("title"), "artist", "album",
             F.col("duration_s").cast("double").alias("duration_s"), F.col("path").alias("file_path"), "content_hash", F.current_timestamp().alias("created_at"))
@@ -225,8 +226,7 @@ def add_songs(songs: DataFrame, new: DataFrame) -> DataFrame:
     """Rows to append: new (content_hash, ...) that are not there, one of each content, with ids after the greatest."""
     top = songs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     fresh = new.dropDuplicates(["content_hash"]).join(songs.select("content_hash"), "content_hash", "left_anti")
-    nth = F.row_number().over(Window.orderBy("content_hash"))
-    return fresh.withColumn("_nth", nth).crossJoin(F.broadcast(top)).withColumn("id", (F.col("_top") + F.col("_nth")).cast("long")).drop("_top", "_nth")
+    return with_rank(fresh, ["content_hash"], "_nth").crossJoin(F.broadcast(top)).withColumn("id", (F.col("_top") + F.col("_nth")).cast("long")).drop("_top", "_nth")
 
 
 def require_new(songs: DataFrame, new: DataFrame) -> DataFrame:

@@ -432,7 +432,7 @@ REGISTRY: dict[str, tuple] = {
     "library_count": (library_count, f"SELECT count(*) AS total FROM ({SONG_SQL}) WHERE contains(lower(title), 'widget') OR contains(lower(artist), 'widget')"),
     "point_lookup": (point_lookup, f"SELECT id, title, 'id' AS by FROM ({SONG_SQL}) WHERE id = 7 UNION ALL SELECT id, title, 'content' FROM ({SONG_SQL}) WHERE content_hash = '4e07408562bedb8b60ce05c1decfe3ad16b72230967de01f640b7e4729b49fce'"),
     "multi_get": (multi_get, f"SELECT id, title, artist FROM ({SONG_SQL}) WHERE id IN (SELECT l_partkey * 2 FROM lineitem WHERE l_quantity >= 49)"),
-    "random_song": (random_song, None),
+    "random_song": (random_song, f"SELECT p_partkey AS id, p_name AS title FROM part ORDER BY {_order_sql(1, 'p_partkey')}, p_partkey LIMIT 1"),
     "sample_songs": (sample_songs, f"SELECT id, title FROM ({SONG_SQL}) ORDER BY {_order_sql(3, 'id')}, id LIMIT 50"),
     "song_labels": (song_labels, """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'Untitled' ELSE c_name END AS title, CASE WHEN c_nationkey > 3 THEN c_mktsegment ELSE 'Unknown artist' END AS artist,
  CASE WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1024 ** 2 THEN printf('%.1f KB', b / 1024) WHEN b < 1024 ** 3 THEN printf('%.1f MB', b / 1024 ** 2) ELSE printf('%.1f GB', b / 1024 ** 3) END AS bytes,
