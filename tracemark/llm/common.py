@@ -1,67 +1,16 @@
-"""What the operators of this subpackage share: table access and cut-off points in shared storage."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it in spark.checkpoint.dir.
-
-    Where the setting is absent, a local session gets a temporary folder; a cluster gets an error,
-    since its machines would not see each other's files.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
 
+from tracemark.scratch import discard, join_hot, materialise, scratch_path, scratch_root, with_rank
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["discard", "join_hot", "materialise", "scratch_path", "scratch_root", "table", "with_rank", "without"]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to shared storage and read it again: lost executors never recompute what is before."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialised frame that nothing reads any more."""
-    spark = df.sparkSession
-    root = scratch_root(spark)
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root.split(":")[-1].strip("/") in path:
-            hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
-def join_hot(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", share: int = 1000) -> DataFrame:
-    """big joined with small, which has one row for a key, on keys without nulls; how is inner or left.
-
-    Keys that hold more than one row of big in `share` are fewer than `share`: their rows of small are broadcast, so that
-    a hot key's rows stay where they are. The others are joined by shuffle.
-    """
-    counts = materialise(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "key-counts")
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = F.broadcast(counts.filter(F.col("_n") > max(total // share, 1000)).select(*keys))
-    few = F.broadcast(small.join(hot, keys, "left_semi"))
-    return big.join(hot, keys, "left_anti").join(small, keys, how).unionByName(big.join(hot, keys, "left_semi").join(few, keys, how))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
