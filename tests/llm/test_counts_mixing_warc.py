@@ -1,5 +1,4 @@
 import base64
-import gzip
 import hashlib
 import math
 
@@ -8,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tracemark.llm import mixing as M
 from tracemark.llm import token_counts as T
-from tracemark.llm import warc as W
 
 DOCS = "doc_id long, source string, text string"
 
@@ -45,23 +43,56 @@ def test_weights(spark):
         M.temperature_weights(totals)
 
 
-def test_budgets(spark):
-    df = docs(spark, {"big": 400, "mid": 60, "small": 8}).unionByName(spark.createDataFrame([(99_001, None, "x y"), (99_002, "mid", None), (99_003, "mid", "")], DOCS)).withColumn("Copies", F.lit(1))
-    out = M.mix_sources(df, blocks=16)
-    assert out.count() == df.count() and out.columns == ["doc_id", "source", "text", "n_tokens", "block", "weight", "copies"]
-    rows = out.collect()
-    everything = sum(r["n_tokens"] for r in rows)
-    for s in ("big", "mid", "small", None):
-        mine = [r for r in rows if r["source"] == s]
-        due, used = mine[0]["weight"] * everything, sum(r["n_tokens"] * r["copies"] for r in mine)
-        assert due - 45 <= used <= due  # rows are whole, and fit
-        counts = {r["copies"] for r in mine if r["n_tokens"]}
-        assert max(counts) - min(counts) <= 1
-        size = sum(r["n_tokens"] for r in mine)
-        assert max(counts) <= 4.0 * 1 + 1 and used <= 4 * size + 1
-    assert M.realise(out).count() == sum(r["copies"] for r in rows)
-    assert sorted(map(str, M.mix_sources(df.repartition(7), blocks=16).collect())) == sorted(map(str, rows))
-    assert M.mix_sources(df.limit(0)).isEmpty()
+def brute_mixture(rows, weights, seed="mix"):
+    """(doc_id, epoch) of the mixture in order: a walk over each source's blocks, then a merge of the walks."""
+    def number(*parts):
+        return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:12], 16)
+    everything, out = sum(n for _, _, n in rows), []
+    for s in {s for _, s, _ in rows}:
+        mine = [(i, n) for i, t, n in rows if t == s]
+        total, due = sum(n for _, n in mine), math.floor(weights[s] * everything)
+        n_blocks = math.ceil(math.sqrt(len(mine)))
+        blocks = {}
+        for i, n in mine:
+            blocks.setdefault(number(seed, "block", s, i) % n_blocks, []).append((number(seed, "row", s, i), str(i), n, i))
+        at = epoch = 0
+        while epoch == 0 or (total and at < due):
+            for turn, block in sorted((number(seed, "epoch", epoch, s, b), b) for b in blocks):
+                for nth, key, n, i in sorted(blocks[block]):
+                    if at + n <= due:
+                        out.append(((at / due if due else 0.0), s, epoch, turn, block, nth, key, n, i))
+                    at += n
+            epoch += 1
+    return [(r[-1], r[2]) for r in sorted(out)]
+
+
+def test_mixture_against_brute_force(spark):
+    df = docs(spark, {"big": 400, "mid": 60, "small": 8}).unionByName(spark.createDataFrame([(99_001, None, "x y"), (99_002, "mid", None), (99_003, "mid", ""), (99_004, "none", ""), (99_005, "long", "w " * 3000)], DOCS)).withColumn("Place", F.lit(1))
+    out = M.mixture(df)
+    assert out.columns == ["doc_id", "source", "text", "n_tokens", "block", "weight", "epoch", "place"]
+    got = sorted(out.collect(), key=lambda r: r["place"])
+    assert [r["place"] for r in got] == list(range(1, len(got) + 1))
+    rows = [(r["doc_id"], r["source"] or "", len((r["text"] or "").split())) for r in df.collect()]
+    totals = spark.createDataFrame([(s, sum(n for _, t, n in rows if t == s)) for s in {s for _, s, _ in rows}], "source string, tokens long")
+    weights = {r["source"]: r["weight"] for r in M.temperature_weights(totals, 1.0, 0.9, 4.0).collect()}
+    assert [(r["doc_id"], r["epoch"]) for r in got] == brute_mixture(rows, weights)
+    everything = sum(n for _, _, n in rows)
+    for s, w in weights.items():
+        used = sum(r["n_tokens"] for r in got if (r["source"] or "") == s)
+        size = max([n for _, t, n in rows if t == s])
+        assert w * everything - size - 1 <= used <= w * everything  # documents are whole, and fit
+        assert used <= 4 * sum(n for _, t, n in rows if t == s) + 1
+    # every stretch has the target weights
+    half = got[:len(got) // 2]
+    assert abs(sum(r["n_tokens"] for r in half if r["source"] == "big") / sum(r["n_tokens"] for r in half if r["source"] != "long") - weights["big"] / (1 - weights["long"])) < 0.05
+    assert sorted(map(str, M.mixture(df.repartition(7)).collect())) == sorted(map(str, got))
+    assert M.mixture(df.limit(0)).isEmpty()
+
+
+def test_mixture_of_repeated_rows(spark):
+    rows = [(1, "s", "a b"), (1, "s", "a b"), (1, "s", "c"), (None, None, None), (2, "t", "x " * 50)]
+    got = M.mixture(spark.createDataFrame(rows, DOCS), target_entropy=None, max_repeats=2.0).collect()
+    assert sorted(r["place"] for r in got) == list(range(1, len(got) + 1)) and sum(r["doc_id"] == 1 for r in got) >= 3 and sum(r["doc_id"] is None for r in got) == 1
 
 
 # ---- token counts ----

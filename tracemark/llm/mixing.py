@@ -2,8 +2,9 @@
 
 Token shares of the sources are raised to an exponent and normalised; bisection finds the exponent whose weights meet
 a target entropy or a repetition limit. A budget of tokens is then dealt out by the weights: each source's documents
-are hashed into blocks, every epoch runs through all blocks in an order of its own, and the last epoch stops where the
-source's budget is used up: whole blocks first, then documents of the block on the border.
+are hashed into blocks, every epoch runs through all blocks in a permutation of its own, and a source ends where its
+part of the budget is used up. A document's copy has a place in its source's run, counted in tokens; the mixture puts
+the runs of all sources beside each other, so that every stretch of it has the target weights.
 """
 
 from __future__ import annotations
@@ -11,9 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemark.llm.common import materialise, without
+from tracemark.llm.common import materialise, with_rank, without
 
-BLOCKS = 4096  # of each source
 STEPS = 60
 MAX_SOURCES = 100_000
 
@@ -80,60 +80,57 @@ def temperature_weights(totals: DataFrame, budget: float = 1.0, target_entropy:
             .fillna({"weight": 0.0}))
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix",
-                budget: float = 1.0, target_entropy: float | None = 0.9, max_repeats: float | None = 4.0, blocks: int = BLOCKS,
-                tokens: Column | None = None) -> DataFrame:
-    """df with n_tokens, block, weight and copies, how often the row is in the mixture.
+def _dealt(rows: DataFrame, seed: str, budget: float, target_entropy: float | None, max_repeats: float | None) -> DataFrame:
+    """rows (_row, _src, _id, n) once for each copy in the mixture, with block, weight, epoch and place.
 
+    A source of n rows has blocks of about the root of n rows, in as many blocks, so that neither the blocks of a source
+    nor the rows of a block are more than that in one group.
+    """
+    totals = materialise(rows.groupBy(F.col("_src").alias("source")).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs")), "totals")
+    everything = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("everything"))
+    plan = temperature_weights(totals, budget, target_entropy, max_repeats).crossJoin(F.broadcast(everything)).select(
+        F.col("source").alias("_src"), "weight", "tokens", F.ceil(F.sqrt("docs")).cast("long").alias("n_blocks"),
+        F.floor(F.col("weight") * F.col("everything") * budget).cast("long").alias("due"))
+    plan = F.broadcast(materialise(plan, "weights"))  # no more rows than MAX_SOURCES, which is checked
+    rows = rows.join(plan.select("_src", "n_blocks"), "_src").withColumn("block", F.pmod(hash_number(F.lit(seed), F.lit("block"), F.col("_src"), F.col("_id")), F.col("n_blocks")))
+    runs = rows.groupBy("_src", "block").agg(F.sum("n").alias("t")).join(plan, "_src")
+    epochs = F.when(F.col("tokens") > 0, F.greatest(F.ceil(F.col("due") / F.col("tokens")).cast("long"), F.lit(1))).otherwise(1)
+    runs = runs.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs - 1)))
+    runs = runs.withColumn("turn", hash_number(F.lit(seed), F.lit("epoch"), F.col("epoch"), F.col("_src"), F.col("block")))
+    blocks = Window.partitionBy("_src", "epoch").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumn("ahead", F.col("epoch") * F.col("tokens") + F.sum("t").over(blocks) - F.col("t"))
+    within = Window.partitionBy("_src", "block").orderBy("nth", "_id", "n", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("nth", hash_number(F.lit(seed), F.lit("row"), F.col("_src"), F.col("_id"))).withColumn("upto", F.sum("n").over(within))
+    copies = rows.drop("n_blocks").join(runs.select("_src", "block", "weight", "due", "epoch", "turn", "ahead"), ["_src", "block"]).filter(F.col("ahead") + F.col("upto") <= F.col("due"))
+    copies = copies.withColumn("at", F.when(F.col("due") > 0, (F.col("ahead") + F.col("upto") - F.col("n")) / F.col("due")).otherwise(0.0))
+    return with_rank(copies, ["at", "_src", "epoch", "turn", "block", "nth", "_id", "n", "_row"], "place").select(
+        "_row", F.col("n").alias("n_tokens"), "block", "weight", "epoch", "place")
+
+
+def mixture(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix",
+            budget: float = 1.0, target_entropy: float | None = 0.9, max_repeats: float | None = 4.0, tokens: Column | None = None) -> DataFrame:
+    """A row of df for each of its copies in the mixture, with n_tokens, block, weight (of its source), epoch and place.
+
+    place is a whole number from 1 on, without gaps, that no two rows share; rows in the order of place are the mixture.
     budget is in all the tokens of df, which are the words of text_col or, where they are counted already, tokens, a
-    non-null column of whole numbers. A null source is the source "". A source's whole epochs go to all its rows;
-    in its last epoch, blocks are taken in that epoch's order while they fit in whole, then rows of the next block in
-    the order of their hashes while they fit in whole. Rows without tokens fit always, and go with their block. Rows
-    that repeat an id are taken together as far as their order goes; a tie of hashes falls to the smaller id, then the
-    shorter text. An empty table gives an empty table. Own columns replace columns of the same names.
+    non-null column of whole numbers. A null source is the source "". A copy is in the mixture if its source's run,
+    whole epochs and then blocks of the next, has reached its end within the source's part of the budget; so rows without
+    tokens go with their neighbours. Ties of hashes fall to the smaller id (null is ""), then the fewer tokens. Rows that
+    repeat an id lie beside each other in a block. Rows without a place are those that the budget has no room for. An
+    empty table gives an empty table. Own columns replace columns of the same names. Runs when this is called.
     """
     counted = df.withColumn("_n", words(F.col(text_col)) if tokens is None else tokens.cast("long"))
-    df = without(counted, "n_tokens", "block", "weight", "copies")
     key = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    rows = df.withColumns({"_src": key, "_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "n_tokens": F.col("_n")})
-    rows = rows.withColumn("block", F.pmod(hash_number(F.lit(seed), F.lit("block"), F.col("_src"), F.col("_id")), F.lit(blocks)))
-    held = rows.select("_src", "_id", "n_tokens", "block").groupBy("_src", "block").agg(F.sum("n_tokens").alias("t"))
-    totals = held.groupBy(F.col("_src").alias("source")).agg(F.sum("t").alias("tokens"))
-    plan = temperature_weights(totals, budget, target_entropy, max_repeats)
-    everything = totals.agg(F.sum("tokens").alias("everything"))
-    plan = plan.crossJoin(F.broadcast(everything)).withColumn("due", F.floor(F.col("weight") * F.col("everything") * budget).cast("long"))
-    plan = plan.select(F.col("source").alias("_src"), "weight", F.when(F.col("tokens") > 0, F.floor(F.col("due") / F.col("tokens"))).otherwise(0).cast("long").alias("epochs"), "due", "tokens")
-    plan = plan.withColumn("rest", F.col("due") - F.col("epochs") * F.col("tokens"))
-    # blocks of each source in the last epoch's order: a bounded number of narrow rows
-    order = Window.partitionBy("_src").orderBy("rank", "block").rowsBetween(Window.unboundedPreceding, 0)
-    dealt = held.join(plan, "_src").withColumn("rank", hash_number(F.lit(seed), F.lit("epoch"), F.col("epochs"), F.col("_src"), F.col("block")))
-    dealt = dealt.withColumn("upto", F.sum("t").over(order)).select(
-        "_src", "block", "weight", "epochs", (F.col("upto") <= F.col("rest")).alias("whole"),
-        F.when((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("t") <= F.col("rest")), F.col("rest") - F.col("upto") + F.col("t")).alias("left"))
-    # rows of the one block on the border of each source
-    border = dealt.filter("left is not null").select("_src", "block", "left")
-    within = Window.partitionBy("_src", "block").orderBy("rank", "_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    edge = (rows.select("_src", "_id", "n_tokens", "block").join(border, ["_src", "block"])
-            .withColumn("rank", hash_number(F.lit(seed), F.lit("row"), F.col("_src"), F.col("_id")))
-            .withColumn("fits", F.sum("n_tokens").over(within) <= F.col("left"))
-            .groupBy("_src", "_id", "n_tokens").agg(F.bool_and("fits").alias("fits")).filter("fits"))
-    # the decisions by block: at most `blocks` rows for a source
-    out = rows.join(dealt.drop("left"), ["_src", "block"]).join(edge, ["_src", "_id", "n_tokens"], "left")
-    copies = F.col("epochs") + F.when(F.col("whole") | F.coalesce("fits", F.lit(False)), 1).otherwise(0)
-    return out.withColumn("copies", copies.cast("long")).select(*[c for c in df.columns if c != "_n"], "n_tokens", "block", "weight", "copies")
-
-
-def realise(mixed: DataFrame, seed: str = "mix") -> DataFrame:
-    """Each row of mix_sources copies times, with epoch and mix_order, an order of block permutations by epoch."""
-    mixed = without(mixed, "epoch", "mix_order")
-    each = mixed.filter("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    return each.withColumn("mix_order", hash_number(F.lit(seed), F.lit("order"), F.col("epoch"), F.col("block")))
+    held = counted.withColumns({"_src": key, "_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_row": F.monotonically_increasing_id()})
+    held = materialise(held, "counted")
+    dealt = _dealt(held.select("_row", "_src", "_id", F.col("_n").alias("n")), seed, budget, target_entropy, max_repeats)
+    names = without(df, "n_tokens", "block", "weight", "epoch", "place", "_n", "_src", "_id", "_row").columns
+    return held.select("_row", *names).join(dealt, "_row").select(*names, "n_tokens", "block", "weight", "epoch", "place")
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    counted = materialise(docs.select("doc_id", "source", words(F.col("text")).alias("n")), "counted")
-    return mix_sources(counted, tokens=F.col("n")).select(
-        "doc_id", "source", "n_tokens", "block", F.round("weight", 9).alias("weight"), "copies")
+    counted = docs.select("doc_id", "source", words(F.col("text")).alias("n"))
+    return mixture(counted, tokens=F.col("n")).select("doc_id", "source", "n_tokens", "block", F.round("weight", 9).alias("weight"), "epoch", "place")
 
 
 def _sql() -> str:
@@ -147,9 +144,9 @@ def _sql() -> str:
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(source, '') AS src, coalesce(CAST(doc_id AS VARCHAR), '') AS id,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n FROM documents),
-k AS (SELECT *, {number.format("'mix|block|' || src || '|' || id")} % {BLOCKS} AS block FROM d),
+tot AS (SELECT src, CAST(sum(n) AS BIGINT) AS tokens, CAST(ceil(sqrt(count(*))) AS BIGINT) AS nb FROM d GROUP BY 1),
+k AS (SELECT d.*, {number.format("'mix|block|' || src || '|' || id")} % nb AS block, {number.format("'mix|row|' || src || '|' || id")} AS nth FROM d JOIN tot USING (src)),
 held AS (SELECT src, block, CAST(sum(n) AS BIGINT) AS t FROM k GROUP BY 1, 2),
-tot AS (SELECT src, CAST(sum(t) AS BIGINT) AS tokens FROM held GROUP BY 1),
 one AS (SELECT list(CAST(tokens AS DOUBLE) / (SELECT sum(tokens) FROM tot) ORDER BY src) AS p FROM tot WHERE tokens > 0),
 b AS (SELECT 0 AS i, p, 0.0::DOUBLE AS elo, 1.0::DOUBLE AS ehi, 0.0::DOUBLE AS rlo, 1.0::DOUBLE AS rhi FROM one
   UNION ALL SELECT i + 1, p, CASE WHEN {he} THEN {mid_e} ELSE elo END, CASE WHEN {he} THEN ehi ELSE {mid_e} END,
@@ -157,16 +154,14 @@ b AS (SELECT 0 AS i, p, 0.0::DOUBLE AS elo, 1.0::DOUBLE AS ehi, 0.0::DOUBLE AS r
 al AS (SELECT p, greatest(CASE WHEN {h1} THEN 1.0 ELSE elo END, CASE WHEN {r1} THEN 1.0 ELSE rhi END) AS a FROM b WHERE i = {STEPS}),
 wt AS (SELECT src, tokens, coalesce(CASE WHEN tokens > 0 THEN (SELECT pow(tokens / (SELECT sum(tokens)::DOUBLE FROM tot), a) / {z.format(a="a")} FROM al) END, 0) AS weight FROM tot),
 du AS (SELECT *, CAST(floor(weight * (SELECT sum(tokens) FROM tot)) AS BIGINT) AS due FROM wt),
-pl AS (SELECT *, CASE WHEN tokens > 0 THEN due // tokens ELSE 0 END AS epochs FROM du),
-dl AS (SELECT h.src, h.block, h.t, weight, epochs, due - epochs * tokens AS rest,
-         sum(t) OVER (PARTITION BY h.src ORDER BY {number.format("'mix|epoch|' || epochs || '|' || h.src || '|' || block")}, block ROWS UNBOUNDED PRECEDING) AS upto
-       FROM held h JOIN pl ON pl.src = h.src),
-ed AS (SELECT k.id, k.src, k.n, sum(n) OVER (PARTITION BY k.src ORDER BY {number.format("'mix|row|' || k.src || '|' || k.id")}, k.id, n ROWS UNBOUNDED PRECEDING) <= rest - upto + t AS fits
-       FROM k JOIN dl ON dl.src = k.src AND dl.block = k.block WHERE upto > rest AND upto - t <= rest),
-ef AS (SELECT id, src, n, bool_and(fits) AS fits FROM ed GROUP BY 1, 2, 3)
-SELECT k.doc_id, k.source, k.n AS n_tokens, k.block, round(dl.weight, 9) AS weight,
-       CAST(epochs + CASE WHEN upto <= rest OR coalesce(ef.fits, false) THEN 1 ELSE 0 END AS BIGINT) AS copies
-FROM k JOIN dl ON dl.src = k.src AND dl.block = k.block LEFT JOIN ef ON ef.id = k.id AND ef.src = k.src AND ef.n = k.n
+ep AS (SELECT *, unnest(range(CASE WHEN tokens > 0 THEN greatest((due + tokens - 1) // tokens, 1) ELSE 1 END)) AS epoch FROM du),
+ru AS (SELECT h.src, h.block, h.t, weight, due, epoch, tokens, {number.format("'mix|epoch|' || epoch || '|' || h.src || '|' || h.block")} AS turn FROM held h JOIN ep USING (src)),
+ah AS (SELECT *, epoch * tokens - t + sum(t) OVER (PARTITION BY src, epoch ORDER BY turn, block ROWS UNBOUNDED PRECEDING) AS ahead FROM ru),
+kw AS (SELECT *, sum(n) OVER (PARTITION BY src, block ORDER BY nth, id, n ROWS UNBOUNDED PRECEDING) AS upto FROM k),
+co AS (SELECT k.doc_id, k.source, k.src, k.id, k.n, k.nth, k.block, weight, epoch, turn,
+         CASE WHEN due > 0 THEN CAST(ahead + upto - n AS DOUBLE) / due ELSE 0.0 END AS at_
+       FROM kw k JOIN ah ON ah.src = k.src AND ah.block = k.block WHERE ahead + upto <= due)
+SELECT doc_id, source, n AS n_tokens, block, round(weight, 9) AS weight, epoch, CAST(row_number() OVER (ORDER BY at_, src, epoch, turn, block, nth, id, n) AS BIGINT) AS place FROM co
 """
 
 
