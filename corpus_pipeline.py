@@ -9,7 +9,7 @@ from tracemark.llm.decontaminate import decontaminate
 from tracemark.llm.exact_dedup import exact_dedup
 from tracemark.llm.jaccard_join import jaccard_dedup
 from tracemark.llm.language_id import keep_identified
-from tracemark.llm.mixing import mix_sources, realise
+from tracemark.llm.mixing import mixture as mixed
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: a row for each copy of a document, with its source's weight, its epoch and its place."""
-    return realise(mix_sources(docs))
+    return mixed(docs)
 
 
 STAGES = [
