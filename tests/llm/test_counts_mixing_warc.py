@@ -1,6 +1,8 @@
 import base64
 import hashlib
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,12 +117,49 @@ def test_rollup(spark, tmp_path):
     roll.apply("b", changes(spark, [(1, 0, "delete", None, None, None), (77, 0, "delete", "s", "en", "x"), (2, 0, "insert", "t", "de", "d e f"), (5, 0, "revise", "s", "en", "new")]), by)
     assert totals(roll) == {("s", "en", "words-1"): (2, 2, 4), ("t", "de", "words-1"): (1, 3, 5), ("", "", "words-1"): (1, 0, 0)}
     # a batch that failed before its commit is written anew
-    T.counted(changes(spark, [(5, 0, "delete", None, None, None)]), by).write.parquet(f"{roll.root}/docs/batch=c")
+    T.counted(changes(spark, [(5, 0, "delete", None, None, None)]), by).withColumn("bucket", F.lit(1)).write.partitionBy("bucket").parquet(f"{roll.root}/states/token=c")
     assert totals(roll)[("s", "en", "words-1")] == (2, 2, 4)
     roll.apply("c", changes(spark, [(5, 0, "revise", "s", "en", "x y")]), by)
     assert totals(roll)[("s", "en", "words-1")] == (2, 3, 4)
     roll.apply("empty", changes(spark, []), by)
     assert len(roll.commits()) == 4
+    # equal seq: not a delete, then the greater source
+    roll.apply("ties", changes(spark, [(8, 3, "delete", None, None, None), (8, 3, "insert", "p", "en", "one"), (8, 3, "insert", "q", "en", "one two")]).withColumn("tokens", F.lit("clash")).withColumn("live", F.lit("clash")), by)
+    assert totals(roll)[("q", "en", "words-1")] == (1, 2, 7) and ("p", "en", "words-1") not in totals(roll)
+    roll.apply("long", changes(spark, [(9, 0, "insert", "q", "en", "w " * 300_000)]), by)
+    assert totals(roll)[("q", "en", "words-1")] == (2, 300_002, 600_007)
+
+
+def test_batches_against_brute_force(spark, tmp_path):
+    """Random batches with compactions between them; a stop at any point of a compaction changes nothing."""
+    rng, by = random.Random(6), {"words-1": M.words}
+    roll, held = T.Rollup(spark, str(tmp_path / "r"), buckets=4, compact_after=3), {}
+    for b in range(7):
+        rows = {}
+        for _ in range(12):
+            i = rng.choice([None, *range(15)])
+            rows[i] = (i, 0, rng.choice(("insert", "revise", "delete")), rng.choice("st"), rng.choice(("en", None)), rng.choice((None, "", "a b", "c d e")))
+        assert roll.apply(f"b/{b}", changes(spark, list(rows.values())), by) and not roll.apply(f"b/{b}", changes(spark, list(rows.values())), by)
+        for i, _, op, s, lang, text in rows.values():
+            held.pop(i, None)
+            if op != "delete":
+                held[i] = (s, lang or "", len((text or "").split()), len(text or ""))
+        want = {}
+        for s, lang, n, c in held.values():
+            old = want.get((s, lang, "words-1"), (0, 0, 0))
+            want[s, lang, "words-1"] = (old[0] + 1, old[1] + n, old[2] + c)
+        assert totals(roll) == want
+    assert roll.base() and len(roll._since()[2]) == 1 and len(roll.commits()) == 7
+    # a base without its commits is none
+    (tmp_path / "r" / "bases" / "000000000099-x" / "states").mkdir(parents=True)
+    assert totals(roll) == want and "99-x" not in roll.base()
+
+
+def test_a_batch_reads_the_buckets_it_touches(spark, tmp_path):
+    roll, by = T.Rollup(spark, str(tmp_path / "r"), buckets=8), {"words-1": M.words}
+    roll.apply("all", changes(spark, [(i, 0, "insert", "s", "en", "a") for i in range(100)]), by)
+    plan = roll.states([3])._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*isnotnull\(token#\d+\), isnotnull\(bucket#\d+\)", plan) and {r["bucket"] for r in roll.states([3]).collect()} == {3}
 
 
 def test_bpe_counts(spark, tmp_path):
