@@ -108,11 +108,10 @@ def test_leaks(spark):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     got = D.leaks(df, bench).collect()
     pairs = sorted((str(r["doc_id"]), r["item_id"]) for r in got)
-    assert pairs == sorted([("1", 1), ("1", 1), ("2", 1), ("7", 2), ("9", 2), ("10", 1), ("None", 1)]) or ("3", 1) in pairs
+    assert pairs == sorted([("1", 1), ("2", 1), ("3", 1), ("7", 2), ("9", 2), ("10", 1), ("None", 1)]) or pairs == sorted([("1", 1), ("1", 1), ("2", 1), ("3", 1), ("7", 2), ("9", 2), ("10", 1), ("None", 1)]), pairs
     full = {r["doc_id"]: r for r in got}
     assert full[2]["n_windows"] == full[2]["item_windows"] and full[2]["n_slots"] >= 3
-    third = full.get(3)
-    assert third is None or third["n_windows"] < third["item_windows"]
+    assert full[3]["n_windows"] < full[3]["item_windows"]
     kept = [r["doc_id"] for r in D.decontaminate(df, bench).collect()]
     assert 4 in kept and 5 in kept and 6 in kept and 8 in kept and 1 not in kept and 10 not in kept
     assert D.leaks(df.limit(0), bench).isEmpty() and D.leaks(df, bench.limit(0)).isEmpty()
@@ -168,3 +167,60 @@ def test_leaks_against_brute_force(spark):
         docs.append((i, " ".join(t)))
     got = {(r["doc_id"], r["item_id"]) for r in D.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string")).collect()}
     assert got == brute_leaks(docs, bench) and got
+
+
+def test_names_of_several_words_are_one(spark):
+    bench = [(1, "On the way home Tom bought 3 apples for his mother and gave 2 of them away"), (2, "Mary Ann Smith has 4 cats in the house by the river and they are old"), (3, "Compute 12 + 7 * 3")]
+    docs = [(1, "and on the way home John Smith bought 5 apples for his mother and gave 4 of them away"), (2, "so Tom has 6 cats in the house by the river and they are old"),
+            (3, "so Mary Ann Smith has 4 cats in the house by the river and they are old"), (4, "Tom has 6 cats in the house by the river and they are old"),
+            (5, "please compute 12 + 7 * 3 now"), (6, "please compute 12 + 8 * 3 now"), (7, "on the way home John Smith bought 5 horas for his"), (7, "on the way home John Smith bought 5 horas for his")]
+    bench.append((4, "On the way home Tom bought 3 hours for his"))
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["item_windows"], r["n_slots"]) for r in D.op4(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got.keys() == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 3), (7, 4)}
+    assert got[1, 1] == (10, 10, 3) and got[2, 2][2] == got[3, 2][2] == 2 and got[5, 3] == (1, 1, 3) and got[7, 4][0] == 1
+
+
+def brute_templates(docs, bench, n=8, least=5):
+    """{(doc, item): (windows of the best run, item's windows)} for texts of lower-case words and numbers, one window after another."""
+    def words(t):
+        return [("#", w) if w.isdigit() else (w, None) for w in t.split()]
+    out = {}
+    for b, u in bench:
+        item = words(u)
+        spots = [i for i in range(len(item) - n + 1) if sum(v is None for _, v in item[i:i + n]) >= least]
+        for d, t in docs:
+            doc, best = words(t), 0
+            for line in range(-len(item), len(doc)):
+                run, links = 0, []
+                for nth, i in enumerate([i for i in spots if 0 <= i + line <= len(doc) - n and [w for w, _ in doc[i + line:i + line + n]] == [w for w, _ in item[i:i + n]]]):
+                    mine = {(v, doc[i + line + k][1]) for k, (_, v) in enumerate(item[i:i + n]) if v is not None}
+                    if len({v for v, _ in mine}) < len(mine):  # it clashes in itself, and goes alone
+                        continue
+                    links.append(mine)
+                    # the longest run that ends here and agrees
+                    run = next(len(links) - k for k in range(len(links)) if len({v for m in links[k:] for v, _ in m}) == len({p for m in links[k:] for p in m}))
+                    best = max(best, run)
+            if best:
+                out[d, b] = (best, len(spots))
+    return out
+
+
+def test_slots_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    vocab = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "pu") for b in ("ra", "so", "ti", "vu", "xe", "zo")]
+
+    def text(size):
+        return [str(rng.integers(1, 5)) if rng.random() < 0.2 else str(rng.choice(vocab)) for _ in range(size)]
+    bench = [(i, " ".join(text(rng.integers(8, 40)))) for i in range(12)]
+    bench = [(i, t) for i, t in bench if all(sum(not w.isdigit() for w in t.split()[k:k + 8]) >= 5 for k in range(len(t.split()) - 7))] or bench[:1]
+    docs = []
+    for i in range(80):
+        t = text(rng.integers(0, 60))
+        u = bench[rng.integers(len(bench))][1].split()
+        a = rng.integers(0, max(1, len(u) - 8))
+        other = {str(k): str(rng.integers(1, 30)) for k in range(1, 5)}  # each value for one value, but for a few slips
+        cut = [(other[w] if rng.random() < 0.9 else "7") if w.isdigit() else w for w in u[a:a + rng.integers(6, 30)]]
+        docs.append((i, " ".join(t[:5] + cut + t[5:])))
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["item_windows"]) for r in D.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    want = brute_templates(docs, bench)
+    assert got == want and len(got) > 20 and len({v for v in got.values()}) > 5
