@@ -9,6 +9,7 @@ from tracemark.config import FingerprintConfig
 from tracemark.functions import scalars as S
 from tracemark.operators import matching as M
 from tracemark.operators.hashing import check_bins, generate_hashes
+from tracemark.operators.peaks import BLOCK
 
 
 def test_config():
@@ -20,28 +21,28 @@ def test_config():
 
 
 def test_pack_unpack(spark):
-    rng = np.random.default_rng(0)
-    want = [(int(a), int(b), int(c)) for a, b, c in zip(rng.integers(0, 512, 1000), rng.integers(0, 512, 1000), rng.integers(0, 256, 1000))]
+    bins, steps = (0, 1, 2, 170, 255, 256, 341, 510, 511), (0, 1, 85, 128, 254, 255)
+    want = [(a, b, c) for a in bins for b in bins for c in steps]
     df = spark.createDataFrame(want, "f1 int, f2 int, dt int").withColumn("h", S.pack_hash(F.col("f1"), F.col("f2"), F.col("dt")))
-    assert df.agg(F.max("h")).first()[0] < 2**31
+    assert df.agg(F.max("h"), F.min("h"), F.count_distinct("h")).first()[:] == (67_108_863, 0, len(want))
     assert rows(df.select(*S.unpack_hash(F.col("h")))) == sorted(want, key=str)
 
 
-ZONE = [(1, t, f) for t, f in zip((0, 2, 3, 4, 5, 30), (100, 105, 200, 110, 115, 100))]
-ZONE_CFG = FingerprintConfig(fan_out=3, target_dt_max=10, target_df_max=20)
+ZONE = [(1, 10, 40), (1, 11, 44), (1, 13, 30), (1, 13, 300), (1, 17, 61), (1, 19, 41), (1, 40, 40)]
+ZONE_CFG = FingerprintConfig(fan_out=2, target_dt_max=8, target_df_max=25)
 
 
 def test_target_zone(spark):
+    # anchor, bins and steps, by hand: the third target is one too many, others are too far in bins or in time
+    want = [(10, 40, 44, 1), (10, 40, 30, 3), (11, 44, 30, 2), (11, 44, 61, 6), (13, 30, 41, 6), (17, 61, 41, 2)]
     got = generate_hashes(spark.createDataFrame(ZONE, "song_id long, t int, f int"), ZONE_CFG)
-    assert rows(got.select("anchor_time", "hash")) == rows(spark.createDataFrame(
-        [(0, 13134082), (0, 13135364), (0, 13136645), (2, 13790722), (2, 13792003), (4, 14447361)], "a int, h int"))
+    assert rows(got.select("anchor_time", "hash")) == sorted(((t, (a * 512 + b) * 256 + d) for t, a, b, d in want), key=str)
 
 
 def test_hashes_move_with_time_and_blocks(spark):
-    rng = np.random.default_rng(1)
-    peaks = [(1, int(t), int(f)) for t, f in zip(rng.integers(0, 500, 200), rng.integers(0, 512, 200))]
+    peaks = [(1, i * i % 487, i * 37 % 512) for i in range(180)]
     one = generate_hashes(spark.createDataFrame(peaks, "song_id long, t int, f int"))
-    for shift in (1234, 4096 - 250, -77):  # over the border of a block, and to negative times
+    for shift in (BLOCK - 250, 3 * BLOCK + 5, -77):  # over the border of a block, and to negative times
         other = generate_hashes(spark.createDataFrame([(s, t + shift, f) for s, t, f in peaks], "song_id long, t int, f int"))
         assert rows(one.select("hash", F.col("anchor_time") + shift)) == rows(other.select("hash", "anchor_time"))
     assert generate_hashes(spark.createDataFrame([(1, 5, 10)], "song_id long, t int, f int")).isEmpty()
@@ -63,14 +64,14 @@ def test_bins_are_checked(spark):
 
 
 def test_offsets_and_tolerance(spark):
-    q = spark.createDataFrame([(9, 7, 1), (9, 7, 4), (9, 9, 2)], "clip_id long, hash int, anchor_time int")
-    i = spark.createDataFrame([(7, 1, 10), (9, 2, 20), (8, 3, 30)], "hash int, song_id long, anchor_time int")
-    assert rows(M.join_offsets(q, i)) == [(9, 1, 6), (9, 1, 9), (9, 2, 18)]
-    assert rows(M.lookup(i, q)) == [(7, 1, 10), (9, 2, 20)]
-    offsets = spark.createDataFrame([(1, 1, 100)] * 3 + [(1, 1, 101)] * 3 + [(1, 2, 50)] * 4, "clip_id long, song_id long, offset int")
+    q = spark.createDataFrame([(3, 50, 2), (3, 50, 6), (3, 80, 1)], "clip_id long, hash int, anchor_time int")
+    i = spark.createDataFrame([(50, 4, 11), (80, 5, 40), (70, 6, 1)], "hash int, song_id long, anchor_time int")
+    assert rows(M.join_offsets(q, i)) == [(3, 4, 5), (3, 4, 9), (3, 5, 39)]
+    assert rows(M.lookup(i, q)) == [(50, 4, 11), (80, 5, 40)]
+    offsets = spark.createDataFrame([(2, 8, 40)] * 2 + [(2, 8, 41)] * 4 + [(2, 8, 43)] + [(2, 9, -6)] * 5, "clip_id long, song_id long, offset int")
     hist = M.offset_histogram(offsets)
-    assert rows(M.rank_candidates(M.best_bins(M.tolerant_bins(hist, 1)))) == [(1, 1, 100, 6, 1), (1, 2, 50, 4, 2)]
-    assert rows(M.rank_candidates(M.best_bins(M.tolerant_bins(hist, 0)))) == [(1, 1, 100, 3, 2), (1, 2, 50, 4, 1)]
+    assert rows(M.rank_candidates(M.best_bins(M.tolerant_bins(hist, 1)))) == [(2, 8, 40, 6, 1), (2, 9, -6, 5, 2)]
+    assert rows(M.rank_candidates(M.best_bins(M.tolerant_bins(hist, 0)))) == [(2, 8, 41, 4, 2), (2, 9, -6, 5, 1)]
 
 
 def test_ties(spark):
@@ -81,7 +82,7 @@ def test_ties(spark):
 def test_confidence_and_decision(spark):
     from tracemark.config import MatchConfig
 
-    df = spark.createDataFrame([(0, 0), (40, 0), (40, 40), (5, 1), (30, 1)], "b long, r long")
+    df = spark.createDataFrame([(0, 0), (100, 0), (9, 9), (6, 2), (24, 2)], "b long, r long")
     c = [r[0] for r in df.select(S.confidence_score(F.col("b"), F.col("r"), MatchConfig(confidence_saturation=20))).collect()]
     assert c[:3] == [0, 1, 0] and 0 < c[3] < c[4]
 
