@@ -177,7 +177,7 @@ def test_names_of_several_words_are_one(spark):
     bench.append((4, "On the way home Tom bought 3 hours for his"))
     got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["item_windows"], r["n_slots"]) for r in D.op4(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string")).collect()}
     assert got.keys() == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 3), (7, 4)}
-    assert got[1, 1] == (10, 10, 3) and got[2, 2][2] == got[3, 2][2] == 2 and got[5, 3] == (1, 1, 3) and got[7, 4][0] == 1
+    assert (got[1, 1], got[2, 2][2], got[3, 2][2], got[5, 3], got[7, 4]) == ((10, 10, 3), 3, 3, (1, 1, 3), (3, 3, 3))  # the start has two readings
 
 
 def brute_templates(docs, bench, n=8, least=5):

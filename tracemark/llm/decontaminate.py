@@ -74,9 +74,11 @@ def _hashes(words: Column) -> Column:
 
 
 def _windows(hashes: Column, size: int) -> Column:
-    """Of every window of size words its hash, in order; none if there are fewer words."""
-    spots = F.sequence(F.lit(0), F.size(hashes) - size)
-    return F.when(F.size(hashes) >= size, F.transform(spots, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(size)])))
+    """Of every window of size words its hash, in order; none if there are fewer words. The array is bound to a name: its
+    expression would be worked out for every element else."""
+    def of(hs):
+        return F.when(F.size(hs) >= size, F.transform(F.sequence(F.lit(0), F.size(hs) - size), lambda i: F.xxhash64(*[F.get(hs, i + j) for j in range(size)])))
+    return F.transform(F.array(hashes), of)[0]
 
 
 def benchmark_items(bench: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -134,18 +136,19 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     table. The search runs when this is called.
     """
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumns({"tk": F.xxhash64("text"), "plain": plain(F.col("text"))})
+    rows = rows.withColumn("tk", F.xxhash64("text"))
     items = materialise(benchmark_items(bench, item_col, item_text_col), "items")
     marks = materialise(benchmark_windows(items, window, min_literals, shortest), "marks")
     kinds = sorted((r["exact"], r["size"]) for r in marks.select("exact", "size").distinct().collect()) or [(False, window)]
     words = {False: canonical_words(F.col("joined")), True: split_words(F.col("plain"))}
-    keyed = rows.withColumn("joined", join_names(F.col("plain"))).select("id", "tk", *[_hashes(words[e]).alias(f"hashes_{e}") for e in sorted({e for e, _ in kinds})])
+    keyed = rows.withColumn("plain", plain(F.col("text"))).withColumn("joined", join_names(F.col("plain"))).select("id", "tk", *[_hashes(words[e]).alias(f"hashes_{e}") for e in sorted({e for e, _ in kinds})])
+    # (outer: the filter that Spark infers for the other form would work out all windows once more)
     if len(kinds) == 1:
         e, size = kinds[0]
-        spots = keyed.select("id", "tk", F.lit(e).alias("exact"), F.lit(size).alias("size"), F.posexplode(_windows(F.col(f"hashes_{e}"), size)).alias("pos", "h"))
+        spots = keyed.select("id", "tk", F.lit(e).alias("exact"), F.lit(size).alias("size"), F.posexplode_outer(_windows(F.col(f"hashes_{e}"), size)).alias("pos", "h"))
     else:
         all_kinds = F.array(*[F.struct(F.lit(e).alias("exact"), F.lit(s).alias("size"), _windows(F.col(f"hashes_{e}"), s).alias("hs")) for e, s in kinds])
-        spots = keyed.select("id", "tk", F.explode(all_kinds).alias("w")).select("id", "tk", F.col("w.exact").alias("exact"), F.col("w.size").alias("size"), F.posexplode("w.hs").alias("pos", "h"))
+        spots = keyed.select("id", "tk", F.explode_outer(all_kinds).alias("w")).select("id", "tk", F.col("w.exact").alias("exact"), F.col("w.size").alias("size"), F.posexplode_outer("w.hs").alias("pos", "h"))
     held = F.broadcast(marks) if marks.count() <= BROADCAST_WINDOWS else marks
     hits = spots.join(held, ["h", "size", "exact"]).select("id", "tk", "item_id", "ik", "variant", "exact", "pos", "from", "at", "size", F.col("n_windows").alias("item_windows")).distinct()
     hits = materialise(hits, "hits")  # few rows, read twice below
@@ -154,7 +157,7 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     met = materialise(hits.select(F.col("id").alias("mid"), F.col("tk").alias("mtk")).distinct(), "met")
     met = F.broadcast(met) if met.count() <= BROADCAST_WINDOWS else met
     found = rows.join(met, rows["id"].eqNullSafe(met["mid"]) & (rows["tk"] == met["mtk"]), "left_semi").dropDuplicates(["id", "tk"])
-    found = found.withColumn("joined", join_names(F.col("plain"))).select(
+    found = found.withColumn("plain", plain(F.col("text"))).withColumn("joined", join_names(F.col("plain"))).select(
         F.col("id").alias("did"), F.col("tk").alias("dtk"), canonical_words(F.col("joined")).alias("dc"), split_words(F.col("joined")).alias("dw"), split_words(F.col("plain")).alias("du"))
     items = items.select(F.col("item_id").alias("iid"), F.col("ik").alias("iik"), F.col("variant").alias("iv"), "ic", "iw", "iu")
     full = hits.join(found, hits["id"].eqNullSafe(found["did"]) & (hits["tk"] == found["dtk"])).join(

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracemark.llm.common import discard, materialise
+from tracemark.llm.common import discard, join_hot, materialise
 from tracemark.llm.shingles import STEP, U, mix, shingle_set, signature
 
 BLOCK_TOKENS = 150_000
@@ -239,7 +239,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = materialise(docs.mapInArrow(_signatures(words), "id long, n long, s1 long, s2 long"), "signatures")
     classes = signed.filter("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    members = materialise(signed.join(classes, ["n", "s1", "s2"], "left").select(
+    # one text may be a large part of all rows
+    members = materialise(join_hot(signed, classes, ["n", "s1", "s2"], "left").select(
         "id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("rep")).otherwise(F.col("id")).alias("rep")), "members")
     discard(signed)
 
@@ -284,7 +285,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tokens = _only(named, grouped.select("id"), "left_semi").mapInArrow(_tokens(words), "id long, tokens binary")
     tiles = (inside.unionByName(asked).unionByName(asking).join(tokens, "id")
              .select("g", "i", "j", "query", "id", "tokens").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j"))
-    roots = components(tiles.mapInArrow(_tiles(num, den), "a long, b long"))
+    links = tiles.mapInArrow(_tiles(num, den), "a long, b long")
+    # the classes of one id are one document's
+    several = members.filter("n > 0 and id is not null").groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).filter("b < last")
+    links = links.unionByName(members.filter("n > 0").join(several.select("id", "b"), "id").select(F.col("rep").alias("a"), "b"))
+    roots = components(links)
     return members.join(roots, members["rep"] == roots["node"], "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
@@ -301,8 +306,6 @@ def op3(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs, words=3, threshold=(90, 100)).withColumnRenamed("id", "doc_id")
 
 
-
-
 OP3_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
