@@ -10,19 +10,29 @@ from tracemark.functions.scalars import pack_hash
 from tracemark.operators.peaks import with_halo
 
 
+ZONES = 8  # target zones in a block of time
+
+
 def generate_hashes(peaks: DataFrame, cfg: FingerprintConfig = FingerprintConfig(), key: str = "song_id") -> DataFrame:
     """M3 (J3, E4, P1): (key, hash, anchor_time) of peaks (key, t, f).
 
     An anchor's targets are the peaks of dt_min to dt_max frames later and at most df_max bins apart, the first
-    fan_out by (t, f); repeated peaks each act as an anchor and as a target. One shuffle, by key and block of time,
-    so that one long song is the work of many tasks; a block also sees the dt_max frames after it.
+    fan_out by (t, f); repeated peaks each act as an anchor and as a target. Repeated peaks are counted first, on the map
+    side too, so that a frame has a row for each bin at most, however many peaks there are, and a zone is bounded. Then
+    one shuffle goes by key and a block of a few zones, which also sees the dt_max frames after it: one long song is the
+    work of many tasks.
     """
-    rows = with_halo(peaks.select(key, F.col("t").cast("int").alias("t"), F.col("f").cast("int").alias("f")), 0, cfg.target_dt_max)
+    counted = peaks.groupBy(key, F.col("t").cast("int").alias("t"), F.col("f").cast("int").alias("f")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    rows = with_halo(counted, 0, cfg.target_dt_max, ZONES * cfg.target_dt_max)
+    # more repetitions than fan_out are never a target
+    peak = F.struct("t", "f", F.least("n", F.lit(cfg.fan_out)).alias("n"))
     zone = Window.partitionBy(key, "block").orderBy("t").rangeBetween(cfg.target_dt_min, cfg.target_dt_max)
-    near = rows.withColumn("zone", F.collect_list(F.struct("t", "f")).over(zone)).filter("own")
-    targets = F.slice(F.array_sort(F.filter("zone", lambda z: F.abs(z["f"] - F.col("f")) <= cfg.target_df_max)), 1, cfg.fan_out)
-    pairs = near.select(key, F.col("t").alias("anchor_time"), F.col("f").alias("f1"), F.explode(targets).alias("z"))
-    return pairs.select(key, pack_hash(F.col("f1"), F.col("z.f"), F.col("z.t") - F.col("anchor_time"), cfg).alias("hash"), "anchor_time")
+    near = rows.withColumn("zone", F.collect_list(peak).over(zone)).filter("own")
+    first = F.slice(F.array_sort(F.filter("zone", lambda z: F.abs(z["f"] - F.col("f")) <= cfg.target_df_max)), 1, cfg.fan_out)
+    targets = F.slice(F.flatten(F.transform(first, lambda z: F.array_repeat(z, z["n"]))), 1, cfg.fan_out)
+    pairs = near.select(key, F.col("t").alias("anchor_time"), F.col("f").alias("f1"), "n", F.explode(targets).alias("z"))
+    packed = pack_hash(F.col("f1"), F.col("z.f"), F.col("z.t") - F.col("anchor_time"), cfg)
+    return pairs.select(key, packed.alias("hash"), "anchor_time", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_")).drop("_")
 
 
 def check_bins(peaks: DataFrame, cfg: FingerprintConfig = FingerprintConfig()) -> DataFrame:

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EVENT_K, LINE_K, LENGTH = 200, 1000, 300
+LENGTH = 300  # ticks of a clip
+EVERY = 20  # the songs whose ids this divides are cut to clips, whole
 NOISE_DROP = 3  # every third row of a noisy clip is lost
 
 
@@ -29,14 +30,18 @@ def line_peaks(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(F.col("l_suppkey").alias("song_id"), days.cast("int").alias("t"), F.pmod("l_partkey", F.lit(512)).cast("int").alias("f"), F.col("l_extendedprice").alias("amp"))
 
 
-def clip_peaks(peaks: DataFrame, start: int, remainder: int = 0, length: int = LENGTH) -> DataFrame:
-    """Clips: the peaks of every seventh song from start on, with times from the clip's own start."""
-    cut = peaks.filter((F.pmod("song_id", F.lit(7)) == remainder) & (F.col("t") >= start) & (F.col("t") < start + length))
-    return cut.withColumns({"clip_id": F.col("song_id"), "t": F.col("t") - start}).drop("song_id")
+def _clip_id(length: int):
+    return (F.col("song_id") * 1000 + F.floor(F.col("t") / length) + 100).cast("long")
 
 
-def clip_ids(peaks: DataFrame, remainder: int = 0) -> DataFrame:
-    return peaks.filter(F.pmod("song_id", F.lit(7)) == remainder).select(F.col("song_id").alias("clip_id")).distinct()
+def clip_peaks(peaks: DataFrame, remainder: int = 0, length: int = LENGTH) -> DataFrame:
+    """Clips: all peaks of every twentieth song in stretches of `length` ticks, with times from the clip's own start."""
+    cut = peaks.filter(F.pmod("song_id", F.lit(EVERY)) == remainder)
+    return cut.withColumns({"clip_id": _clip_id(length), "t": (F.col("t") - F.floor(F.col("t") / length) * length).cast("int")}).drop("song_id")
+
+
+def clip_ids(peaks: DataFrame, remainder: int = 0, length: int = LENGTH) -> DataFrame:
+    return peaks.filter(F.pmod("song_id", F.lit(EVERY)) == remainder).select(_clip_id(length).alias("clip_id")).distinct()
 
 
 def part_songs(part: DataFrame) -> DataFrame:

@@ -26,38 +26,38 @@ def _songs(spark, d):
     return A.part_songs(A.table(spark, d, "part"))
 
 
-def _clip_hashes(rows: DataFrame, start: int, remainder: int = 0) -> DataFrame:
-    return hashing.generate_hashes(A.clip_peaks(rows, start, remainder), key="clip_id")
+def _clip_hashes(rows: DataFrame, remainder: int = 0) -> DataFrame:
+    return hashing.generate_hashes(A.clip_peaks(rows, remainder), key="clip_id")
 
 
-def _match(rows: DataFrame, start: int, clips: DataFrame, queries: DataFrame, index: DataFrame) -> DataFrame:
+def _match(clips: DataFrame, queries: DataFrame, index: DataFrame) -> DataFrame:
     found = matching.match_fingerprints(clips, queries, index)
     return found.select("clip_id", "is_match", "song_id", "best_song_id", "offset_frames", F.round("offset_s", 6).alias("offset_s"), F.round("confidence", 6).alias("confidence"),
                         "aligned_matches", "runner_up_matches", "query_hashes", "db_hits", F.size("candidates").cast("long").alias("n_candidates"))
 
 
 def identify_events(spark: SparkSession, d: str) -> DataFrame:
-    """M5: clips of every seventh user against the index of all users."""
+    """M5: clips of every twentieth user, in all stretches, against the index of all users."""
     rows = _events(spark, d)
-    return _match(rows, A.EVENT_K, A.clip_ids(rows), _clip_hashes(rows, A.EVENT_K), hashing.generate_hashes(rows))
+    return _match(A.clip_ids(rows), _clip_hashes(rows), hashing.generate_hashes(rows))
 
 
 def identify_lineitem(spark, d):
     rows = _lines(spark, d)
-    return _match(rows, A.LINE_K, A.clip_ids(rows), _clip_hashes(rows, A.LINE_K), hashing.generate_hashes(rows))
+    return _match(A.clip_ids(rows), _clip_hashes(rows), hashing.generate_hashes(rows))
 
 
 def identify_noisy(spark, d):
     """Clips that lost every third event."""
     rows = _events(spark, d)
     lossy = rows.filter(F.pmod("pid", F.lit(A.NOISE_DROP)) != 0)
-    return _match(rows, A.EVENT_K, A.clip_ids(rows), _clip_hashes(lossy, A.EVENT_K), hashing.generate_hashes(rows))
+    return _match(A.clip_ids(rows), _clip_hashes(lossy), hashing.generate_hashes(rows))
 
 
 def identify_unknown(spark, d):
     """Clips of users that are not in the index."""
     rows = _events(spark, d)
-    return _match(rows, A.EVENT_K, A.clip_ids(rows, 3), _clip_hashes(rows, A.EVENT_K, 3), hashing.generate_hashes(rows.filter(F.pmod("song_id", F.lit(7)) != 3)))
+    return _match(A.clip_ids(rows, 3), _clip_hashes(rows, 3), hashing.generate_hashes(rows.filter(F.pmod("song_id", F.lit(A.EVERY)) != 3)))
 
 
 def landmark_hashes(spark, d):
@@ -72,12 +72,12 @@ def pack_unpack(spark, d):
 
 def index_lookup(spark, d):
     rows = _events(spark, d)
-    return matching.lookup(hashing.generate_hashes(rows), _clip_hashes(rows, A.EVENT_K)).select("hash", "song_id", "anchor_time")
+    return matching.lookup(hashing.generate_hashes(rows), _clip_hashes(rows)).select("hash", "song_id", "anchor_time")
 
 
 def offset_join(spark, d):
     rows = _events(spark, d)
-    return matching.join_offsets(_clip_hashes(rows, A.EVENT_K), hashing.generate_hashes(rows))
+    return matching.join_offsets(_clip_hashes(rows), hashing.generate_hashes(rows))
 
 
 def _histogram(spark, d):
@@ -98,7 +98,7 @@ def top_candidates(spark, d):
 
 def query_stats(spark, d):
     rows = _events(spark, d)
-    return matching.query_stats(A.clip_ids(rows), _clip_hashes(rows, A.EVENT_K), hashing.generate_hashes(rows))
+    return matching.query_stats(A.clip_ids(rows), _clip_hashes(rows), hashing.generate_hashes(rows))
 
 
 def matches_enriched(spark, d):
@@ -243,10 +243,9 @@ def index_stats(spark, d):
 
 
 def item_counts(spark, d):
-    """Rows of every song's index, 0 where there are none."""
-    rows = _events(spark, d)
-    counts = hashing.generate_hashes(rows.filter("t < 100")).groupBy("song_id").agg(F.count(F.lit(1)).alias("n"))
-    return rows.select("song_id").distinct().join(counts, "song_id", "left").select("song_id", F.coalesce("n", F.lit(0)).alias("item_count"))
+    """Rows of every song's index, 0 where there are none: customers are the songs, and not all of them are users."""
+    counts = hashing.generate_hashes(_events(spark, d)).groupBy("song_id").agg(F.count(F.lit(1)).alias("n"))
+    return A.table(spark, d, "customer").select(F.col("c_custkey").alias("song_id")).join(counts, "song_id", "left").select("song_id", F.coalesce("n", F.lit(0)).alias("item_count"))
 
 
 def round_robin(spark, d):
@@ -361,16 +360,19 @@ def _hash_sql(source: str, key: str = "song_id") -> str:
  FROM {source} a JOIN {source} b ON a.{key} = b.{key} AND b.t - a.t BETWEEN 1 AND 63 AND abs(b.f - a.f) <= 127) WHERE nth <= 5"""
 
 
-def _match_ctes(rows: str, start: int, remainder: int = 0, query_filter: str = "true", index_filter: str = "true") -> str:
-    return f"""WITH p AS ({rows}), ip AS (SELECT * FROM p WHERE {index_filter}), c AS (SELECT pid, song_id AS clip_id, t - {start} AS t, f FROM p
-   WHERE song_id % 7 = {remainder} AND t >= {start} AND t < {start + A.LENGTH} AND {query_filter}),
+CLIP_ID = f"CAST(song_id * 1000 + floor(t / {A.LENGTH}.0) + 100 AS BIGINT)"
+
+
+def _match_ctes(rows: str, remainder: int = 0, query_filter: str = "true", index_filter: str = "true") -> str:
+    return f"""WITH p AS ({rows}), ip AS (SELECT * FROM p WHERE {index_filter}), c AS (SELECT pid, {CLIP_ID} AS clip_id, CAST(t - floor(t / {A.LENGTH}.0) * {A.LENGTH} AS INTEGER) AS t, f FROM p
+   WHERE song_id % {A.EVERY} = {remainder} AND {query_filter}),
  i AS ({_hash_sql('ip')}), q AS ({_hash_sql('c', 'clip_id')}),
  o AS (SELECT q.clip_id, i.song_id, CAST(i.anchor_time - q.anchor_time AS INTEGER) AS "offset" FROM q JOIN i ON q.hash = i.hash),
  h AS (SELECT clip_id, song_id, "offset", CAST(count(*) AS BIGINT) AS n FROM o GROUP BY ALL),
  s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY clip_id, song_id ORDER BY "offset" RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS score FROM h),
  b AS (SELECT clip_id, song_id, "offset" AS offset_frames, score AS aligned_matches FROM (SELECT *, row_number() OVER (PARTITION BY clip_id, song_id ORDER BY score DESC, "offset") AS r FROM s) WHERE r = 1),
  k AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY clip_id ORDER BY aligned_matches DESC, song_id) AS INTEGER) AS rank FROM b) WHERE rank <= 5),
- st AS (SELECT p.clip_id, coalesce(a.n, 0) AS query_hashes, coalesce(z.n, 0) AS db_hits FROM (SELECT DISTINCT song_id AS clip_id FROM p WHERE song_id % 7 = {remainder}) p
+ st AS (SELECT p.clip_id, coalesce(a.n, 0) AS query_hashes, coalesce(z.n, 0) AS db_hits FROM (SELECT DISTINCT {CLIP_ID} AS clip_id FROM p WHERE song_id % {A.EVERY} = {remainder}) p
    LEFT JOIN (SELECT clip_id, count(*) AS n FROM q GROUP BY 1) a ON a.clip_id = p.clip_id
    LEFT JOIN (SELECT d.clip_id, count(*) AS n FROM (SELECT DISTINCT clip_id, hash FROM q) d JOIN i ON i.hash = d.hash GROUP BY 1) z ON z.clip_id = p.clip_id),
  m AS (SELECT st.clip_id, st.query_hashes, st.db_hits, x.song_id AS best_song_id, x.offset_frames, coalesce(x.aligned_matches, 0) AS best, coalesce(y.aligned_matches, 0) AS ru,
@@ -380,7 +382,7 @@ def _match_ctes(rows: str, start: int, remainder: int = 0, query_filter: str = "
 
 MATCH_SELECT = """ SELECT clip_id, best_song_id IS NOT NULL AND best >= 5 AND conf >= 0.25 AS is_match, CASE WHEN best >= 5 AND conf >= 0.25 THEN best_song_id END AS song_id, best_song_id, offset_frames,
  round(offset_frames * 256.0::DOUBLE / 11025.0::DOUBLE, 6) AS offset_s, round(conf, 6) AS confidence, best AS aligned_matches, ru AS runner_up_matches, query_hashes, db_hits, n_candidates FROM mc"""
-EVENT_MATCH = _match_ctes(EVENT_SQL, A.EVENT_K)
+EVENT_MATCH = _match_ctes(EVENT_SQL)
 LINE_SUMS_SQL = f"""SELECT song_id, CAST(floor(t / 73.0) AS INTEGER) AS t, f % 32 AS f, CAST(sum(CAST(round(amp * 100) AS BIGINT)) AS BIGINT) AS cents FROM ({LINE_SQL}) GROUP BY ALL"""
 NEIGHBOR_SQL = f"""WITH u AS ({LINE_SUMS_SQL}), sp AS (SELECT song_id, min(t) AS lo, max(t) AS hi FROM u GROUP BY 1), ce AS (SELECT song_id, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS t FROM sp),
  cf AS (SELECT song_id, t, CAST(f AS INTEGER) AS f FROM ce, range(0, 32) x(f)), g AS (SELECT cf.song_id, cf.t, cf.f, coalesce(cents, 0) / 100000.0::DOUBLE AS db FROM cf LEFT JOIN u ON u.song_id = cf.song_id AND u.t = cf.t AND u.f = cf.f), n AS (SELECT a.song_id, a.t, a.f, any_value(a.db) AS db, max(b.db) AS nb_max, min(b.db) AS nb_min FROM g a JOIN g b ON a.song_id = b.song_id
@@ -400,9 +402,9 @@ def _order_sql(seed, *keys: str) -> str:
 
 REGISTRY: dict[str, tuple] = {
     "identify_events": (identify_events, EVENT_MATCH + MATCH_SELECT),
-    "identify_lineitem": (identify_lineitem, _match_ctes(LINE_SQL, A.LINE_K) + MATCH_SELECT),
-    "identify_noisy": (identify_noisy, _match_ctes(EVENT_SQL, A.EVENT_K, query_filter="pid % 3 <> 0") + MATCH_SELECT),
-    "identify_unknown": (identify_unknown, _match_ctes(EVENT_SQL, A.EVENT_K, 3, index_filter="song_id % 7 <> 3") + MATCH_SELECT),
+    "identify_lineitem": (identify_lineitem, _match_ctes(LINE_SQL) + MATCH_SELECT),
+    "identify_noisy": (identify_noisy, _match_ctes(EVENT_SQL, query_filter="pid % 3 <> 0") + MATCH_SELECT),
+    "identify_unknown": (identify_unknown, _match_ctes(EVENT_SQL, 3, index_filter="song_id % 20 <> 3") + MATCH_SELECT),
     "landmark_hashes": (landmark_hashes, f"WITH p AS ({LINE_SQL}) {_hash_sql('p')}"),
     "pack_unpack": (pack_unpack, f"WITH p AS ({EVENT_SQL}), h AS (SELECT DISTINCT hash FROM ({_hash_sql('p')})) SELECT hash, hash >> 17 AS f1, (hash >> 8) & 511 AS f2, hash & 255 AS dt, hash AS packed FROM h"),
     "index_lookup": (index_lookup, EVENT_MATCH + " SELECT hash, song_id, anchor_time FROM i WHERE hash IN (SELECT hash FROM q)"),
@@ -450,7 +452,7 @@ REGISTRY: dict[str, tuple] = {
     "status_latest": (status_latest, "SELECT o_custkey AS song_id, o_orderpriority AS index_name, o_orderstatus AS version, o_orderkey AS item_count, format('{:012d}', o_orderkey) AS batch_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1"),
     "cascade_delete": (cascade_delete, "SELECT l_suppkey AS song_id, count(*) AS n_rows FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1"),
     "index_stats": (index_stats, f"WITH p AS ({EVENT_SQL}) SELECT s AS songs, r AS rows, round(r::DOUBLE / greatest(1, s), 6) AS rows_per_song FROM (SELECT count(DISTINCT user_id) AS s FROM events), (SELECT count(*) AS r FROM ({_hash_sql('p')}))"),
-    "item_counts": (item_counts, f"WITH e AS ({EVENT_SQL}), p AS (SELECT * FROM e WHERE t < 100), h AS ({_hash_sql('p')}) SELECT s.song_id, coalesce(c.n, 0) AS item_count FROM (SELECT DISTINCT song_id FROM e) s LEFT JOIN (SELECT song_id, count(*) AS n FROM h GROUP BY 1) c USING (song_id)"),
+    "item_counts": (item_counts, f"WITH p AS ({EVENT_SQL}), h AS ({_hash_sql('p')}) SELECT s.song_id, coalesce(c.n, 0) AS item_count FROM (SELECT c_custkey AS song_id FROM customer) s LEFT JOIN (SELECT song_id, count(*) AS n FROM h GROUP BY 1) c USING (song_id)"),
     "round_robin": (round_robin, f"SELECT p_partkey, genre, CAST(turn AS INTEGER) AS turn, CAST(row_number() OVER (ORDER BY turn, genre) AS INTEGER) AS place FROM (SELECT p_partkey, p_brand AS genre, row_number() OVER (PARTITION BY p_brand ORDER BY {_order_sql(7, 'p_partkey')}, p_partkey) AS turn FROM part)"),
     "genre_counts": (genre_counts, f"SELECT coalesce(album, '?') AS genre, count(*) AS n_tracks FROM ({SONG_SQL}) GROUP BY 1"),
     "calib_split": (calib_split, f"SELECT doc_id, split FROM ({SPLIT_SQL})"),
