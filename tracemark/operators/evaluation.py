@@ -44,6 +44,14 @@ def query_grid(sources: DataFrame, clip_lengths: tuple[int, ...] = (5, 10), seed
     return rows.withColumn("start_s", seeded_uniform(seed, F.col("song_id"), F.col("clip_s")) * (F.col("duration_s") - F.col("clip_s")))
 
 
+def query_sources(positives: DataFrame, holdout: DataFrame) -> DataFrame:
+    """(kind, split, song_id, path, duration_s) of library songs (song_id, duration_s), which are positive and all for
+    tests, and of files outside of it (path, split, duration_s), negative ones for calibration and tests."""
+    inside = positives.select(F.lit("positive").alias("kind"), F.lit("test").alias("split"), "song_id", F.lit(None).cast("string").alias("path"), "duration_s")
+    outside = holdout.select(F.lit("negative").alias("kind"), "split", F.lit(None).cast("long").alias("song_id"), "path", "duration_s")
+    return inside.unionByName(outside)
+
+
 def cut_clips(queries: DataFrame) -> DataFrame:
     """Queries with samples cut to the clip."""
     return queries.withColumn("samples", slice_seconds(F.col("samples"), F.col("sample_rate"), F.col("start_s"), F.col("clip_s")))

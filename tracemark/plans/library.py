@@ -19,7 +19,7 @@ from tracemark.operators.audio import duration_s
 from tracemark.operators.matching import match_fingerprints
 from tracemark.plans.indexers import Indexer, default_indexers
 from tracemark.schemas import SONG_INDEXES, SONGS
-from tracemark.scratch import with_rank
+from tracemark.scratch import materialise, with_rank
 from tracemark.sources.files import decode
 
 OUTCOMES = ("ingested", "updated", "skipped", "failed")
@@ -33,12 +33,28 @@ class Library:
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self.init_schema()
 
+    def _fs(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _whole(self, path: str) -> bool:
+        """Whether a folder's first writer came to its end."""
+        fs, path = self._fs(f"{path}/_SUCCESS")
+        return fs.exists(path)
+
+    def _versions(self, name: str) -> list[str]:
+        """Folders of a table, name@N, in order; the first has no number."""
+        fs, root = self._fs(self.root)
+        names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(n for n in names if n == name or n.startswith(f"{name}@"))
+
     def _path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        """A table's last version that is whole, or the path of a first one."""
+        whole = [n for n in self._versions(name) if self._whole(f"{self.root}/{n}")]
+        return f"{self.root}/{whole[-1] if whole else name}"
 
     def _exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return any(self._whole(f"{self.root}/{n}") for n in self._versions(name))
 
     def init_schema(self) -> None:
         """Empty tables where there are none; what is there stays."""
@@ -62,14 +78,25 @@ class Library:
 
     def index(self, indexer: Indexer, version: str | None = None) -> DataFrame:
         """Live rows of an index, of one version (by default the indexer's own)."""
-        name = f"index_{indexer.name}"
-        if not self._exists(name):
-            return self.spark.createDataFrame([], f"{indexer.columns}, version string, batch_id string")
-        rows = self.spark.read.schema(f"{indexer.columns}, batch_id string, version string, bucket int").parquet(self._path(name))
-        rows = rows.filter(F.col("version") == (version or indexer.version))
+        return self._live(self._rows(indexer, version), indexer)
+
+    def _rows(self, indexer: Indexer, version: str | None = None) -> DataFrame:
+        """Rows of an index in one version, dead ones too."""
+        name, schema = f"index_{indexer.name}", f"{indexer.columns}, batch_id string, version string, bucket int"
+        rows = self.spark.read.schema(schema).parquet(self._path(name)) if self._exists(name) else self.spark.createDataFrame([], schema)
+        return rows.filter(F.col("version") == (version or indexer.version))
+
+    def _live(self, rows: DataFrame, indexer: Indexer) -> DataFrame:
         live = self.statuses().filter(F.col("index_name") == indexer.name).select("song_id", "version", "batch_id")
         return rows.join(live, ["song_id", "version", "batch_id"], "left_semi")
 
+    def lookup(self, hashes: DataFrame, indexer: Indexer) -> DataFrame:
+        """J1 on the stored index: live rows with one of the hashes (hash). Only the buckets of the hashes are read, and
+        only the rows that have one are held against the markers."""
+        wanted = hashes.select("hash").distinct()
+        buckets = [r[0] for r in wanted.select(F.pmod("hash", F.lit(self.buckets)).cast("int")).distinct().collect()]  # no more than there are
+        return self._live(self._rows(indexer).filter(F.col("bucket").isin(*buckets)).join(wanted, "hash", "left_semi"), indexer)
+
     def plan(self, files: DataFrame, indexers: list[Indexer]) -> DataFrame:
         """Work items (content_hash, index_name, version, sample_rate) of indexes that are missing or outdated."""
         wanted = self.spark.createDataFrame([(x.name, x.version, x.sample_rate) for x in indexers], "index_name string, version string, sample_rate int")
@@ -97,8 +124,8 @@ class Library:
         decoded = []
         for rate in sorted({x.sample_rate for x in indexers}):  # W2: decoded once for each rate
             due = work.join(todo.filter(F.col("sample_rate") == rate).select("content_hash").distinct(), "content_hash", "left_semi")
-            decode(due, rate).write.mode("overwrite").parquet(self._path(f"staging/{batch}/rate={rate}"))
-            decoded.append(self.spark.read.schema("content_hash string, sample_rate int, samples array<float>, error string").parquet(self._path(f"staging/{batch}/rate={rate}")).withColumn("rate_no", F.lit(len(decoded))))
+            decode(due, rate).write.mode("overwrite").parquet(f"{self.root}/staging/{batch}/rate={rate}")
+            decoded.append(self.spark.read.schema("content_hash string, sample_rate int, samples array<float>, error string").parquet(f"{self.root}/staging/{batch}/rate={rate}").withColumn("rate_no", F.lit(len(decoded))))
         got = reduce(DataFrame.unionByName, decoded)
         per_file = got.groupBy("content_hash").agg(F.max("error").alias("error"), F.max_by(duration_s(F.col("samples"), F.col("sample_rate")), "rate_no").alias("duration_s"))
         good = per_file.filter("error is null").select("content_hash", "duration_s")
@@ -133,12 +160,12 @@ class Library:
         return result
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self._path(name))
-        return self.spark.read.schema(df.schema).parquet(self._path(name))
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def _delete(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = self._fs(f"{self.root}/{name}")
+        fs.delete(path, True)
 
     def _append(self, indexer: Indexer, rows: DataFrame, batch: str) -> None:
         """Rows by version and bucket of the hash (else the song), sorted inside their files."""
@@ -159,29 +186,43 @@ class Library:
                            F.when(outcome.isin("ingested", "updated"), F.col("due")).otherwise(none).alias("indexes"))
 
     def stats(self, indexer: Indexer) -> DataFrame:
-        """Songs, fingerprints and bytes of their tables, from counts and a listing of files."""
+        """Songs, fingerprints, and bytes of their tables as the store counts them. Rows lie in buckets of their hash
+        and are sorted by it: they are the index, which has no bytes of its own."""
         def size(*names):
-            sizes = [self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self._path(n)).select("length") for n in names if self._exists(n)]
-            return reduce(DataFrame.unionByName, sizes).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"] if sizes else 0
+            return sum(fs.getContentSummary(path).getLength() for fs, path in (self._fs(self._path(n)) for n in names if self._exists(n)))
         rows, meta = size(f"index_{indexer.name}"), size("songs", "song_indexes")
         counts = self.songs().agg(F.count(F.lit(1)).alias("songs")).crossJoin(self.index(indexer).agg(F.count(F.lit(1)).alias("fingerprints")))
-        return counts.select("*", F.lit(rows).cast("long").alias("fingerprints_table_bytes"), F.lit(meta).cast("long").alias("metadata_bytes"), F.lit(rows + meta).cast("long").alias("database_bytes"))
+        sizes = {"fingerprints_table_bytes": rows, "fingerprints_index_bytes": 0, "metadata_bytes": meta, "database_bytes": rows + meta}
+        return counts.select("*", *[F.lit(n).cast("long").alias(c) for c, n in sizes.items()])
 
     def health(self, cfg: FingerprintConfig = FingerprintConfig()) -> DataFrame:
         """W8."""
         return self.songs().agg(F.count(F.lit(1)).alias("songs")).withColumn("version", F.lit(cfg.version()))
 
     def identify(self, clips: DataFrame, queries: DataFrame, fp: FingerprintConfig = FingerprintConfig(), cfg: MatchConfig = MatchConfig()) -> DataFrame:
-        """M5 against the index of the same version."""
+        """M5 against the index of the same version. The queries are written once: they tell which buckets to read."""
         from tracemark.plans.indexers import FingerprintIndexer
 
-        return match_fingerprints(clips, queries, self.index(FingerprintIndexer(fp)), cfg, fp)
+        queries = materialise(queries, "queries")
+        return match_fingerprints(clips, queries, self.lookup(queries, FingerprintIndexer(fp)), cfg, fp)
 
     def delete_song(self, song_ids: DataFrame) -> None:
         """Songs and all their rows go; the markers are rewritten without them, rows go with compact()."""
         live = self._markers().join(song_ids.select("song_id"), "song_id", "left_anti")
         self._replace("song_indexes", live)
 
+    def delete_index(self, song_ids: DataFrame, indexer: Indexer) -> None:
+        """W5 for one index: its rows of these songs go, and a later ingest makes them anew; songs and other indexes stay.
+        The songs get a marker of no version, which no row has."""
+        gone = self.statuses().filter(F.col("index_name") == indexer.name).join(song_ids.select("song_id"), "song_id", "left_semi")
+        none = {"version": F.lit(""), "item_count": F.lit(0).cast("long"), "indexed_at": F.current_timestamp(), "batch_id": F.lit(uuid.uuid4().hex)}
+        gone.withColumns(none).select(*self._markers().columns).coalesce(1).write.mode("append").parquet(self._path("song_indexes"))
+
+    def songs_without_rows_of(self, indexer: Indexer) -> DataFrame:
+        """Ids of songs whose latest marker names no current rows of an index."""
+        current = self.statuses().filter((F.col("index_name") == indexer.name) & (F.col("version") == indexer.version)).select(F.col("song_id").alias("id"))
+        return self.songs().select("id").join(current, "id", "left_anti")
+
     def compact(self, indexers: list[Indexer]) -> None:
         """Rewrite songs and indexes with live rows only."""
         self._replace("songs", self.songs())
@@ -192,15 +233,14 @@ class Library:
                 self._replace(f"index_{x.name}", live, ("version", "bucket"))
 
     def _replace(self, name: str, rows: DataFrame, by: tuple[str, ...] = ()) -> None:
-        """Write beside, then swap the folders."""
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        new, now, old = (self._path(f"{name}{x}") for x in (".new", "", ".old"))
-        rows.write.mode("overwrite").partitionBy(*by).parquet(new) if by else rows.write.mode("overwrite").parquet(new)
-        fs = fs_path(now).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.rename(fs_path(now), fs_path(old))
-        fs.rename(fs_path(new), fs_path(now))
-        fs.delete(fs_path(old), True)
-        self.spark.catalog.refreshByPath(now)
+        """Write the next version of a table, which holds from when it is whole, then delete those before. A stop on the
+        way leaves the old version in force, or the new one beside files that are not read."""
+        old = self._versions(name)
+        last = max((int(n.rpartition("@")[2]) for n in old if "@" in n), default=0)
+        new = f"{self.root}/{name}@{last + 1:08d}"
+        rows.write.partitionBy(*by).parquet(new) if by else rows.write.parquet(new)
+        for n in old:
+            self._delete(n)
 
 
 def latest_status(markers: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import wave
 from collections.abc import Iterator
 
@@ -78,25 +79,27 @@ def not_present(wanted: DataFrame, present: DataFrame, key: str = "track_id") ->
 
 
 def decode_wav(data: bytes, sample_rate: int) -> np.ndarray:
-    """PCM of 16 or 32 bits or 32-bit floats to mono float32 at sample_rate, a whole divisor of the file's rate.
+    """PCM of 8, 16, 24 or 32 bits or floats of 32 or 64 bits to mono float32 at sample_rate, from any rate.
 
-    Channels are added with 1/sqrt(2) each. A rate that does not divide raises ValueError.
+    Channels are added with 1/sqrt(2) each.
     """
     kind, rate, channels, bits, body = _riff(data)
-    if kind == 3 and bits == 32:
-        x = np.frombuffer(body[:len(body) // 4 * 4], "<f4").astype(np.float64)
-    elif kind in (1, 0xFFFE) and bits == 16:
-        x = np.frombuffer(body[:len(body) // 2 * 2], "<i2") / 32768.0
-    elif kind in (1, 0xFFFE) and bits == 32:
-        x = np.frombuffer(body[:len(body) // 4 * 4], "<i4") / 2147483648.0
+    width = bits // 8
+    body = body[:len(body) // max(width, 1) * width]
+    if kind in (1, 0xFFFE) and bits == 8:  # the only unsigned form
+        x = (np.frombuffer(body, np.uint8) - 128.0) / 128.0
+    elif kind in (1, 0xFFFE) and bits in (16, 24, 32):
+        wide = np.zeros((len(body) // width, 4), np.uint8)
+        wide[:, 4 - width:] = np.frombuffer(body, np.uint8).reshape(-1, width)
+        x = wide.reshape(-1).view("<i4") / 2.0 ** 31
+    elif kind == 3 and bits in (32, 64):
+        x = np.frombuffer(body, f"<f{width}").astype(np.float64)
     else:
-        raise ValueError(f"no PCM of 16 or 32 bits: format {kind}, {bits} bits")
+        raise ValueError(f"no PCM of 8 to 32 bits: format {kind}, {bits} bits")
+    if not channels or not rate:
+        raise ValueError("a WAV file without channels or rate")
     x = x[:len(x) // channels * channels].reshape(-1, channels)
-    mono = x[:, 0] if channels == 1 else x.sum(axis=1) / np.sqrt(2.0)
-    if rate != sample_rate:
-        if rate % sample_rate:
-            raise ValueError(f"{rate} Hz is no multiple of {sample_rate} Hz")
-        mono = decimate(mono, rate // sample_rate)
+    mono = resample(x[:, 0] if channels == 1 else x.sum(axis=1) / np.sqrt(2.0), rate, sample_rate)
     if not len(mono):
         raise ValueError("no audio in it")
     return mono.astype(np.float32)
@@ -119,11 +122,29 @@ def _riff(data: bytes) -> tuple[int, int, int, int, bytes]:
     return kind, rate, channels, int.from_bytes(form[14:16], "little"), body
 
 
-def decimate(x: np.ndarray, by: int, taps_each: int = 16) -> np.ndarray:
-    """Every by-th sample after a windowed-sinc low pass at the new half rate."""
-    n = np.arange(-taps_each * by, taps_each * by + 1)
-    h = np.sinc(n / by) * np.hamming(len(n))
-    return np.convolve(x, h / h.sum(), mode="same")[::by]
+def resample(x: np.ndarray, rate: int, to: int, zeros: int = 16) -> np.ndarray:
+    """x at another rate, by a windowed sinc with `zeros` zero crossings on each side, below the lower of the half rates.
+
+    The rates are in the ratio of whole numbers, so the output's samples fall into as many phases as the numerator, and
+    all samples of a phase have the same taps.
+    """
+    if rate == to or not len(x):
+        return x
+    shared = math.gcd(rate, to)
+    up, down = to // shared, rate // shared
+    cut = min(1.0, up / down)
+    half = math.ceil(zeros / cut)
+    around = np.arange(-half, half + 1)
+    padded = np.pad(x, half + 1)
+    out = np.zeros(-(-len(x) * up // down))
+    for phase in range(min(up, len(out))):
+        places = np.arange(phase, len(out), up) * down
+        at, part = places // up, (phase * down % up) / up
+        away = (around - part) * cut
+        taps = np.sinc(away) * np.where(abs(away) < zeros, np.cos(np.pi * away / (2 * zeros)) ** 2, 0.0)
+        for some in np.array_split(np.arange(len(at)), -(-len(at) // 4096)):  # a bounded number of windows at once
+            out[places[some] // down] = padded[at[some, np.newaxis] + around + half + 1] @ (taps / taps.sum())
+    return out
 
 
 def encode_wav(samples: np.ndarray, sample_rate: int) -> bytes:

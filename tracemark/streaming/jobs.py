@@ -45,10 +45,15 @@ def audio_files(spark: SparkSession, root: str) -> DataFrame:
     return files.filter(is_audio(F.col("path")) & F.col("length").between(1, Limits.song_bytes))
 
 
-def ingest_stream(files: DataFrame, library: Library, checkpoint: str, indexers=None, once: bool = True) -> StreamingQuery:
-    """New files to the library. Content hashes make a replayed batch do nothing."""
+def ingest_stream(files: DataFrame, library: Library, checkpoint: str, indexers=None, once: bool = True, remove_failed: bool = False) -> StreamingQuery:
+    """New files to the library. Content hashes make a replayed batch do nothing. remove_failed deletes the
+    stored uploads that could not be ingested, a list as long as the failures of one batch."""
     def each(df: DataFrame, batch_id: int) -> None:
-        library.ingest(df.select("path", "content").withColumn("source", F.lit("upload")), indexers)
+        found = library.ingest(df.select("path", "content").withColumn("source", F.lit("upload")), indexers)
+        if remove_failed:
+            for row in found.filter("outcome = 'failed'").select("path").collect():
+                fs, path = library._fs(row["path"])
+                fs.delete(path, False)
 
     writer = files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
