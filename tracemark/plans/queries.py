@@ -476,9 +476,15 @@ REGISTRY: dict[str, tuple] = {
 }
 
 
+def _all() -> dict[str, tuple]:
+    from tracemark.plans import library_queries  # which takes SQL from here
+
+    return REGISTRY | library_queries.REGISTRY
+
+
 def queries() -> dict:
-    return {name: f for name, (f, _) in REGISTRY.items()}
+    return {name: f for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
