@@ -91,6 +91,11 @@ def choose_tracks(tracks: DataFrame, genre: str, key: str, limit: int, skip: int
     return turns.orderBy("turn", "genre").offset(skip).limit(limit)
 
 
+def genre_counts(tracks: DataFrame, genre: str = "genre") -> DataFrame:
+    """Tracks of each genre; null is ?."""
+    return tracks.groupBy(F.coalesce(F.col(genre), F.lit("?")).alias("genre")).agg(F.count(F.lit(1)).alias("n_tracks"))
+
+
 def public_songs(songs: DataFrame) -> DataFrame:
     """Without path and content hash, with the address of the audio."""
     return songs.select("id", "source", "source_id", "title", "artist", "album", "duration_s", "created_at", F.format_string("/songs/%d/audio", F.col("id")).alias("audio_url"))

@@ -10,6 +10,7 @@ from tracemark.functions import scalars as S
 from tracemark.operators import audio, evaluation, hashing, library, matching, peaks
 from tracemark.plans import analogs as A
 from tracemark.plans.library import latest_status, outcome_counts, plan_stale
+from tracemark.sources.files import mark_first, with_content_hash
 
 SMALL = FingerprintConfig(n_fft=16, hop_length=8)
 
@@ -196,12 +197,9 @@ def confidence_labels(spark, d):
 
 def content_dedupe(spark, d):
     """Documents as files; the first of each content stays, in the order of paths."""
-    from pyspark.sql import Window
-
-    docs = A.table(spark, d, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("content_hash"))
-    order = Window.partitionBy("content_hash").orderBy("doc_id")
-    nth = F.row_number().over(order)
-    return docs.select("doc_id", "content_hash", F.when(nth == 1, "ingested").otherwise("skipped").alias("outcome"))
+    docs = with_content_hash(A.table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "content_hash")
+    marked = mark_first(docs, "doc_id")
+    return marked.select("doc_id", "content_hash", F.when(F.col("first"), "ingested").otherwise("skipped").alias("outcome"))
 
 
 def _plan_inputs(spark, d):
@@ -254,8 +252,7 @@ def round_robin(spark, d):
 
 def genre_counts(spark, d):
     """A19."""
-    songs = _songs(spark, d)
-    return songs.groupBy(F.coalesce("album", F.lit("?")).alias("genre")).agg(F.count(F.lit(1)).alias("n_tracks"))
+    return library.genre_counts(_songs(spark, d), "album")
 
 
 def _holdout(spark, d):

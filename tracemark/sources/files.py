@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemark.functions.scalars import is_audio, track_id_from_path
+from tracemark.scratch import join_hot
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -34,6 +35,14 @@ def with_content_hash(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("content_hash", F.sha2(F.col(content), 256))
 
 
+def mark_first(files: DataFrame, key: str = "path") -> DataFrame:
+    """Files with first, whether a file is the one of least key with its content_hash (rows that repeat a key are alike;
+    null is a content too). A content may have most of the files: keys fold on the map side, and files stay where they are."""
+    rows = files.withColumn("_content", F.coalesce("content_hash", F.lit("")))
+    least = rows.groupBy("_content").agg(F.min(key).alias("_least"))
+    return join_hot(rows, least, ["_content"]).withColumn("first", F.col(key).eqNullSafe(F.col("_least"))).drop("_content", "_least")
+
+
 def load_tracks(spark: SparkSession, path: str) -> DataFrame:
     """S3: a CSV whose first two rows name the columns (group and field): (track_id, title, artist, album, genre,
     subset, duration_s). Rows whose first cell is not all digits are skipped, cells are trimmed, empty ones null; of
