@@ -62,3 +62,29 @@ def test_nothing_else_imports_this_part():
             "        if name.startswith('tracemark.llm') or name == 'corpus_pipeline':\n            raise ModuleNotFoundError(name, name=name)\n"
             "sys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nq = e.queries()\nassert 'identify_events' in q and not any(k.startswith('op') or k == 'pipeline' for k in q if k[2:3].isdigit() or k == 'pipeline')")
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_run_against_brute_force(spark, sf):
+    """Language identification is a trained model, whose rows are taken; all that follows is done again, slowly."""
+    from test_counts_mixing_warc import brute_mixture
+    from test_dedup_and_joins import brute_components
+    from test_text_operators import brute_leaks
+
+    from tracemark.llm.mixing import temperature_weights
+
+    found = corpus_pipeline.language_id(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    least = {}
+    for r in found:
+        least[r["text"]] = min(r["doc_id"], least.get(r["text"], r["doc_id"]))
+    texts = [(i, t) for t, i in least.items()]
+    alone = {i for i, _, c in brute_components(texts, 5, 80, 100) if i == c}
+    texts = [(i, t) for i, t in texts if i in alone]
+    leaked = {d for d, _ in brute_leaks(texts, bench)}
+    source = {r["doc_id"]: r["source"] or "" for r in found}
+    rows = [(i, source[i], len(t.split())) for i, t in texts if i not in leaked]
+    totals = spark.createDataFrame([(s, sum(n for _, t, n in rows if t == s)) for s in {s for _, s, _ in rows}], "source string, tokens long")
+    weights = {r["source"]: r["weight"] for r in temperature_weights(totals, 1.0, 0.9, 4.0).collect()}
+    got = sorted(corpus_pipeline.run(spark, sf).collect(), key=lambda r: r["place"])
+    assert [(r["doc_id"], r["epoch"]) for r in got] == brute_mixture(rows, weights)
+    assert {r["doc_id"] for r in found} - alone >= {100, 101} and leaked == {102}
