@@ -74,7 +74,9 @@ def test_language_edge_cases(spark):
     flags = {r[0]: r[1] for r in df.select("doc_id", L.held_out(F.col("doc_id"))).collect()}
     import zlib
     assert all(flags[i] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(1, 6)) and flags[None] is False
-    assert "n/a" not in {r["doc_id"] for r in L.keep_identified(spark.createDataFrame(language_rows(60), "doc_id long, text string, lang string")).collect()}
+    rows = [*language_rows(60), (900, None, "en"), (901, "1 2", "de"), (902, "", None)]
+    kept = {r["doc_id"] for r in L.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"), min_score=0.0).collect()}
+    assert kept == set(range(60))
 
 
 def test_temperature_and_ftrl():
@@ -108,7 +110,8 @@ def test_leaks(spark):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     got = D.leaks(df, bench).collect()
     pairs = sorted((str(r["doc_id"]), r["item_id"]) for r in got)
-    assert pairs == sorted([("1", 1), ("2", 1), ("3", 1), ("7", 2), ("9", 2), ("10", 1), ("None", 1)]) or pairs == sorted([("1", 1), ("1", 1), ("2", 1), ("3", 1), ("7", 2), ("9", 2), ("10", 1), ("None", 1)]), pairs
+    # two texts of one id are two rows
+    assert pairs == sorted([("1", 1), ("1", 1), ("2", 1), ("3", 1), ("7", 2), ("9", 2), ("10", 1), ("None", 1)])
     full = {r["doc_id"]: r for r in got}
     assert full[2]["n_windows"] == full[2]["item_windows"] and full[2]["n_slots"] >= 3
     assert full[3]["n_windows"] < full[3]["item_windows"]
