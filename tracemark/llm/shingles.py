@@ -7,7 +7,10 @@ Two different shingles get one hash with a chance of about 2**-64.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -52,6 +55,48 @@ def word_hashes(text: str | None) -> np.ndarray:
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * STEP)
 
 
+def batch_windows(texts: pa.Array, words: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rabin-Karp hashes of all windows of so many words, case kept, of texts without nulls: (hash, row of the text), in order.
+
+    Whole texts are taken together up to `most` bytes, and hashed as one.
+    """
+    if not len(texts):
+        return
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        hashes, doc = _words_of(data[offsets[at]:offsets[stop]], offsets[at:stop + 1] - offsets[at])
+        n = max(0, len(hashes) - words + 1)
+        whole = doc[:n] == doc[words - 1:]
+        with np.errstate(over="ignore"):
+            acc = hashes[:n].copy()
+            for j in range(1, words):
+                acc = acc * STEP + hashes[j:n + j]
+            yield mix(acc[whole] + U(words)), doc[:n][whole] + at
+        at = stop
+
+
+def _words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of texts that lie one after another, and the number of its text."""
+    inside = ~_SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins = offsets[:-1][offsets[:-1] < len(data)]
+    first[begins] = inside[begins]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.empty(0, U), np.empty(0, np.int64)
+    letters = data[inside]
+    place = np.flatnonzero(first[inside])  # where words begin among the letters
+    length = np.diff(np.append(place, len(letters)))
+    up = powers(int(length.max()))[0]
+    with np.errstate(over="ignore"):
+        sums = np.add.reduceat((letters.astype(U) + U(1)) * up[np.arange(len(letters)) - np.repeat(place, length)], place)
+        return mix(sums + length.astype(U) * STEP), np.searchsorted(offsets[1:], starts, "right")
+
+
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; of fewer words, the whole sequence as one; of none, empty."""
     h = word_hashes(text)
