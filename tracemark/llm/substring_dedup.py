@@ -34,7 +34,7 @@ from tracemark.llm.shingles import U, batch_windows
 
 WINDOW = 13
 BLOCK_BYTES = (256 << 10, 8 << 20)  # least and most bytes of text in a block; between them, a block is 1/2000 of the corpus
-BUCKET_WINDOWS = 1_000_000  # about so many windows in a bucket
+BUCKET_WINDOWS = 2_000_000  # about so many windows in a bucket, at most
 LEAST_BITS = 6
 LAST = (1 << 63) - 1  # stands for a missing id
 PACKED = "bucket long, known boolean, docs binary, counts binary, hashes binary"
