@@ -72,7 +72,7 @@ def test_a_hot_window_is_one_entry_of_a_block(spark):
     passage = " ".join(f"w{i}" for i in range(13))
     rows = spark.createDataFrame([(i, passage) for i in range(5000)], DOCS).coalesce(1)
     packed = rows.select(F.col("doc_id").alias("id"), "text").mapInArrow(S._blocks(13, 6, 1 << 20), S.PACKED)
-    assert packed.filter("not known").select(F.sum(F.length("hashes") / 8)).first()[0] == 1
+    assert packed.filter("not known").select(F.sum(F.length("hashes") / S.HASH_BYTES)).first()[0] == 1
 
 
 def test_empty(spark):

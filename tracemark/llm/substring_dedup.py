@@ -12,7 +12,8 @@ document merge into maximal intervals of words, which are removed.
    documents share is one entry of a block, not one of a document.
 3. The repeats go to their documents, which mark the words.
 
-Results are exact up to collisions of 64-bit hashes: of n windows, a window is taken for a repeat by chance n / 2**64.
+Results are exact up to collisions of hashes, of which 56 bits tell windows of one bucket apart: as a bucket holds two million windows or
+so at every size, a window is taken for a repeat with a chance of 3e-11.
 
 Cases: a null text has no words; a text of fewer words than a window keeps all. Repeated rows of one id are one document, so
 nothing is removed from them for each other's sake. Rows without an id come after all others, and are one document too.
@@ -35,7 +36,7 @@ from tracemark.llm.shingles import U, batch_windows
 WINDOW = 13
 BLOCK_BYTES = (256 << 10, 8 << 20)  # least and most bytes of text in a block; between them, a block is 1/2000 of the corpus
 BUCKET_WINDOWS = 2_000_000  # about so many windows in a bucket, at most
-LEAST_BITS = 6
+LEAST_BITS, HASH_BYTES = 6, 7
 LAST = (1 << 63) - 1  # stands for a missing id
 PACKED = "bucket long, known boolean, docs binary, counts binary, hashes binary"
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
@@ -44,7 +45,7 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("removed",
 
 def _packed_bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     """values cut at ends, each piece as bytes."""
-    offsets = np.concatenate([[0], ends]).astype(np.int64) * values.itemsize
+    offsets = np.concatenate([[0], ends]).astype(np.int64) * (values.nbytes // max(1, len(values)))
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
@@ -53,6 +54,11 @@ def _ends(change: np.ndarray, n: int) -> np.ndarray:
     return np.append(np.flatnonzero(change) + 1, n)
 
 
+def kept_bits(bits: int) -> np.uint64:
+    """What is used of a hash: the upper bits, which name the bucket, and the lower 56."""
+    return U(((1 << bits) - 1) << (64 - bits) | (1 << 8 * HASH_BYTES) - 1)
+
+
 def _pack(hashes: np.ndarray, docs: np.ndarray, bits: int, known: bool) -> pa.RecordBatch:
     """(hash, document) pairs as one row for a bucket: its documents, their numbers of hashes, and the hashes by document."""
     bucket = (hashes >> U(64 - bits)).astype(np.int64)
@@ -64,7 +70,7 @@ def _pack(hashes: np.ndarray, docs: np.ndarray, bits: int, known: bool) -> pa.Re
     runs = np.searchsorted(run_ends, bucket_ends, "right")
     return pa.RecordBatch.from_arrays(
         [pa.array(bucket[bucket_ends - 1]), pa.array(np.full(len(runs), known)), _packed_bytes(docs[run_ends - 1], runs),
-         _packed_bytes(np.diff(run_ends, prepend=0).astype(np.int32), runs), _packed_bytes(hashes, bucket_ends)],
+         _packed_bytes(np.diff(run_ends, prepend=0).astype(np.int32), runs), _packed_bytes(hashes.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES], bucket_ends)],
         ["bucket", "known", "docs", "counts", "hashes"])
 
 
@@ -85,7 +91,7 @@ def _blocks(window: int, bits: int, block_bytes: int):
         ids, hashes, rows, n = [], [], [], 0
         for part_ids, texts in held:
             for h, r in batch_windows(texts, window):
-                hashes.append(h)
+                hashes.append(h & kept_bits(bits))
                 rows.append(r + n)
             ids.append(part_ids)
             n += len(part_ids)
@@ -118,26 +124,30 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _bucket_repeats(table: pa.Table) -> pa.Table:
+def _bucket_repeats(bits: int):
     """The repeats of one bucket's hashes: for a document, those that a document with a smaller id has."""
-    known = np.repeat(table["known"].to_numpy(), [len(x) // 8 for x in table["hashes"].to_pylist()])
-    hashes = _joined(table["hashes"], U)
-    docs = np.repeat(_joined(table["docs"], np.int64), _joined(table["counts"], np.int32))
-    out_h, out_d = hashes[known], docs[known]
-    hashes, docs = hashes[~known], docs[~known]
-    if len(hashes):
-        order = np.argsort(hashes, kind="stable")
-        hashes, docs = hashes[order], docs[order]
-        starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-        least = np.repeat(np.minimum.reduceat(docs, starts), np.diff(np.append(starts, len(docs))))
-        later = docs > least
-        out_h, out_d = np.concatenate([out_h, hashes[later]]), np.concatenate([out_d, docs[later]])
-    if not len(out_d):
-        return pa.table({"id": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary())})
-    order = np.argsort(out_d, kind="stable")
-    out_h, out_d = out_h[order], out_d[order]
-    ends = _ends(out_d[1:] != out_d[:-1], len(out_d))
-    return pa.table({"id": pa.array(out_d[ends - 1]), "hashes": _packed_bytes(out_h, ends)})
+    def run(table: pa.Table) -> pa.Table:
+        known = np.repeat(table["known"].to_numpy(), pc.binary_length(table["hashes"]).to_numpy() // HASH_BYTES)
+        hashes = np.zeros((len(known), 8), np.uint8)
+        hashes[:, :HASH_BYTES] = _joined(table["hashes"], np.uint8).reshape(-1, HASH_BYTES)
+        hashes = hashes.reshape(-1).view(U) | U(table["bucket"][0].as_py() << (64 - bits))
+        docs = np.repeat(_joined(table["docs"], np.int64), _joined(table["counts"], np.int32))
+        out_h, out_d = hashes[known], docs[known]
+        hashes, docs = hashes[~known], docs[~known]
+        if len(hashes):
+            order = np.argsort(hashes, kind="stable")
+            hashes, docs = hashes[order], docs[order]
+            starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+            least = np.repeat(np.minimum.reduceat(docs, starts), np.diff(np.append(starts, len(docs))))
+            later = docs > least
+            out_h, out_d = np.concatenate([out_h, hashes[later]]), np.concatenate([out_d, docs[later]])
+        if not len(out_d):
+            return pa.table({"id": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary())})
+        order = np.argsort(out_d, kind="stable")
+        out_h, out_d = out_h[order], out_d[order]
+        ends = _ends(out_d[1:] != out_d[:-1], len(out_d))
+        return pa.table({"id": pa.array(out_d[ends - 1]), "hashes": _packed_bytes(out_h, ends)})
+    return run
 
 
 def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -148,7 +158,7 @@ def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def _remove(window: int):
+def _remove(window: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, spans, kept = [], [], []
@@ -157,7 +167,7 @@ def _remove(window: int):
                 words, gone = text.encode().split(), []  # bytes are split at the six white-space characters only
                 counts.append(len(words))
                 if repeats:
-                    found = np.isin(np.concatenate([h for h, _ in batch_windows(texts.slice(at, 1), window)]), np.frombuffer(b"".join(repeats), U))
+                    found = np.isin(np.concatenate([h for h, _ in batch_windows(texts.slice(at, 1), window)]) & kept_bits(bits), np.frombuffer(b"".join(repeats), U))
                     mask = covered(np.flatnonzero(found), window, len(words))
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))).tolist()
                     gone = [{"start": a, "end": b} for a, b in zip(edges[0::2], edges[1::2], strict=True)]
@@ -180,10 +190,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int | Non
     bits = min(40, max(LEAST_BITS, math.ceil(math.log2(max(1, total / 6) / BUCKET_WINDOWS))))
     block = block_bytes or min(BLOCK_BYTES[1], max(BLOCK_BYTES[0], total // 2000))
     packed = rows.select("id", "text").mapInArrow(_blocks(window, bits, block), PACKED)
-    repeats = packed.groupBy("bucket").applyInArrow(_bucket_repeats, "id long, hashes binary")
+    repeats = packed.groupBy("bucket").applyInArrow(_bucket_repeats(bits), "id long, hashes binary")
     of_document = repeats.groupBy("id").agg(F.collect_list("hashes").alias("repeats"))
     return (rows.join(of_document, "id", "left").select("doc_id", "text", "repeats")
-            .mapInArrow(_remove(window), "doc_id long, n_words long, removed array<struct<start:int,end:int>>, kept string"))
+            .mapInArrow(_remove(window, bits), "doc_id long, n_words long, removed array<struct<start:int,end:int>>, kept string"))
 
 
 def op12(docs: DataFrame) -> DataFrame:
