@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemark.llm import chat_format, decontaminate, exact_dedup, hard_negatives, html_extract, jaccard_join, language_id, mixing, pii, substring_dedup, token_counts, warc
+from tracemark.llm import chat_format, decontaminate, exact_dedup, hard_negatives, html_extract, jaccard_join, language_id, mixing, pii, substring_dedup, token_alignment, token_counts, warc
 from tracemark.llm.common import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_mixing": lambda spark, d: mixing.op8(table(spark, d, "documents")),
         "op9_warc": lambda spark, d: warc.op9(table(spark, d, "pages")),
         "op10_token_counts": lambda spark, d: token_counts.op10(table(spark, d, "documents")),
+        "op11_token_alignment": lambda spark, d: token_alignment.op11(table(spark, d, "documents")),
         "op12_substring_dedup": lambda spark, d: substring_dedup.op12(table(spark, d, "documents")),
         "op13_hard_negatives": lambda spark, d: hard_negatives.op13(table(spark, d, "embeddings")),
     }

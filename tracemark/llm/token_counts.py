@@ -45,18 +45,21 @@ def _encoding(name: str, data: bytes):
     return _encodings[name]
 
 
-def bpe_counter(spark: SparkSession, vocabulary: str):
-    """A counter of tokens of a byte-level vocabulary file, which the driver reads (by Spark, where the path names a
-    store) and sends to the executors; its size is checked."""
-    if "://" in vocabulary:
-        row = spark.read.format("binaryFile").load(vocabulary).select("length", F.when(F.col("length") <= MAX_VOCABULARY, F.col("content")).alias("content")).first()
-        data = row["content"]
+def vocabulary_bytes(spark: SparkSession, path: str) -> bytes:
+    """A vocabulary file, which the driver reads (by Spark, where the path names a store); its size is checked."""
+    if "://" in path:
+        data = spark.read.format("binaryFile").load(path).select(F.when(F.col("length") <= MAX_VOCABULARY, F.col("content")).alias("content")).first()["content"]
     else:
-        with open(vocabulary, "rb") as file:
+        with open(path, "rb") as file:
             data = file.read(MAX_VOCABULARY + 1)
     if data is None or len(data) > MAX_VOCABULARY:
-        raise ValueError(f"{vocabulary} has more than {MAX_VOCABULARY} bytes")
-    held = spark.sparkContext.broadcast(bytes(data))
+        raise ValueError(f"{path} has more than {MAX_VOCABULARY} bytes")
+    return bytes(data)
+
+
+def bpe_counter(spark: SparkSession, vocabulary: str):
+    """A counter of tokens of a byte-level vocabulary file, which is sent to the executors."""
+    held = spark.sparkContext.broadcast(vocabulary_bytes(spark, vocabulary))
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
