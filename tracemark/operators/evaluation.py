@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracemark.config import FingerprintConfig, MatchConfig
 from tracemark.functions.scalars import seeded_uniform, stem, track_id_from_path
 from tracemark.operators.audio import slice_seconds
+from tracemark.operators.quantiles import percentiles
 from tracemark.scratch import with_rank
 
 SWEEP = (0.0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5)
@@ -108,16 +109,18 @@ def threshold_sweep(records: DataFrame, threshold: DataFrame, min_aligned: int =
 def offset_error(rows: DataFrame) -> DataFrame:
     """Median, 95th percentile and share within 100 ms of the offset errors of correct positives."""
     err = rows.filter((F.col("kind") == "positive") & F.col("correct")).select(F.abs(F.col("offset_s") - F.col("true_start_s")).alias("e"))
-    return err.agg(F.percentile("e", F.lit(0.5)).alias("median_s"), F.percentile("e", F.lit(0.95)).alias("p95_s"),
-                   F.avg((F.col("e") <= 0.1).cast("double")).alias("within_100ms"), F.count(F.lit(1)).alias("n"))
+    spread = percentiles(err, [], F.col("e"), {"median_s": 0.5, "p95_s": 0.95})
+    rest = err.agg(F.avg((F.col("e") <= 0.1).cast("double")).alias("within_100ms"), F.count(F.lit(1)).alias("n"))
+    return rest.join(spread, how="left").select("median_s", "p95_s", "within_100ms", "n")
 
 
 def latency(records: DataFrame) -> DataFrame:
     """By clip length, mean and percentiles of the total time, means of its parts, of hashes and of rows hit."""
     total = F.col("t_fingerprint_ms") + F.col("t_lookup_ms") + F.col("t_score_ms")
-    return records.groupBy("clip_s").agg(
-        F.avg(total).alias("mean_ms"), F.percentile(total, F.lit(0.5)).alias("p50_ms"), F.percentile(total, F.lit(0.95)).alias("p95_ms"),
-        *[F.avg(c).alias(c) for c in ("t_fingerprint_ms", "t_lookup_ms", "t_score_ms", "query_hashes", "db_hits")])
+    spread = percentiles(records, ["clip_s"], total, {"p50_ms": 0.5, "p95_ms": 0.95}).withColumnRenamed("clip_s", "_clip_s")
+    means = records.groupBy("clip_s").agg(
+        F.avg(total).alias("mean_ms"), *[F.avg(c).alias(c) for c in ("t_fingerprint_ms", "t_lookup_ms", "t_score_ms", "query_hashes", "db_hits")])
+    return means.join(spread, F.col("clip_s").eqNullSafe(F.col("_clip_s")), "left").drop("_clip_s")
 
 
 def index_size(index: DataFrame, songs: DataFrame) -> DataFrame:
