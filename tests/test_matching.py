@@ -106,3 +106,47 @@ def test_queries_and_entry_are_well_formed():
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and "identify_events" in q
     json.dumps(o)
+
+
+def test_zone_that_is_full_and_batches_that_cut_blocks(monkeypatch):
+    """Each anchor of a full grid has its first targets, from rows that come in small batches."""
+    import pyarrow as pa
+
+    from tracemark.operators import hashing as H
+
+    cfg = FingerprintConfig(target_dt_max=6, target_df_max=4, fan_out=3)
+    peaks = [(s, t, f) for s in ("a", None, "b") for t in range(-20, 120, 1 if s == "a" else 5) for f in range(0, 40, 3)] + [("a", 3, 6)] * 4
+    monkeypatch.setattr(H, "AT_ONCE", 70)
+    table = pa.table({"key": [p[0] for p in peaks], "t": pa.array([p[1] for p in peaks], pa.int32()), "f": pa.array([p[2] for p in peaks], pa.int32())})
+    spread = pa.Table.from_batches(H._blocks(6)(iter(table.to_batches(max_chunksize=50)))).sort_by([("key", "ascending"), ("block", "ascending"), ("t", "ascending"), ("f", "ascending")])
+    got = [(k, t, f, g, d) for b in H._pairs(cfg)(iter(spread.to_batches(max_chunksize=33))) for k, t, f, g, d, n in zip(*b.to_pydict().values()) for _ in range(n)]
+    want = []
+    for s, t, f in peaks:
+        zone = sorted((u, g) for q, u, g in peaks if q == s and 1 <= u - t <= 6 and abs(g - f) <= 4)[:3]
+        want += [(s, t, f, g, u - t) for u, g in zone]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_a_hash_of_a_third_of_all_rows_on_both_sides(spark):
+    """The join spreads it: no task has more than five times the median of pairs, and the result is the plain one."""
+    index = spark.range(15_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500 + 10).cast("int").alias("hash"), (F.col("id") % 40).alias("song_id"), (F.col("id") % 3000).cast("int").alias("anchor_time"))
+    queries = spark.range(600).select((F.col("id") % 9).alias("clip_id"), F.when(F.col("id") % 3 == 1, 7).otherwise(F.col("id") % 500 + 10).cast("int").alias("hash"), (F.col("id") % 50).cast("int").alias("anchor_time"))
+    cells = M.join_cells(queries, index, cell_rows=300, cell_share=100, cell_pairs=8000)
+    assert [(r["hash"], r["q_cells"] >= 1, r["i_cells"] > 15) for r in cells.collect()] == [(7, True, True)]
+    want = rows(M.counted_offsets(queries, index))
+    assert rows(M.counted_offsets(queries, index, cells)) == want and rows(M.offset_histogram(M.join_offsets(queries, index, cells)).select("clip_id", "song_id", "offset", "n")) == sorted((tuple(r[:4]) for r in map(tuple, M.counted_offsets(queries, index).collect())), key=str)
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(saved, ("false", "8", "-1")):
+            spark.conf.set(k, v)
+        def tasks(cells):
+            return sorted(r["n"] for r in M.join_offsets(queries, index, cells).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+        assert tasks(cells)[-1] <= 5 * tasks(cells)[len(tasks(cells)) // 2] < tasks(None)[-1]
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+
+
+def test_no_frequent_hashes(spark):
+    q, i = spark.createDataFrame([(1, 5, 0)], "clip_id long, hash int, anchor_time int"), spark.createDataFrame([], "hash int, song_id long, anchor_time int")
+    assert M.join_cells(q, i) is None and M.counted_offsets(q, i).isEmpty()

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemark.config import FingerprintConfig, MatchConfig
 from tracemark.functions.scalars import confidence_score, frames_to_seconds, is_match, shown_offset
+from tracemark.scratch import materialise
+
+
+SKETCHED = 1000  # hashes of a side that the sketch names; each more frequent than one row in so many is among them
+CELL_ROWS = 1 << 16  # rows of a hash in one cell, at least
+CELL_SHARE = 200  # a hash with more than one row in so many of its side is spread over cells
+CELL_PAIRS = 1 << 24  # pairs of a hash in one cell, at most
 
 
 def lookup(index: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -14,11 +23,49 @@ def lookup(index: DataFrame, hashes: DataFrame) -> DataFrame:
     return index.join(hashes.select("hash").distinct(), "hash", "left_semi")
 
 
-def join_offsets(queries: DataFrame, index: DataFrame) -> DataFrame:
+def join_cells(queries: DataFrame, index: DataFrame, cell_rows: int = CELL_ROWS, cell_share: int = CELL_SHARE, cell_pairs: int = CELL_PAIRS) -> DataFrame | None:
+    """(hash, q_cells, i_cells) of hashes that are too frequent for one task on either side; None if there are none.
+
+    A mergeable sketch of frequent items names the candidates of each side, which are then counted exactly. Rows of a side are dealt
+    over so many cells that none has more than its share, and more where the pairs in a cell would be too many. Both tables are
+    read by their hashes alone, so written ones are cheap to ask.
+    """
+    top = f"transform(approx_top_k(hash, {SKETCHED}, {10 * SKETCHED}), x -> x.item)"
+    sides = {"q": queries.select("hash"), "i": index.select("hash")}
+    # at most twice as many as a sketch names
+    hashes = reduce(DataFrame.unionByName, [side.agg(F.expr(top).alias("h")).select(F.explode("h").alias("hash")) for side in sides.values()]).distinct()
+    named = F.broadcast(materialise(hashes, "frequent"))
+    counts = reduce(DataFrame.unionByName, [df.join(named, "hash", "left_semi").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(s)) for s, df in sides.items()])
+    per_hash = counts.groupBy("hash").pivot("side", list(sides)).agg(F.sum("n")).filter("q > 0 and i > 0")
+    most = {s: max(cell_rows, df.count() // cell_share) for s, df in sides.items()}
+    q, i = (F.ceil(F.col(s) / most[s]) for s in sides)
+    more = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("i") / (q * i) / cell_pairs))
+    cells = per_hash.select("hash", q.cast("int").alias("q_cells"), (i * more).cast("int").alias("i_cells")).filter("q_cells > 1 or i_cells > 1")
+    cells = materialise(cells, "cells")
+    return None if cells.isEmpty() else cells
+
+
+def in_cells(rows: DataFrame, cells: DataFrame, own: str, other: str) -> DataFrame:
+    """rows with (q_cell, i_cell): a row of a hash with cells lies in one of its own side's, and in all of the other side's."""
+    known = rows.join(F.broadcast(cells), "hash", "left")
+    place = F.coalesce(F.pmod(F.xxhash64(*[c for c in rows.columns if c != "hash"]), F.col(f"{own}_cells")), F.lit(0).cast("long"))
+    last = F.coalesce(F.col(f"{other}_cells") - 1, F.lit(0))
+    return known.withColumn(f"{own}_cell", place).withColumn(f"{other}_cell", F.explode(F.sequence(F.lit(0), last))).withColumn(f"{other}_cell", F.col(f"{other}_cell").cast("long")).drop("q_cells", "i_cells")
+
+
+def hash_pairs(queries: DataFrame, index: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """queries joined with index on the hash. With cells, rows of a hash that is frequent on both sides meet in a grid of
+    tasks, each pair once, however many there are."""
+    if cells is None:
+        return queries.join(index, "hash")
+    return in_cells(queries, cells, "q", "i").join(in_cells(index, cells, "i", "q"), ["hash", "q_cell", "i_cell"]).drop("q_cell", "i_cell")
+
+
+def join_offsets(queries: DataFrame, index: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """(clip_id, song_id, offset) of each pair of equal hashes, repeated hashes on both sides counted in full."""
     q = queries.select("clip_id", "hash", F.col("anchor_time").alias("q_t"))
     i = index.select("hash", "song_id", F.col("anchor_time").alias("db_t"))
-    return q.join(i, "hash").select("clip_id", "song_id", (F.col("db_t") - F.col("q_t")).cast("int").alias("offset"))
+    return hash_pairs(q, i, cells).select("clip_id", "song_id", (F.col("db_t") - F.col("q_t")).cast("int").alias("offset"))
 
 
 def offset_histogram(offsets: DataFrame) -> DataFrame:
@@ -26,14 +73,13 @@ def offset_histogram(offsets: DataFrame) -> DataFrame:
     return offsets.groupBy("clip_id", "song_id", "offset").agg(F.count(F.lit(1)).alias("n"))
 
 
-def counted_offsets(queries: DataFrame, index: DataFrame) -> DataFrame:
+def counted_offsets(queries: DataFrame, index: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """J1, J2 and A1 in one pass over the index: the histogram of join_offsets, with hits, the index rows counted once for
     each hash of a clip whatever its repeats there. Summed over a clip, n are its pairs and hits its db_hits."""
-    sent = queries.groupBy("clip_id", "hash").agg(F.collect_list("anchor_time").alias("times"))
-    found = index.select("hash", "song_id", F.col("anchor_time").alias("db_t")).join(sent, "hash")
-    pairs = found.select("clip_id", "song_id", "db_t", F.posexplode("times").alias("nth", "q_t"))
-    return pairs.groupBy("clip_id", "song_id", (F.col("db_t") - F.col("q_t")).cast("int").alias("offset")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("nth") == 0, 1).otherwise(0)).alias("hits"))
+    times = queries.groupBy("clip_id", "hash", F.col("anchor_time").alias("q_t")).agg(F.count(F.lit(1)).alias("times"))
+    sent = times.withColumn("first", (F.col("q_t") == F.min("q_t").over(Window.partitionBy("clip_id", "hash"))).cast("long"))
+    pairs = hash_pairs(sent, index.select("hash", "song_id", F.col("anchor_time").alias("db_t")), cells)
+    return pairs.groupBy("clip_id", "song_id", (F.col("db_t") - F.col("q_t")).cast("int").alias("offset")).agg(F.sum("times").alias("n"), F.sum("first").alias("hits"))
 
 
 def tolerant_bins(histogram: DataFrame, tolerance: int = 1) -> DataFrame:
@@ -66,13 +112,13 @@ def query_stats(clips: DataFrame, queries: DataFrame, index: DataFrame) -> DataF
 
 
 def match_fingerprints(clips: DataFrame, queries: DataFrame, index: DataFrame, cfg: MatchConfig = MatchConfig(),
-                       fp: FingerprintConfig = FingerprintConfig()) -> DataFrame:
+                       fp: FingerprintConfig = FingerprintConfig(), cells: DataFrame | None = None) -> DataFrame:
     """M5 (J1, J2, A1, E5, A2, E6, A3, A4, P4, P5): one row for each clip of clips, with or without hashes.
 
     queries: (clip_id, hash, anchor_time); index: (hash, song_id, anchor_time). Without candidates the scores are 0
-    and nothing matches. Offsets may be negative.
+    and nothing matches. Offsets may be negative. cells: what join_cells finds in written queries and index.
     """
-    bins = tolerant_bins(counted_offsets(queries, index), cfg.offset_tolerance_frames)
+    bins = tolerant_bins(counted_offsets(queries, index, cells), cfg.offset_tolerance_frames)
     # the hits of a clip are summed beside the ranking: a second branch would read the index again
     songs = best_bins(bins).withColumn("db_hits", F.sum("hits").over(Window.partitionBy("clip_id")))
     ranked = rank_candidates(songs, max(2, cfg.top_candidates))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tracemark.config import FingerprintConfig, MatchConfig
 from tracemark.functions.scalars import title_or_stem
 from tracemark.operators.audio import duration_s
-from tracemark.operators.matching import match_fingerprints
+from tracemark.operators.matching import join_cells, match_fingerprints
 from tracemark.plans.indexers import Indexer, default_indexers
 from tracemark.schemas import SONG_INDEXES, SONGS
 from tracemark.scratch import materialise, with_rank
@@ -204,7 +204,8 @@ class Library:
         from tracemark.plans.indexers import FingerprintIndexer
 
         queries = materialise(queries, "queries")
-        return match_fingerprints(clips, queries, self.lookup(queries, FingerprintIndexer(fp)), cfg, fp)
+        met = self.lookup(queries, FingerprintIndexer(fp))
+        return match_fingerprints(clips, queries, met, cfg, fp, join_cells(queries, met))
 
     def delete_song(self, song_ids: DataFrame) -> None:
         """Songs and all their rows go; the markers are rewritten without them, rows go with compact()."""
