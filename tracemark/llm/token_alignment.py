@@ -21,12 +21,14 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +39,13 @@ A_SETTING, B_SETTING = "tracemark.tokenizer.a", "tracemark.tokenizer.b"
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"  # of the registered query, where the settings are absent
 CHUNK, PIECE, FAN_IN = 1 << 18, 1 << 16, 8  # bytes of a chunk, least characters of a piece, neighbours that one task composes
 BROADCAST_PAIRS = 4_000_000
+AT_ONCE = 1 << 20  # bytes of ids, and links, that are worked at together
 CHUNKS = "row long, doc_id long, chunk int, chunks int, a binary, b binary, a_start long, b_start long"
 FRAGMENT = "row long, doc_id long, chunk int, cut boolean, n_a long, n_b long, n_groups long, head_a binary, head_b binary, tail_a binary, tail_b binary, groups string, links binary"
+COLUMNS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string"
+RARE = pa.list_(pa.struct([("code", pa.int64()), ("times", pa.int64())]))
 # below this code point, letters, digits and white space are those of every Unicode version in use
 SETTLED = 0x530
-_held: dict = {}
 
 
 @dataclass
@@ -68,27 +72,32 @@ def _level_a(data: bytes) -> tuple:
     """(encoder of many texts, bytes of every id). Texts of settled characters go to a faster encoder of the same vocabulary, whose
     merges go by id, as they do in the file; its split of words differs for newer characters at most."""
     import tiktoken
-    from tokenizers import Tokenizer
 
     letters = byte_letters()
-    whole = Tokenizer.from_str(data.decode())
-    whole.encode_special_tokens = True
     held = json.loads(data)
     vocabulary = held["model"]["vocab"]
-    special = {t["content"] for t in held.get("added_tokens", [])}
-    table = [b""] * (max([*vocabulary.values(), *(t["id"] for t in held.get("added_tokens", []))]) + 1)
+    added = {t["content"]: t["id"] for t in held.get("added_tokens", [])}
+    table = [b""] * (max([*vocabulary.values(), *added.values()]) + 1)
     for word, i in vocabulary.items():
-        table[i] = word.encode() if word in special else bytes(letters[c] for c in word)
-    ranks = {table[i]: i for word, i in vocabulary.items() if word not in special}
-    merged = [m.split(" ") if isinstance(m, str) else m for m in held["model"]["merges"]]
-    made = [vocabulary["".join(m)] for m in merged]
+        table[i] = word.encode() if word in added else bytes(letters[c] for c in word)
+    ranks = {table[i]: i for word, i in vocabulary.items() if word not in added}
+    made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in held["model"]["merges"]]
+    del held, vocabulary
     fast = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if made == sorted(made) and len(ranks) == 256 + len(made) else None
 
+    def whole():  # only where a text needs it
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_str(data.decode())
+        out.encode_special_tokens = True
+        return out
+
     def encode(texts: list[str]) -> list:
         odd = [i for i, t in enumerate(texts) if fast is None or not (t.isascii() or max(t) < chr(SETTLED))]
         out: list = [None] * len(texts)
-        for i, e in zip(odd, whole.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
-            out[i] = e.ids
+        if odd:
+            for i, e in zip(odd, once(("whole", hash(data)), whole).encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
+                out[i] = e.ids
         return [fast.encode_ordinary(t) if ids is None else ids for t, ids in zip(texts, out, strict=True)]
     return encode, table
 
@@ -102,13 +111,19 @@ def _level_b(data: bytes) -> tuple:
     return (lambda texts: model.encode(texts, num_threads=1)), table, not any("▁" in n.lstrip("▁") for n in names)
 
 
+def once(key: tuple, make):
+    """What make gives, once in a process: functions come to a worker with each task anew, so their module cannot hold it."""
+    held = sys.modules.setdefault("tracemark_worker_cache", ModuleType("tracemark_worker_cache")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def tokenizers(data_a: bytes, data_b: bytes) -> Pair:
-    """The pair of a worker, made once."""
-    key = (len(data_a), hash(data_a), hash(data_b))
-    if key not in _held:
+    def make() -> Pair:
         (encode_a, a), (encode_b, b, cuts) = _level_a(data_a), _level_b(data_b)
-        _held[key] = Pair(encode_a, encode_b, a, b, np.array([*map(len, a)], np.int64), np.array([*map(len, b)], np.int64), cuts)
-    return _held[key]
+        return Pair(encode_a, encode_b, a, b, np.array([*map(len, a)], np.int64), np.array([*map(len, b)], np.int64), cuts)
+    return once(("tokenizers", hash(data_a), hash(data_b)), make)
 
 
 def pieces(text: str, least: int) -> list[str]:
@@ -154,23 +169,33 @@ def byte_chunks(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.nda
     return [(a[at[0][k]:at[0][k + 1]], b[at[1][k]:at[1][k + 1]], int(starts[0][at[0][k]]), int(starts[1][at[1][k]])) for k in range(n)]
 
 
-def groups_text(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, names: tuple) -> str:
-    """Closed groups as a1,a2|b1;a3|b2,b3; last_*: whether a token ends its group."""
-    if not len(a):
-        return ""
-    before_a = np.cumsum(last_a) - last_a  # the number of a token's group
-    before_b = np.cumsum(last_b) - last_b
+def overlaps(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple:
+    """Of tokens that begin and end together: whether each token of A and of B ends its group, and the places of the tokens of every link."""
+    end_a, end_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
+    first = np.searchsorted(end_b, end_a - size_a[a], "right")
+    last = np.searchsorted(end_b, end_a)  # the token of B in which one of A ends
+    n = last - first + 1
+    at_a = np.repeat(np.arange(len(a)), n)
+    at_b = np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(at_a))
+    ends_a = end_b[last] == end_a
+    ends_b = np.zeros(len(b), bool)
+    ends_b[last[ends_a]] = True
+    return ends_a, ends_b, at_a, at_b
+
+
+def group_words(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, names: tuple) -> np.ndarray:
+    """The ids of closed groups with what follows them, in the order of a1,a2|b1;a3|b2,b3;"""
+    before_a, before_b = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b  # the number of a token's group
     count_a, count_b = np.bincount(before_a), np.bincount(before_b)
     out = np.empty(len(a) + len(b), object)
-    out[np.arange(len(a)) + (np.cumsum(count_b) - count_b)[before_a]] = names[0][2 * a + last_a]
-    out[np.arange(len(b)) + np.cumsum(count_a)[before_b]] = names[1][2 * b + last_b]
-    return "".join(out.tolist())[:-1]
+    out[np.arange(len(a)) + (np.cumsum(count_b) - count_b)[before_a]] = names[0][2 * a + ends_a]
+    out[np.arange(len(b)) + np.cumsum(count_a)[before_b]] = names[1][2 * b + ends_b]
+    return out
 
 
-@lru_cache(maxsize=4)
 def _names(n_a: int, n_b: int) -> tuple[np.ndarray, np.ndarray]:
     """The texts of ids with what follows them: inside a group, and at its end."""
-    return tuple(np.array([f"{i}{end}" for i in range(n) for end in ends], object) for n, ends in ((n_a, ",|"), (n_b, ",;")))
+    return once(("names", n_a, n_b), lambda: tuple(np.array([f"{i}{end}" for i in range(n) for end in ends], object) for n, ends in ((n_a, ",|"), (n_b, ",;"))))
 
 
 @dataclass
@@ -189,12 +214,10 @@ class Fragment:
 
 def closed(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, want_text: bool) -> tuple[int, str, bytes]:
     """(number of groups, their text, codes of their links) of tokens that begin and end together."""
-    end_a, end_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
-    ends = np.union1d(end_a, end_b)  # each stretch between ends is the overlap of one pair
-    codes = a[np.searchsorted(end_a, ends)] * len(size_b) + b[np.searchsorted(end_b, ends)]
-    last_a, last_b = np.isin(end_a, end_b), np.isin(end_b, end_a)
-    text = groups_text(a, b, last_a.astype(np.int64), last_b.astype(np.int64), _names(len(size_a), len(size_b))) if want_text else ""
-    return int(last_a.sum()), text, codes.astype(np.uint32).tobytes()
+    ends_a, ends_b, at_a, at_b = overlaps(a, b, size_a, size_b)
+    codes = a[at_a] * len(size_b) + b[at_b]
+    text = "".join(group_words(a, b, ends_a, ends_b, _names(len(size_a), len(size_b))).tolist())[:-1] if want_text else ""
+    return int(ends_a.sum()), text, codes.astype(np.uint32).tobytes()
 
 
 def fragment(a: np.ndarray, b: np.ndarray, a_start: int, b_start: int, size_a: np.ndarray, size_b: np.ndarray, want_text: bool = True) -> Fragment:
@@ -238,8 +261,8 @@ def _write_chunks(held, chunk: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = tokenizers(*held.value)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
                 rows = []
                 for row, doc, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), encoded(pair, part.column(2).to_pylist(), piece), strict=True):
                     parts = byte_chunks(*ids, pair.size_a, pair.size_b, chunk) if ids else [(np.empty(0, np.int64), np.empty(0, np.int64), 0, 0)]
@@ -265,16 +288,111 @@ def _fragment(r: dict) -> Fragment:
     return Fragment(r["cut"], (r["head_a"], r["head_b"]), (r["tail_a"], r["tail_b"]), r["n_groups"], (r["n_a"], r["n_b"]), r["groups"], r["links"])
 
 
-def _fragments(sizes, whole: bool, want_text: bool):
+@dataclass
+class Aligned:
+    """A number of whole texts: columns of a row for each, and the codes of all their links, text after text."""
+
+    row: list
+    doc_id: list
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    groups: list[str]
+    codes: np.ndarray
+
+
+def whole_texts(rows: list[dict], size_a: np.ndarray, size_b: np.ndarray, want_text: bool) -> Aligned:
+    """Texts of one chunk have no open ends: their closed groups, of many texts at once, as one stretch of tokens."""
+    parts = [(_wide(r["a"], size_a), _wide(r["b"], size_b)) for r in rows]
+    a, b = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    n_a, n_b = (np.array([len(p[k]) for p in parts], np.int64) for k in (0, 1))
+    ends_a, ends_b, at_a, at_b = overlaps(a, b, size_a, size_b)
+    text_a, until = np.repeat(np.arange(len(rows)), n_a), np.cumsum(n_a + n_b)
+    words = group_words(a, b, ends_a.astype(np.int64), ends_b.astype(np.int64), _names(len(size_a), len(size_b))).tolist() if want_text else []
+    groups = ["".join(words[end - n:end])[:-1] for end, n in zip(until.tolist(), (n_a + n_b).tolist(), strict=True)]
+    return Aligned([r["row"] for r in rows], [r["doc_id"] for r in rows], n_a, n_b, np.bincount(text_a[ends_a], minlength=len(rows)),
+                   np.bincount(text_a[at_a], minlength=len(rows)), groups, (a[at_a] * len(size_b) + b[at_b]).astype(np.uint32))
+
+
+def _whole(sizes, want_text: bool, finish):
+    """Chunks of whole texts, a bounded number of bytes of ids at a time, to what finish makes of them."""
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[Aligned]:
+        for batch in batches:
+            total = np.cumsum(pc.binary_length(batch.column("a")).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(batch):
+                stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE)))
+                yield whole_texts(batch.slice(at, stop - at).to_pylist(), *sizes.value, want_text)
+                at = stop
+    return lambda batches: finish(aligned(batches))
+
+
+def _composed(finish):
+    """Fragments of whole texts to what finish makes of them."""
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[Aligned]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                codes = np.frombuffer(r["links"], np.uint32)
+                yield Aligned([r["row"]], [r["doc_id"]], *(np.array([x], np.int64) for x in (r["n_a"], r["n_b"], r["n_groups"], len(codes))), [r["groups"]], codes)
+    return lambda batches: finish(aligned(batches))
+
+
+def _columns(x: Aligned, **more) -> pa.RecordBatch:
+    named = {"row": x.row, "doc_id": x.doc_id, "n_a": x.n_a, "n_b": x.n_b, "n_groups": x.n_groups, "n_links": x.n_links}
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in named.values()), pa.array(x.groups, pa.string()), *more.values()], [*named, "groups", *more])
+
+
+def _with_links(found: Iterator[Aligned]) -> Iterator[pa.RecordBatch]:
+    for x in found:
+        ends = np.cumsum(x.n_links)
+        yield _columns(x, links=pa.array([x.codes[end - n:end].tobytes() for end, n in zip(ends.tolist(), x.n_links.tolist(), strict=True)], pa.binary()))
+
+
+def _counted(found: Iterator[Aligned]) -> Iterator[pa.RecordBatch]:
+    """(code, n): partial counts of links."""
+    held, size = [], 0
+    for x in found:
+        held.append(x.codes)
+        if (size := size + len(x.codes)) > AT_ONCE:
+            yield _counts(held)
+            held, size = [], 0
+    if size:
+        yield _counts(held)
+
+
+def _counts(held: list[np.ndarray]) -> pa.RecordBatch:
+    codes, n = np.unique(np.concatenate(held), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
+
+
+def _scored(held):
+    """Sums over the links of a text whose pair is in the broadcast table; rare: its other links."""
+    def finish(found: Iterator[Aligned]) -> Iterator[pa.RecordBatch]:
+        known, n, best = held.value
+        for x in found:
+            code, inverse = np.unique(x.codes, return_inverse=True)
+            at = np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))
+            there = known[at] == code if len(known) else np.zeros(len(code), bool)
+            count = np.where(there, n[at], 0) if len(known) else np.zeros(len(code), np.int64)
+            top = there & (count == best[code % len(best)])
+            ends = np.cumsum(x.n_links)
+            sums, bests, rare = (np.concatenate([[0], np.cumsum(c[inverse])]) for c in (count, top.astype(np.int64), ~there))
+            others = [None] * len(ends)
+            for k in np.flatnonzero(np.diff(rare[np.append(0, ends)])):
+                some, times = np.unique(x.codes[ends[k] - x.n_links[k]:ends[k]][~there[inverse[ends[k] - x.n_links[k]:ends[k]]]], return_counts=True)
+                others[k] = [{"code": c, "times": t} for c, t in zip(some.tolist(), times.tolist(), strict=True)]
+            yield _columns(x, count_sum=pa.array(sums[ends] - sums[ends - x.n_links]), n_best=pa.array(bests[ends] - bests[ends - x.n_links]), rare=pa.array(others, RARE))
+    return finish
+
+
+def _fragments(sizes, want_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size_a, size_b = sizes.value
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                rows = []
-                for r in batch.slice(at, 256).to_pylist():
-                    f = fragment(_wide(r["a"], size_a), _wide(r["b"], size_b), r["a_start"], r["b_start"], size_a, size_b, want_text)
-                    rows.append(_row(r["row"], r["doc_id"], r["chunk"], _settled(f, size_a, size_b, want_text) if whole and f.cut else f))
-                yield _batch(rows, FRAGMENT)
+            for r in batch.to_pylist():
+                f = fragment(_wide(r["a"], size_a), _wide(r["b"], size_b), r["a_start"], r["b_start"], size_a, size_b, want_text)
+                yield _batch([_row(r["row"], r["doc_id"], r["chunk"], f)], FRAGMENT)
     return run
 
 
@@ -310,41 +428,26 @@ class Alignment:
         self.chunks = materialise(rows.mapInArrow(_write_chunks(context.broadcast(data), chunk, piece), CHUNKS), "token-chunks")
         self.most_chunks = self.chunks.agg(F.max("chunks")).first()[0] or 1
 
-    def fragments(self, want_text: bool = True) -> DataFrame:
-        """The whole alignment of every text as one closed fragment."""
-        whole = self.chunks.filter("chunks = 1").mapInArrow(_fragments(self.sizes, True, want_text), FRAGMENT)
+    def _aligned(self, finish, columns: str, want_text: bool = True) -> DataFrame:
+        """What finish makes of all texts: those of one chunk, and those whose fragments meet in a tree."""
+        whole = self.chunks.filter("chunks = 1").mapInArrow(_whole(self.sizes, want_text, finish), columns)
         if self.most_chunks == 1:
             return whole
-        parts = self.chunks.filter("chunks > 1").repartition("row", "chunk").mapInArrow(_fragments(self.sizes, False, want_text), FRAGMENT)
+        parts = self.chunks.filter("chunks > 1").repartition("row", "chunk").mapInArrow(_fragments(self.sizes, want_text), FRAGMENT)
         width = self.most_chunks
         while width > 1:
             width = -(-width // FAN_IN)
             parts = parts.groupBy("row", F.floor(F.col("chunk") / FAN_IN).alias("next")).applyInArrow(_neighbours(self.sizes, width == 1, want_text), FRAGMENT)
-        return whole.unionByName(parts)
+        return whole.unionByName(parts.mapInArrow(_composed(finish), columns))
 
     def links(self) -> DataFrame:
         """a, b, n: how many links of the corpus hold this pair of ids."""
-        def combined(batches):
-            held, size = [], 0
-            for batch in batches:
-                held += [x for x in batch.column(0).to_pylist() if x]
-                size += batch.column(0).nbytes
-                if size > 16 << 20:
-                    yield counted(held)
-                    held, size = [], 0
-            if held:
-                yield counted(held)
-
-        def counted(held):
-            codes, n = np.unique(np.frombuffer(b"".join(held), np.uint32), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
-
-        counts = self.fragments(want_text=False).select("links").mapInArrow(combined, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        counts = self._aligned(_counted, "code long, n long", want_text=False).groupBy("code").agg(F.sum("n").alias("n"))
         return counts.select(F.floor(F.col("code") / self.n_b).alias("a"), (F.col("code") % self.n_b).alias("b"), "n")
 
     def groups(self) -> DataFrame:
         """row, doc_id, n_a, n_b, n_groups, n_links, groups (as a1,a2|b1;a3|b2,b3), links (packed codes of 32 bits, a * size of B + b)."""
-        return self.fragments().select("row", "doc_id", "n_a", "n_b", "n_groups", F.floor(F.length("links") / 4).alias("n_links"), "groups", "links")
+        return self._aligned(_with_links, f"{COLUMNS}, links binary")
 
     def scored(self, most: int = BROADCAST_PAIRS) -> DataFrame:
         """groups() without links, but with n_best, the links whose count is the highest of their B id, and count_sum, the sum of all links' counts.
@@ -369,24 +472,7 @@ class Alignment:
         order = np.argsort(table["code"].to_numpy())
         held = self.spark.sparkContext.broadcast((table["code"].to_numpy()[order], table["n"].to_numpy()[order], best))
 
-        def score(batches):
-            codes, n, best = held.value
-            for batch in batches:
-                sums, bests, rare = [], [], []
-                for links in batch.column("links").to_pylist():
-                    code, times = np.unique(np.frombuffer(links or b"", np.uint32), return_counts=True)
-                    at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
-                    there = codes[at] == code if len(codes) else np.zeros(len(code), bool)
-                    count = n[at[there]]
-                    sums.append(int((count * times[there]).sum()))
-                    bests.append(int(times[there][count == best[code[there] % len(best)]].sum()))
-                    rare.append(list(zip(code[~there].tolist(), times[~there].tolist(), strict=True)) or None)
-                names = [x for x in batch.schema.names if x != "links"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(sums, pa.int64()), pa.array(bests, pa.int64()),
-                                                  pa.array(rare, pa.list_(pa.struct([("code", pa.int64()), ("times", pa.int64())])))], [*names, "count_sum", "n_best", "rare"])
-
-        columns = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string"
-        out = self.groups().mapInArrow(score, f"{columns}, count_sum long, n_best long, rare array<struct<code:long,times:long>>")
+        out = self._aligned(_scored(held), f"{COLUMNS}, count_sum long, n_best long, rare array<struct<code:long,times:long>>")
         if not least:
             return out.drop("rare")
         out = materialise(out, "aligned")
@@ -394,7 +480,7 @@ class Alignment:
         more = rare.join(counts, "code").join(F.broadcast(top), "b").groupBy("row").agg(
             F.sum(F.col("n") * F.col("times")).alias("more_sum"), F.sum(F.when(F.col("n") == F.col("top"), F.col("times")).otherwise(0)).alias("more_best"))
         return out.drop("rare").join(more, "row", "left").select(
-            *[c.split()[0] for c in columns.split(", ")], (F.col("count_sum") + F.coalesce("more_sum", F.lit(0))).alias("count_sum"), (F.col("n_best") + F.coalesce("more_best", F.lit(0))).alias("n_best"))
+            *[c.split()[0] for c in COLUMNS.split(", ")], (F.col("count_sum") + F.coalesce("more_sum", F.lit(0))).alias("count_sum"), (F.col("n_best") + F.coalesce("more_best", F.lit(0))).alias("n_best"))
 
 
 def op11(docs: DataFrame) -> DataFrame:
