@@ -3,7 +3,8 @@
 Entities are found by patterns, once. Each distinct entity (of one type, in its normal form) gets a surrogate from a
 keyed digest (HMAC): digits stand for digits and letters for letters of the same script and case, none for itself. Names
 are taken word by word, so that "Mr. John Smith", "Dr. John Smith" and "Mr. Smith" share what they have in common: given
-names are drawn by script and gender, family names by script. The surrogates are then checked against each other and
+names are drawn by script and gender, family names by script. A name that a text gives with a title or in full goes wherever
+the text has it again, as one word ("Smith said"), too. The surrogates are then checked against each other and
 against the entities themselves; those that collide draw again, so that different entities stay different and one
 entity has one surrogate everywhere.
 """
@@ -26,8 +27,10 @@ FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Do
 NEUTRAL = ("Dr", "Prof")
 # fixed values: given names by script and gender; they are found without a title, and the first to be drawn
 FIRST = {
-    ("latin", "m"): ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Ivan", "James", "John", "Jonas", "Juan", "Marco", "Michael", "Nils", "Oscar", "Paul", "Peter", "Pierre", "Rene", "Robert", "Simon", "Thomas", "William"),
-    ("latin", "f"): ("Alma", "Anna", "Bella", "Clara", "Diana", "Elena", "Elizabeth", "Flora", "Hanna", "Irene", "Jane", "Jennifer", "Julia", "Laura", "Maria", "Marie", "Mary", "Nora", "Olga", "Paula", "Rosa", "Sarah", "Sofia", "Susan"),
+    ("latin", "m"): ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Ivan", "James", "John", "Jonas", "Juan", "Marco", "Michael", "Nils", "Oscar", "Paul", "Peter", "Pierre", "Rene", "Robert", "Simon", "Thomas", "William",
+                     "Andrew", "Anthony", "Benjamin", "Brandon", "Brian", "Daniel", "Donald", "Edward", "Eric", "Gary", "George", "Gregory", "Jeffrey", "Jonathan", "Joseph", "Joshua", "Kenneth", "Kevin", "Larry", "Matthew", "Nicholas", "Patrick", "Richard", "Ronald", "Ryan", "Stephen", "Steven", "Timothy"),
+    ("latin", "f"): ("Alma", "Anna", "Bella", "Clara", "Diana", "Elena", "Elizabeth", "Flora", "Hanna", "Irene", "Jane", "Jennifer", "Julia", "Laura", "Maria", "Marie", "Mary", "Nora", "Olga", "Paula", "Rosa", "Sarah", "Sofia", "Susan",
+                     "Amanda", "Amy", "Angela", "Ashley", "Barbara", "Betty", "Carol", "Cynthia", "Deborah", "Donna", "Emily", "Jessica", "Karen", "Kathleen", "Kimberly", "Linda", "Lisa", "Margaret", "Melissa", "Michelle", "Nancy", "Patricia", "Rebecca", "Sandra", "Sharon", "Stephanie"),
     ("latin", "n"): ("Alex", "Andrea", "Charlie", "Dominique", "Jackie", "Kim", "Mika", "Noel", "Robin", "Sam", "Sascha", "Toni", "Yael"),
     ("cyrillic", "m"): ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Олег"),
     ("cyrillic", "f"): ("Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Мария", "Ольга"),
@@ -64,20 +67,32 @@ ALPHABETS = (
 # scripts of initials, which are only rotated
 INITIALS = (_letters(0x41, 0x5A), _letters(0x410, 0x42F), _letters(0x391, 0x3A9))
 TITLES = "|".join((*MALE, *FEMALE, *NEUTRAL))
+SHOUTED = "|".join(t.upper() for t in (*MALE, *FEMALE, *NEUTRAL))
+SHORT = "mrs?|ms|mme|dr|prof"  # titles that a full stop tells from other words, in any case
 GIVEN = "|".join(sorted({n for names in FIRST.values() for n in names}))
-WORD = r"\p{Lu}[\p{L}\p{M}'-]++"
+# names that stand for a person alone too; those of both genders are often other words
+ALONE = "|".join(sorted({n for (_, g), names in FIRST.items() if g != "n" for n in names}))
+# a hyphen or apostrophe joins what it stands between, but a possessive 's is no part of a name
+JOINED = r"(?:(?!['\u2019][sS](?![\p{L}\p{M}]))['\u2019-][\p{L}\p{M}]++)*+"
+WORD = rf"\p{{Lu}}(?:[\p{{L}}\p{{M}}]++|(?=['\u2019-]\p{{L}})){JOINED}"
+SMALL_WORD = rf"\p{{Ll}}[\p{{L}}\p{{M}}]++{JOINED}"
 # fixed values: the patterns of the types; quantifiers are possessive or bounded by what may stand beside them
 EMAIL = r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+(?![\p{L}\p{N}])"
 SECRET = (r"(?i:(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)(?![\p{L}\p{N}_]))\s*+[=:]\s*+"
-          r"(?:\"[^\"\s]{6,}+\"|'[^'\s]{6,}+'|(?=[^\s\"',;]*\p{N})(?=[^\s\"',;]*\p{L})[^\s\"',;]{8,}+)")
+          r"(?:\"[^\"\s]{6,}+\"|'[^'\s]{6,}+'|(?=[^\s\"',;]*\p{N})(?=[^\s\"',;]*\p{L})[^\s\"',;]{6,}+|[^\s\"',;]{12,}+)")
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|\d{1,2})"
 IP = rf"(?<!\.){OCTET}(?:\.{OCTET}){{3}}(?!\.?[\p{{L}}\p{{N}}])"
 SSN = r"(?<!-)\d{3}-\d{2}-\d{4}(?!-?[\p{L}\p{N}])"
 PHONE = r"(?<!\+)(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])"
 CARD = r"\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])"
-PERSON = rf"(?:(?:{TITLES})\.? {WORD}(?: \p{{Lu}}\.(?= \p{{Lu}})| {WORD})*+|(?:{GIVEN})(?: \p{{Lu}}\.(?= \p{{Lu}}))?(?: {WORD})++)"
-KINDS = (("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("ip", IP), ("ssn", SSN), ("phone", PHONE), ("card", CARD), ("person", PERSON))
+# an IPv6 address in full, or with one gap; a clock's time has too few parts
+IPV6 = r"(?<![:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![:.]?[\p{L}\p{N}:])"
+NATIONAL = r"(?<![\d.,/-])(?<!\d )(?:0\d{2,4}[ /-]\d{5,8}|\d{3} \d{3} \d{4})(?![ .,/-]?[\p{L}\p{N}])"
+NO_NAME = "AND|OR|OF|THE|IS|WAS|UND|ET|Y|" + SHOUTED
+PERSON = (rf"(?:(?:{TITLES})\.? {WORD}(?: \p{{Lu}}\.(?= \p{{Lu}})| {WORD})*+|(?:{SHOUTED})\.?(?: (?!(?:{NO_NAME})(?![\p{{L}}\p{{N}}])){WORD}){{1,2}}+"
+          rf"|(?i:{SHORT})\. (?!(?i:{SHORT})(?![\p{{L}}\p{{N}}]))(?:{SMALL_WORD}|{WORD})|(?:{GIVEN})(?: \p{{Lu}}\.(?= \p{{Lu}}))?(?: {WORD})++|(?:{ALONE})(?![\p{{L}}\p{{M}}\p{{N}}]))")
+KINDS = (("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("ip", IP), ("ipv6", IPV6), ("ssn", SSN), ("phone", f"(?:{PHONE}|{NATIONAL})"), ("card", CARD), ("person", PERSON))
 # no entity begins inside a word: one look back spares nearly all places the patterns
 ANY = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(p for _, p in KINDS)})"
 
@@ -120,12 +135,12 @@ def kind_of(entity: Column) -> Column:
 
 
 def _title(entity: Column) -> Column:
-    return F.regexp_extract(entity, rf"^(?:{TITLES})\.? ", 0)
+    return F.regexp_extract(entity, rf"^(?iu:{TITLES})\.? ", 0)
 
 
 def title_gender(entity: Column) -> Column:
-    title = F.regexp_replace(_title(entity), r"[. ]", "")
-    return F.when(title.isin(*MALE), "m").when(title.isin(*FEMALE), "f")
+    title = F.lower(F.regexp_replace(_title(entity), r"[. ]", ""))
+    return F.when(title.isin(*map(str.lower, MALE)), "m").when(title.isin(*map(str.lower, FEMALE)), "f")
 
 
 def _value(secret: Column) -> Column:
@@ -141,18 +156,21 @@ def normal_form(kind: Column, entity: Column) -> Column:
     """What mentions of one entity have in common: lower-case addresses, bare digits, a secret's value. Phone numbers
     are international; those without a code have the form of the +1 region."""
     digits = F.regexp_replace(entity, r"\D", "")
-    return (F.when(kind == "email", F.lower(entity)).when(kind == "secret", _value(entity)).when(kind == "ip", entity)
+    plain = F.regexp_replace(F.lower(entity), "(?<![0-9a-f])0+(?=[0-9a-f])", "")
+    return (F.when(kind == "email", F.lower(entity)).when(kind == "secret", _value(entity)).when(kind == "ip", entity).when(kind == "ipv6", plain)
             .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
             .when(kind == "phone", F.concat(F.when(entity.startswith("+"), "+").otherwise("+1"), digits)).otherwise(digits))
 
 
 def parts_of(kind: Column, entity: Column) -> Column:
-    """The (kind, norm) of which an entity's surrogate is made: of a person one for each word, the last a family name."""
+    """The (kind, norm) of which an entity's surrogate is made: of a person one for each word, the last a family name, but where
+    it is all there is, without a title."""
     words = F.split(F.replace(entity, _title(entity), F.lit("")), " ")
+    alone = (F.size(words) == 1) & (_title(entity) == "")
 
     def word(w, i):
         low = F.lower(w)
-        of = F.when(w.endswith("."), "initial").when(i == F.size(words) - 1, "family").otherwise("given")
+        of = F.when(w.endswith("."), "initial").when((i == F.size(words) - 1) & ~alone, "family").otherwise("given")
         return F.struct(of.alias("kind"), F.concat_ws("|", _script(low), low).alias("norm"))
     return F.when(kind == "person", F.transform(words, word)).otherwise(F.array(F.struct(kind.alias("kind"), normal_form(kind, entity).alias("norm"))))
 
@@ -223,7 +241,8 @@ def drawn(entities: DataFrame, attempt: int, digests: Digests) -> DataFrame:
         "subject": F.when(kind == "email", F.substr(norm, F.lit(1), F.col("at") - 1)).when(kind == "phone", F.substr(norm, F.col("code") + 2))
         .when(name, F.split(norm, r"\|", 2)[1]).otherwise(norm)})
     rows = rows.withColumns({
-        "swapped": like(F.col("subject"), digest, F.when(kind == "iban", F.when(F.col("valid"), 4).otherwise(2)).otherwise(0), (kind == "secret") & norm.rlike("^[0-9a-fA-F]+$")),
+        "swapped": like(F.col("subject"), digest, F.when(kind == "iban", F.when(F.col("valid"), 4).otherwise(2)).when((kind == "phone") & F.col("subject").startswith("0"), 1).otherwise(0),
+                        (kind == "ipv6") | ((kind == "secret") & norm.rlike("^[0-9a-fA-F]+$"))),
         # one domain has one surrogate, whoever writes from it
         "domain": F.when(kind == "email", like(F.col("middle"), digests.of("domain", F.col("middle")), F.lit(0), F.lit(False)))})
     rows = rows.withColumn("body", F.when(kind == "iban", F.concat(F.substring(norm, 1, 2), F.lit("00"), F.substr(swapped, F.lit(5)))))
@@ -270,12 +289,39 @@ def render(kind: Column, entity: Column, surs: Column, digests: Digests) -> Colu
     turns = [a[(k := 1 + digests.number("initials") % (len(a) - 1)):] + a[:k] for a in INITIALS]
 
     def word(w, i):
-        new = F.regexp_replace(F.get(surs, i), r"^[^|\[]*\|", "")
-        return (F.when(w.endswith("."), F.translate(w, "".join(INITIALS), "".join(turns))).when(new.startswith("["), new)
-                .when((F.upper(w) == w) & (F.length(w) > 1), F.upper(new)).otherwise(F.initcap(new)))
+        return F.when(w.endswith("."), F.translate(w, "".join(INITIALS), "".join(turns))).otherwise(name_like(w, F.get(surs, i)))
     person = F.concat(title, F.array_join(F.transform(words, word), " "))
     return (F.when(kind == "person", person).when(kind == "secret", F.replace(entity, _value(entity), sur)).when(sur.startswith("["), sur)
-            .when(kind == "email", cased).when(kind == "iban", spaced).when(kind == "ip", sur).otherwise(digits))
+            .when(kind == "email", cased).when(kind == "iban", spaced).when(kind.isin("ip", "ipv6"), sur).otherwise(digits))
+
+
+def name_like(word: Column, sur: Column) -> Column:
+    """A name's surrogate in the capitals of a word."""
+    new = F.regexp_replace(sur, r"^[^|\[]*\|", "")
+    return (F.when(new.startswith("["), new).when((F.upper(word) == word) & (F.length(word) > 1), F.upper(new))
+            .when(F.lower(word) == word, F.lower(new)).otherwise(F.initcap(new)))
+
+
+def mentioned_again(some: DataFrame, shown: DataFrame, text_col: str) -> DataFrame:
+    """(_row, _again, n_again) of texts with names: what lies between the entities, with the names that the text's persons have
+    (parts: _row, kind, norm, sur) replaced where they stand alone as capitalised words.
+
+    Words meet names in a join by text and word, so that a long text with many names is the work of many tasks.
+    """
+    names = shown.filter(F.col("kind").isin("given", "family") & F.col("sur").isNotNull()).select("_row", F.split("norm", r"\|", 2)[1].alias("low"), "kind", "sur")
+    names = names.filter(F.length("low") > 1).groupBy("_row", "low").agg(F.min_by("sur", F.struct(F.col("kind") != "family", "sur")).alias("sur"))
+    capital = rf"(?<![\p{{L}}\p{{N}}]){WORD}"
+    pieces = some.join(names.select("_row").distinct(), "_row", "left_semi").select("_row", F.posexplode(F.split(F.col(text_col), ANY, -1)).alias("i", "piece"))
+    words = pieces.select("_row", "i", F.posexplode(F.regexp_extract_all("piece", F.lit(capital), 0)).alias("k", "w")).withColumn("low", F.lower("w"))
+    met = words.join(names, ["_row", "low"], "left")
+    new = F.struct("k", F.when(F.col("sur").isNull(), F.col("w")).otherwise(name_like(F.col("w"), F.col("sur"))).alias("new"))
+    by_piece = met.groupBy("_row", "i").agg(F.sort_array(F.collect_list(new)).alias("news"), F.count("sur").alias("n"))
+    joined = pieces.join(by_piece, ["_row", "i"], "left")
+    between = F.split("piece", capital, -1)
+    changed = F.array_join(F.transform(between, lambda p, k: F.concat(p, F.coalesce(F.get(F.col("news.new"), k), F.lit("")))), "")
+    whole = F.when(F.coalesce("n", F.lit(0)) > 0, changed).otherwise(F.col("piece"))
+    return joined.select("_row", F.struct("i", whole.alias("piece")).alias("p"), F.coalesce("n", F.lit(0)).alias("n")).groupBy("_row").agg(
+        F.sort_array(F.collect_list("p")).alias("ps"), F.sum("n").alias("n_again")).select("_row", F.col("ps.piece").alias("_again"), "n_again")
 
 
 def surrogates(entities: DataFrame, digests: Digests) -> DataFrame:
@@ -317,13 +363,14 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: str | None = None)
     The key is a parameter or the setting tracemark.pii.key; without one there is an error. Null texts stay null and
     hold nothing. Overlapping candidates go to the one that begins first, then to the first type of KINDS. The same
     entity gets the same surrogate in all rows for one key and one table. A given name's gender is that of the list, else
-    that of the titles before it in the table, if they agree. Names are found after a title, or where they begin with a
-    given name of the list; a family name alone is not. Rows that repeat an id, or are wholly equal, are told apart by a
+    that of the titles before it in the table, if they agree. Names are found after a title (in any case), where they
+    begin with a given name of the list, and where a word of such a name stands alone in the same text with a capital (an ordinary word
+    that is written like it goes too). Other names are not found, nor are addresses and dates. Rows that repeat an id, or are wholly equal, are told apart by a
     row number. An empty table gives an empty table; own columns replace such names in df. The jobs that find entities
     and check surrogates run when this is called.
     """
     digests = Digests(key_of(df.sparkSession, key))
-    df = without(df, "n_entities", "kinds", "_row", "_found")
+    df = without(df, "n_entities", "kinds", "_row", "_found", "_again", "n_again", "_new", "_pieces")
     names = df.columns
     held = materialise(df.withColumns({"_row": F.monotonically_increasing_id(), "_found": find(F.col(text_col))}), "found")
     none = held.filter(F.size("_found") == 0).select(*names, F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
@@ -335,13 +382,14 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: str | None = None)
     entities = parts.filter("kind <> 'initial'").groupBy("kind", "norm").agg(told.alias("g")).select(
         "kind", "norm", F.coalesce(_known_gender(F.col("norm")), "g").alias("gender"))
     table = surrogates(entities, digests)
-    shown = join_hot(parts, table, ["kind", "norm"], "left").repartition("_row")
-    shown = shown.groupBy("_row", "at", "of", "entity").agg(F.array_sort(F.collect_list(F.struct("j", "sur"))).alias("s"))
+    met = materialise(join_hot(parts, table, ["kind", "norm"], "left"), "met")
+    again = mentioned_again(some, met, text_col)
+    shown = met.repartition("_row").groupBy("_row", "at", "of", "entity").agg(F.array_sort(F.collect_list(F.struct("j", "sur"))).alias("s"))
     shown = shown.select("_row", "of", F.struct("at", render(F.col("of"), F.col("entity"), F.col("s.sur"), digests).alias("new")).alias("m"))
     by_row = shown.groupBy("_row").agg(F.sort_array(F.collect_list("m")).alias("ms"), F.sort_array(F.collect_set("of")).alias("kinds"))
-    joined = some.join(by_row.select("_row", F.col("ms.new").alias("_new"), "kinds"), "_row").withColumn("_pieces", F.split(F.col(text_col), ANY, -1))
+    joined = some.join(by_row.select("_row", F.col("ms.new").alias("_new"), "kinds"), "_row").join(again, "_row", "left").withColumn("_pieces", F.coalesce("_again", F.split(F.col(text_col), ANY, -1)))
     whole = F.array_join(F.transform("_pieces", lambda p, i: F.concat(p, F.coalesce(F.get("_new", i), F.lit("")))), "")
-    changed = joined.withColumn(text_col, whole).select(*names, F.size("_new").cast("long").alias("n_entities"), "kinds")
+    changed = joined.withColumn(text_col, whole).select(*names, (F.size("_new") + F.coalesce("n_again", F.lit(0))).cast("long").alias("n_entities"), "kinds")
     return none.unionByName(changed)
 
 
