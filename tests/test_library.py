@@ -7,6 +7,7 @@ from tracemark.config import FingerprintConfig
 from tracemark.functions import scalars as S
 from tracemark.operators import library as L
 from tracemark.plans.indexers import FingerprintIndexer, RmsIndexer, default_indexers
+from tracemark.plans.manifests import Manifests
 from tracemark.plans.library import Library, add_songs, latest_status, outcome_counts, require_new
 from tracemark.sources import files as X
 from tracemark.streaming import jobs
@@ -56,24 +57,65 @@ def test_ingest_workflow(spark, wavs, tmp_path):
     assert lib.songs().count() == 2 and lib.index(rms).count() == 2
 
 
-def test_a_replaced_table_is_old_or_new(spark, wavs, tmp_path):
+def test_compaction_writes_the_buckets_that_need_it(spark, wavs, tmp_path):
     lib = Library(spark, str(tmp_path / "lib"), buckets=4)
-    ix = default_indexers()
-    lib.ingest(frame(spark, wavs), ix)
-    n = lib.songs().count()
-    # a version whose writer stopped is none, and neither is the library gone
-    (tmp_path / "lib" / "songs@00000001").mkdir()
-    (tmp_path / "lib" / "songs@00000001" / "part-0.parquet").write_bytes(b"half a file")
-    assert lib.songs().count() == n == 3 and Library(spark, str(tmp_path / "lib"), buckets=4).songs().count() == 3
-    lib.compact(ix)
-    assert lib.songs().count() == 3 and sorted(p.name for p in (tmp_path / "lib").glob("songs*")) == ["songs@00000002"]
-    again = lib.ingest(frame(spark, wavs), ix)
-    assert outcomes(again)["skipped"] == 3
+    ix, rms = default_indexers()[0], RmsIndexer(sample_rate=11_025)
+    lib.ingest(frame(spark, wavs), [ix, rms])
+    ids = [r["id"] for r in lib.songs().orderBy("id").collect()]
+    before, kept_rms = lib.index(ix), rows(lib.index(rms).filter(F.col("song_id") != ids[0]).select("song_id", "rms"))
+    n, of_first = before.count(), before.filter(F.col("song_id") == ids[0]).count()
+    assert {r["n_dead"] for r in lib.dead_rows(ix).collect()} == {0} and lib.compact([ix, rms]) == {"fingerprint": [], "rms": []}
+    lib.delete_song(spark.createDataFrame([(ids[0],)], "song_id long"))
+    want = rows(lib.index(ix).select("song_id", "hash", "anchor_time"))
+    dead = {r["bucket"]: r["n_dead"] for r in lib.dead_rows(ix).collect()}
+    assert sum(dead.values()) == of_first and lib.dead_rows(rms).filter("n_dead > 0").count() == 1
+    # the one bucket of the other index that holds the song is written, no other; a high limit writes none
+    assert lib.compact([rms], dead_share=0.999) == {"rms": [ids[0] % 4]} and lib.compact([ix], dead_share=0.99) == {"fingerprint": []}
+    assert rows(lib.index(rms).select("song_id", "rms")) == kept_rms
+    assert lib.compact([ix]) == {"fingerprint": [0, 1, 2, 3]} and rows(lib.index(ix).select("song_id", "hash", "anchor_time")) == want
+    assert lib.dead_rows(ix).agg(F.sum("n_dead"), F.sum("n_rows")).first()[:] == (0, n - of_first)
+    # a reader that began before still finds its files, until they are removed
+    assert before.count() == n
+    assert lib.manifests.vacuum(keep=1) > 0 and lib.manifests.vacuum(keep=1) == 0
+    assert rows(lib.index(ix).select("song_id", "hash", "anchor_time")) == want and rows(lib.index(rms).select("song_id", "rms")) == kept_rms
+    with pytest.raises(Exception):
+        before.count()
+    again = lib.ingest(frame(spark, wavs), [ix, rms])
+    assert outcomes(again) == {"ingested": 1, "updated": 0, "skipped": 2, "failed": 0} and lib.songs().agg(F.max("id")).first()[0] > max(ids)
     # rows of one index
     one = lib.songs().orderBy("id").limit(1).select(F.col("id").alias("song_id"))
-    lib.delete_index(one, ix[0])
-    assert lib.index(ix[0]).select("song_id").distinct().count() == 2 and lib.songs().count() == 3 and lib.songs_without_rows_of(ix[0]).count() == 1
-    assert outcomes(lib.ingest(frame(spark, wavs), ix))["updated"] == 1 and lib.songs_without_rows_of(ix[0]).isEmpty()
+    lib.delete_index(one, ix)
+    assert lib.index(ix).select("song_id").distinct().count() == 2 and lib.songs().count() == 3 and lib.songs_without_rows_of(ix).count() == 1
+    assert outcomes(lib.ingest(frame(spark, wavs), [ix]))["updated"] == 1 and lib.songs_without_rows_of(ix).isEmpty()
+
+
+def test_a_batch_is_seen_whole_or_not_at_all(spark, wavs, tmp_path, monkeypatch):
+    """A stop after any of the folders that a batch writes, and one in the commit itself, leave the library as it was."""
+    lib = Library(spark, str(tmp_path / "lib"), buckets=2)
+    ix = default_indexers()
+    lib.ingest(frame(spark, wavs[:1]), ix)
+    def state():
+        fresh = Library(spark, str(tmp_path / "lib"), buckets=2)
+        return fresh.songs().count(), fresh.index(ix[0]).count(), fresh.statuses().count()
+    was = state()
+    folders = Manifests.new_folder
+    for stop in ("songs", "index_fingerprint", "song_indexes"):
+        def stopping(self, table, stop=stop):
+            if table == stop:
+                raise RuntimeError("stopped")
+            return folders(self, table)
+        with monkeypatch.context() as m:
+            m.setattr(Manifests, "new_folder", stopping)
+            with pytest.raises(RuntimeError):
+                lib.ingest(frame(spark, wavs), ix)
+        assert state() == was
+    (tmp_path / "lib" / "manifests" / ".half").write_text('{"songs"')  # a list that was not renamed is none
+    base, tables = lib.manifests.current()
+    assert outcomes(lib.ingest(frame(spark, wavs), ix)) == {"ingested": 2, "updated": 0, "skipped": 1, "failed": 0}
+    assert state()[0] == 3
+    with pytest.raises(RuntimeError, match="another writer"):
+        lib.manifests.commit(base, tables)
+    assert lib.manifests.vacuum() >= 3 and state()[0] == 3  # what the stopped batches left
 
 
 def test_a_lookup_reads_its_buckets(spark, wavs, tmp_path):

@@ -1,8 +1,8 @@
 """A song library in Parquet: content-addressed, versioned and idempotent ingest, and lookups in its indexes.
 
-A batch writes songs, the rows of every index, and its markers last. A row counts only if the latest marker of its song
-and index names its version and batch, so a batch that stops half-way is invisible, and a newer version replaces the
-rows of its own index alone. One writer at a time.
+A batch writes songs, rows of every index and markers into folders of its own, and then commits one list that names them (see
+manifests): it counts as a whole or not at all. A row of an index counts if the latest marker of its song names its version and
+batch, so that a newer version replaces the rows of its own index alone. One writer at a time.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from tracemark.functions.scalars import title_or_stem
 from tracemark.operators.audio import duration_s
 from tracemark.operators.matching import join_cells, match_fingerprints
 from tracemark.plans.indexers import Indexer, default_indexers
+from tracemark.plans.manifests import Manifests, Tables
 from tracemark.schemas import SONG_INDEXES, SONGS
 from tracemark.scratch import materialise, with_rank
 from tracemark.sources.files import decode
@@ -31,50 +32,26 @@ class Library:
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.manifests = Manifests(spark, self.root)
         self.init_schema()
 
-    def _fs(self, path: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _whole(self, path: str) -> bool:
-        """Whether a folder's first writer came to its end."""
-        fs, path = self._fs(f"{path}/_SUCCESS")
-        return fs.exists(path)
-
-    def _versions(self, name: str) -> list[str]:
-        """Folders of a table, name@N, in order; the first has no number."""
-        fs, root = self._fs(self.root)
-        names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted(n for n in names if n == name or n.startswith(f"{name}@"))
-
-    def _path(self, name: str) -> str:
-        """A table's last version that is whole, or the path of a first one."""
-        whole = [n for n in self._versions(name) if self._whole(f"{self.root}/{n}")]
-        return f"{self.root}/{whole[-1] if whole else name}"
-
-    def _exists(self, name: str) -> bool:
-        return any(self._whole(f"{self.root}/{n}") for n in self._versions(name))
-
     def init_schema(self) -> None:
-        """Empty tables where there are none; what is there stays."""
-        for name, schema in (("songs", SONGS), ("song_indexes", SONG_INDEXES)):
-            if not self._exists(name):
-                self.spark.createDataFrame([], schema).write.parquet(self._path(name))
+        """An empty library where there is none; what is there stays."""
+        base, _ = self.manifests.current()
+        if not base:
+            self.manifests.commit(0, {"songs": {}, "song_indexes": {}})
 
     def _markers(self) -> DataFrame:
-        return self.spark.read.schema(SONG_INDEXES).parquet(self._path("song_indexes"))
+        return self.manifests.read("song_indexes", SONG_INDEXES)
 
     def statuses(self) -> DataFrame:
         """The latest marker of each song and index."""
         return latest_status(self._markers())
 
     def songs(self) -> DataFrame:
-        """Songs of committed batches: those with a marker."""
-        songs = self.spark.read.schema(SONGS).parquet(self._path("songs"))
-        live = songs.join(self.statuses().select(F.col("song_id").alias("id")).distinct(), "id", "left_semi")
-        # a batch that failed after it wrote songs may have left the same id and content twice
-        return live.dropDuplicates(["id"])
+        """Songs with a marker."""
+        songs = self.manifests.read("songs", SONGS)
+        return songs.join(self.statuses().select(F.col("song_id").alias("id")).distinct(), "id", "left_semi")
 
     def index(self, indexer: Indexer, version: str | None = None) -> DataFrame:
         """Live rows of an index, of one version (by default the indexer's own)."""
@@ -82,9 +59,10 @@ class Library:
 
     def _rows(self, indexer: Indexer, version: str | None = None) -> DataFrame:
         """Rows of an index in one version, dead ones too."""
-        name, schema = f"index_{indexer.name}", f"{indexer.columns}, batch_id string, version string, bucket int"
-        rows = self.spark.read.schema(schema).parquet(self._path(name)) if self._exists(name) else self.spark.createDataFrame([], schema)
-        return rows.filter(F.col("version") == (version or indexer.version))
+        return self._all_rows(indexer).filter(F.col("version") == (version or indexer.version))
+
+    def _all_rows(self, indexer: Indexer) -> DataFrame:
+        return self.manifests.read(f"index_{indexer.name}", f"{indexer.columns}, batch_id string, part string, version string, bucket int")
 
     def _live(self, rows: DataFrame, indexer: Indexer) -> DataFrame:
         live = self.statuses().filter(F.col("index_name") == indexer.name).select("song_id", "version", "batch_id")
@@ -112,6 +90,7 @@ class Library:
         """
         indexers = indexers if indexers is not None else default_indexers()
         batch = uuid.uuid4().hex
+        base, tables = self.manifests.current()
         for name in ("title", "artist", "album", "source", "source_id"):
             if name not in files.columns:
                 files = files.withColumn(name, F.lit("file" if name == "source" else None).cast("string"))
@@ -131,47 +110,60 @@ class Library:
         good = per_file.filter("error is null").select("content_hash", "duration_s")
 
         known = self.songs().select("id", "content_hash")
-        top = self.spark.read.schema(SONGS).parquet(self._path("songs")).agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+        # no id is given twice, not even that of a deleted song
+        top = self.manifests.read("songs", SONGS).agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
         fresh = work.join(good, "content_hash").join(known, "content_hash", "left_anti")
         # ids of new songs only: one narrow row each
         ids = with_rank(fresh.select("content_hash"), ["content_hash"], "nth").crossJoin(F.broadcast(top)).select("content_hash", (F.col("top") + F.col("nth")).cast("long").alias("id"))
         rows = fresh.join(ids, "content_hash").select(
             "id", F.coalesce("source", F.lit("file")).alias("source"), "source_id", title_or_stem(F.col("title"), F.col("path")).alias("title"), "artist", "album",
             F.col("duration_s").cast("double").alias("duration_s"), F.col("path").alias("file_path"), "content_hash", F.current_timestamp().alias("created_at"))
-        rows.write.mode("append").parquet(self._path("songs"))
-        written = self.spark.read.schema(SONGS).parquet(self._path("songs"))
-        named = (written.join(good.select("content_hash"), "content_hash", "left_semi").groupBy("content_hash").agg(F.max("id").alias("song_id"))
-                 .join(known.withColumnRenamed("id", "old_id"), "content_hash", "left").withColumn("song_id", F.coalesce("old_id", "song_id")).drop("old_id"))
+        written = self._write(tables, "songs", rows)
+        named = written.unionByName(known.join(good, "content_hash", "left_semi"), allowMissingColumns=True).select("content_hash", F.col("id").alias("song_id"))
         markers = []
         for x in indexers:
             due = named.join(todo.filter(F.col("index_name") == x.name).select("content_hash"), "content_hash", "left_semi")
             samples = got.filter(F.col("sample_rate") == x.sample_rate).join(due, "content_hash").select("song_id", "sample_rate", "samples")
-            self._append(x, x.compute(samples), batch)
-            stored = self.spark.read.schema(f"{x.columns}, batch_id string, version string, bucket int").parquet(self._path(f"index_{x.name}"))
-            counts = stored.filter((F.col("batch_id") == batch) & (F.col("version") == x.version)).groupBy("song_id").agg(F.count(F.lit(1)).alias("n"))
+            stored = self._append(tables, x, x.compute(samples), batch)
+            counts = stored.groupBy("song_id").agg(F.count(F.lit(1)).alias("n"))  # of this batch's folder alone
             markers.append(due.join(counts, "song_id", "left").select(  # A21
                 "song_id", F.lit(x.name).alias("index_name"), F.lit(x.version).alias("version"), F.coalesce("n", F.lit(0)).cast("long").alias("item_count"),
                 F.current_timestamp().alias("indexed_at"), F.lit(batch).alias("batch_id")))
         result = self._keep(self._outcomes(ranked, todo, per_file, known, named), f"results/batch={batch}")
+        self._write(tables, "song_indexes", reduce(DataFrame.unionByName, markers))
         if fail_before_commit:
             raise RuntimeError("stopped before the commit")
-        reduce(DataFrame.unionByName, markers).coalesce(1).write.mode("append").parquet(self._path("song_indexes"))
+        self.manifests.commit(base, tables)
         self._delete(f"staging/{batch}")
         return result
 
+    def _write(self, tables: Tables, table: str, rows: DataFrame) -> DataFrame:
+        """rows in a new folder of a table, which is added to the list of tables, and read back."""
+        folder = self.manifests.new_folder(table)
+        rows.write.parquet(f"{self.root}/{folder}")
+        tables.setdefault(table, {})[folder] = []
+        return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{folder}")
+
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def _delete(self, name: str) -> None:
-        fs, path = self._fs(f"{self.root}/{name}")
+        fs, path = self.manifests.fs(f"{self.root}/{name}")
         fs.delete(path, True)
 
-    def _append(self, indexer: Indexer, rows: DataFrame, batch: str) -> None:
-        """Rows by version and bucket of the hash (else the song), sorted inside their files."""
+    def _append(self, tables: Tables, indexer: Indexer, rows: DataFrame, batch: str) -> DataFrame:
+        """A batch's rows in a new folder, by version and bucket of the hash (else the song), sorted inside their files."""
         key = "hash" if "hash" in rows.columns else "song_id"
         out = rows.withColumns({"batch_id": F.lit(batch), "version": F.lit(indexer.version), "bucket": F.pmod(F.col(key), F.lit(self.buckets)).cast("int")})
-        out.repartition("bucket").sortWithinPartitions("bucket", key).write.partitionBy("version", "bucket").mode("append").parquet(self._path(f"index_{indexer.name}"))
+        return self._write_index(tables, indexer, out)
+
+    def _write_index(self, tables: Tables, indexer: Indexer, rows: DataFrame) -> DataFrame:
+        table, key = f"index_{indexer.name}", "hash" if "hash" in rows.columns else "song_id"
+        folder = self.manifests.new_folder(table)
+        rows.repartition("version", "bucket").sortWithinPartitions("version", "bucket", key).write.partitionBy("version", "bucket").parquet(f"{self.root}/{folder}")
+        tables.setdefault(table, {})[folder] = []
+        return self.spark.read.schema(f"{indexer.columns}, batch_id string, version string, bucket int").parquet(f"{self.root}/{folder}")
 
     @staticmethod
     def _outcomes(ranked, todo, per_file, known, named) -> DataFrame:
@@ -188,9 +180,7 @@ class Library:
     def stats(self, indexer: Indexer) -> DataFrame:
         """Songs, fingerprints, and bytes of their tables as the store counts them. Rows lie in buckets of their hash
         and are sorted by it: they are the index, which has no bytes of its own."""
-        def size(*names):
-            return sum(fs.getContentSummary(path).getLength() for fs, path in (self._fs(self._path(n)) for n in names if self._exists(n)))
-        rows, meta = size(f"index_{indexer.name}"), size("songs", "song_indexes")
+        rows, meta = self.manifests.size(f"index_{indexer.name}"), self.manifests.size("songs", "song_indexes")
         counts = self.songs().agg(F.count(F.lit(1)).alias("songs")).crossJoin(self.index(indexer).agg(F.count(F.lit(1)).alias("fingerprints")))
         sizes = {"fingerprints_table_bytes": rows, "fingerprints_index_bytes": 0, "metadata_bytes": meta, "database_bytes": rows + meta}
         return counts.select("*", *[F.lit(n).cast("long").alias(c) for c, n in sizes.items()])
@@ -208,40 +198,55 @@ class Library:
         return match_fingerprints(clips, queries, met, cfg, fp, join_cells(queries, met))
 
     def delete_song(self, song_ids: DataFrame) -> None:
-        """Songs and all their rows go; the markers are rewritten without them, rows go with compact()."""
+        """Songs and all their rows go: the markers are written anew without theirs. compact() removes what lies there still."""
+        base, tables = self.manifests.current()
         live = self._markers().join(song_ids.select("song_id"), "song_id", "left_anti")
-        self._replace("song_indexes", live)
+        tables["song_indexes"] = {}
+        self._write(tables, "song_indexes", live)
+        self.manifests.commit(base, tables)
 
     def delete_index(self, song_ids: DataFrame, indexer: Indexer) -> None:
         """W5 for one index: its rows of these songs go, and a later ingest makes them anew; songs and other indexes stay.
         The songs get a marker of no version, which no row has."""
+        base, tables = self.manifests.current()
         gone = self.statuses().filter(F.col("index_name") == indexer.name).join(song_ids.select("song_id"), "song_id", "left_semi")
         none = {"version": F.lit(""), "item_count": F.lit(0).cast("long"), "indexed_at": F.current_timestamp(), "batch_id": F.lit(uuid.uuid4().hex)}
-        gone.withColumns(none).select(*self._markers().columns).coalesce(1).write.mode("append").parquet(self._path("song_indexes"))
+        self._write(tables, "song_indexes", gone.withColumns(none).select(*self._markers().columns))
+        self.manifests.commit(base, tables)
 
     def songs_without_rows_of(self, indexer: Indexer) -> DataFrame:
         """Ids of songs whose latest marker names no current rows of an index."""
         current = self.statuses().filter((F.col("index_name") == indexer.name) & (F.col("version") == indexer.version)).select(F.col("song_id").alias("id"))
         return self.songs().select("id").join(current, "id", "left_anti")
 
-    def compact(self, indexers: list[Indexer]) -> None:
-        """Rewrite songs and indexes with live rows only."""
-        self._replace("songs", self.songs())
+    def dead_rows(self, indexer: Indexer) -> DataFrame:
+        """(bucket, n_rows, n_dead) of an index, over all versions; a dead row is one that no latest marker names."""
+        rows = self._all_rows(indexer).select("song_id", "version", "batch_id", "bucket")
+        per_song = rows.groupBy("song_id", "version", "batch_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
+        live = self.statuses().filter(F.col("index_name") == indexer.name).select("song_id", "version", "batch_id", F.lit(True).alias("live"))
+        marked = per_song.join(live, ["song_id", "version", "batch_id"], "left")
+        return marked.groupBy("bucket").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("live").isNull(), F.col("n"))), F.lit(0)).alias("n_dead"))
+
+    def compact(self, indexers: list[Indexer], dead_share: float = 0.0) -> dict[str, list[int]]:
+        """Write the buckets of each index anew whose share of dead rows is above dead_share, and songs and markers without dead ones;
+        the other buckets' files stay as they are. One commit; readers of the list before it go on until vacuum().
+        Returns the buckets that were written for each index, at most as many as there are."""
+        base, tables = self.manifests.current()
+        done = {}
         for x in indexers:
-            if self._exists(f"index_{x.name}"):
-                rows = self.spark.read.schema(f"{x.columns}, batch_id string, version string, bucket int").parquet(self._path(f"index_{x.name}"))
-                live = rows.join(self.statuses().filter(F.col("index_name") == x.name).select("song_id", "version", "batch_id"), ["song_id", "version", "batch_id"], "left_semi")
-                self._replace(f"index_{x.name}", live, ("version", "bucket"))
-
-    def _replace(self, name: str, rows: DataFrame, by: tuple[str, ...] = ()) -> None:
-        """Write the next version of a table, which holds from when it is whole, then delete those before. A stop on the
-        way leaves the old version in force, or the new one beside files that are not read."""
-        old = self._versions(name)
-        last = max((int(n.rpartition("@")[2]) for n in old if "@" in n), default=0)
-        new = f"{self.root}/{name}@{last + 1:08d}"
-        rows.write.partitionBy(*by).parquet(new) if by else rows.write.parquet(new)
-        for n in old:
-            self._delete(n)
+            name = f"index_{x.name}"
+            held = tables.get(name, {})
+            done[x.name] = sorted(r["bucket"] for r in self.dead_rows(x).filter(F.col("n_dead") > dead_share * F.col("n_rows")).select("bucket").collect())
+            if done[x.name]:
+                live = self._live(self._all_rows(x).filter(F.col("bucket").isin(done[x.name])), x).drop("part")
+                tables[name] = {f: sorted({*gone, *done[x.name]}) for f, gone in held.items() if len({*gone, *done[x.name]}) < self.buckets}
+                self._write_index(tables, x, live)
+        songs, markers = self.songs(), self.statuses().select(*self._markers().columns)
+        tables["songs"], tables["song_indexes"] = {}, {}
+        self._write(tables, "songs", songs)
+        self._write(tables, "song_indexes", markers)
+        self.manifests.commit(base, tables)
+        return done
 
 
 def latest_status(markers: DataFrame) -> DataFrame:

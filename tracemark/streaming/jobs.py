@@ -52,7 +52,7 @@ def ingest_stream(files: DataFrame, library: Library, checkpoint: str, indexers=
         found = library.ingest(df.select("path", "content").withColumn("source", F.lit("upload")), indexers)
         if remove_failed:
             for row in found.filter("outcome = 'failed'").select("path").collect():
-                fs, path = library._fs(row["path"])
+                fs, path = library.manifests.fs(row["path"])
                 fs.delete(path, False)
 
     writer = files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
