@@ -88,7 +88,7 @@ PHONE = r"(?<!\+)(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}
 CARD = r"\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])"
 # an IPv6 address in full, or with one gap; a clock's time has too few parts
 IPV6 = r"(?<![:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![:.]?[\p{L}\p{N}:])"
-NATIONAL = r"(?<![\d.,/-])(?<!\d )(?:0\d{2,4}[ /-]\d{5,8}|\d{3} \d{3} \d{4})(?![ .,/-]?[\p{L}\p{N}])"
+NATIONAL = r"(?<![\d.,/-])(?<!\d )(?:0\d{2,4}[ /-]\d{5,8}|\d{3} \d{3} \d{4})(?![ .,/-]?\p{N})(?!\p{L})"
 NO_NAME = "AND|OR|OF|THE|IS|WAS|UND|ET|Y|" + SHOUTED
 PERSON = (rf"(?:(?:{TITLES})\.? {WORD}(?: \p{{Lu}}\.(?= \p{{Lu}})| {WORD})*+|(?:{SHOUTED})\.?(?: (?!(?:{NO_NAME})(?![\p{{L}}\p{{N}}])){WORD}){{1,2}}+"
           rf"|(?i:{SHORT})\. (?!(?i:{SHORT})(?![\p{{L}}\p{{N}}]))(?:{SMALL_WORD}|{WORD})|(?:{GIVEN})(?: \p{{Lu}}\.(?= \p{{Lu}}))?(?: {WORD})++|(?:{ALONE})(?![\p{{L}}\p{{M}}\p{{N}}]))")
