@@ -61,13 +61,32 @@ def test_markup_is_a_prior_only():
 
 
 def test_labels_are_not_membership_of_an_article():
-    # a list of links inside, and a page whose text is outside of what it marks
+    # links before the text are a menu, a list among the text is text; and a page whose text is outside of what it marks
     menu = "".join(f"<li><a href={i}>Another of the pages</a>" for i in range(4))
-    assert main_text(f"<article><p>{BODY}</p><ul>{menu}</ul><p>The end.</p></article>") == f"{BODY}\n\nThe end."
+    assert main_text(f"<article><h1>Head</h1><ul>{menu}</ul><p>{BODY}</p><p>The end.</p></article>") == f"Head\n\n{BODY}\n\nThe end."
+    assert main_text(f"<article><p>{BODY}</p><ul>{menu}</ul></article>") == "\n\n".join([BODY, *["Another of the pages"] * 4])
     assert main_text(f"<article><h2>Teaser</h2></article><div><p>{BODY}</p><p>{BODY}</p></div>") == f"Teaser\n\n{BODY}\n\n{BODY}"
     assert main_text(f"<article><p>{BODY}</p><p><a href=x>One whole link as a paragraph</a></p><p>{BODY}</p></article>").count("\n\n") == 2
 
 
+NAMED = ("reader-comments", "article-comments", "commentlist", "commentSection", "user-comments-thread", "discussion", "responses", "reader_replies", "siteNotice",
+         "cookie-law-info", "toc", "comment-list", "disqus_thread", "CookieBanner", "tableOfContents")
+
+
+def test_comments_and_notices_of_any_name_in_any_place():
+    other = "So this is what I have to say of it, and it is as long as the text of the article, which is not at all what it should be. " * 2
+    for name in NAMED:
+        for how in ("class", "id"):
+            box = f"<div {how}='{name}'><p>{other}</p><p>Yes.</p></div>"
+            for page in (f"<article><p>{BODY}</p><p>{BODY}</p>{box}</article>", f"<article>{box}<p>{BODY}</p><p>{BODY}</p></article>", f"<article><p>{BODY}</p><p>{BODY}</p></article>{box}",
+                         f"<div><p>{BODY}</p><p>{BODY}</p></div>{box}", f"{box}<div><p>{BODY}</p><p>{BODY}</p></div>"):
+                assert main_text(f"<body>{page}</body>") == f"{BODY}\n\n{BODY}", (name, page)
+    # states, parts of other words, and what holds the whole text
+    for name in ("has-comments", "comments-open", "responsive", "commentary", "noticeable", "toccata", "replay"):
+        assert main_text(f"<article class='{name}'><div class='{name}'><p>{BODY}</p></div></article>") == BODY, name
+    assert main_text(f"<body><div class='discussion'><p>{BODY}</p><p>{BODY}</p></div><footer>c</footer></body>") == f"{BODY}\n\n{BODY}"
+
+
 def test_languages_without_a_list():
     russian = "Это текст статьи, и в нём много слов, которые не стоят в меню, а говорят о том, что было на самом деле. " * 2
     finnish = "Satama avataan kuudelta, ja ensimmäiset laivat lähtevät saarille pian sen jälkeen. Liput myydään laivalla. " * 2
@@ -130,6 +149,7 @@ def plain_label(blocks):
     inside = [blocks[i][2] and not off[i] for i in n]
     texty = [i for i in n if not off[i] and first[i] != "bad"]
     article = any(inside) and sum(weight[i] for i in texty if inside[i]) >= 0.25 * sum(weight[i] for i in texty)
+    begin = min((i for i in n if inside[i] and first[i] in ("good", "near")), default=len(blocks))
     for i in n:
         a = b = i
         while a > 0 and inside[a - 1] and blocks[a - 1][1] > 0.5:
@@ -138,7 +158,7 @@ def plain_label(blocks):
             b += 1
         if off[i] or article and not inside[i]:
             first[i] = "bad"
-        elif article and first[i] == "bad" and not (blocks[i][1] > 0.5 and b - a + 1 >= 3):
+        elif article and first[i] == "bad" and not (blocks[i][1] > 0.5 and b - a + 1 >= 3 and i < begin):
             first[i] = "short"
     places = [i for i in n if inside[i] or not article]
     good = []

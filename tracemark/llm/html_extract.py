@@ -24,7 +24,7 @@ STOP_LOW, STOP_HIGH = 0.12, 0.2
 MAX_LINKS = 0.5
 KNOWN = 0.08  # share of stop words from which on they are those of the page's language
 ARTICLE = 0.25  # share of a page's text from which on an article counts
-MENU = 3  # blocks of links in a row
+MENU = 3  # blocks of links in a row, before any text of an article
 
 # fixed values: elements of HTML, by what they mean here
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,6 +42,12 @@ recommended replies reply search share sharing sidebar signup social sponsor spo
 NEUTRAL = frozenset("""area bar block bottom box btn button buttons center col column container content desktop div fixed form foot footnote group head icon icons
 inner item items layout left line links list main mobile mid middle module outer page panel post primary row secondary section site sticky text title top user
 right wrap wrapper""".split())
+# fixed values: what comments, notices and contents are called as one word with others; such a part tells inside an article too
+COMPOUND = re.compile(r"""(?:user|users|reader|readers|site|page|post|blog|article)?(?:comments?(?:list|section|area|box|thread|form|feed|body|wrap|wrapper|container)?|disqus\w*
+|repl(?:y|ies)(?:list|thread|box)?|responses?(?:list)?|discussions?(?:list|thread|area|board|section)?|notices?(?:bar|box)?|(?:cookie|gdpr)s?(?:law|bar|banner|notice|consent|info)?
+|toc(?:list|box|container|inner|title)?|tableofcontents)""", re.X)
+# fixed values: words that turn a name into one of a state
+STATES = frozenset("with has no without open closed enabled disabled off".split())
 # fixed values: frequent words of English, German, French, Spanish, Italian, Portuguese, Dutch, Polish, Russian
 STOP = frozenset("""the of and to in a is that it for was on are as with be by this from at or an not have which but
 der die und das den dem des ein eine einer einem ist im in von mit zu auf für sich nicht auch als an es war wie
@@ -58,6 +64,7 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
+CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 
 
 def region(tag: str, attributes: str, in_article: bool) -> bool:
@@ -69,10 +76,13 @@ def region(tag: str, attributes: str, in_article: bool) -> bool:
     if HIDDEN.search(attributes):
         return True
     for names in NAMES.findall(attributes):
-        for name in "".join(names).lower().split():
-            parts = set(re.split(r"[-_:\d]+", name)) - {""}
-            if {"with", "has", "no", "without"} & parts:
+        for name in "".join(names).split():
+            words = re.split(r"[-_:\d]+", CAMEL.sub(r"\1-\2", name).lower())
+            parts = set(words) - {""}
+            if STATES & parts:
                 continue
+            if tag != "article" and any(map(COMPOUND.fullmatch, parts | {"".join(words)})):
+                return True
             telling = NOT_MAIN & parts or (not in_article and tag != "article" and "header" in parts)
             if telling and (not in_article or not parts - NOT_MAIN - NEUTRAL):
                 return True
@@ -203,13 +213,14 @@ def label(blocks: list[tuple[str, float, bool, tuple]]) -> list[bool]:
     text = [w if not o and f in ("good", "near", "short") else 0.0 for w, f, o in zip(weight, first, off, strict=True)]
     inside = [b[2] and not o for b, o in zip(blocks, off, strict=True)]
     article = any(inside) and sum(t for t, i in zip(text, inside, strict=True) if i) >= ARTICLE * sum(text)
-    # a link alone says little inside an article; several in a row are a menu there too
+    # links say little inside an article, a list of sources being text of it; but several in a row before any text are a menu
+    text_from = next((i for i, f in enumerate(first) if inside[i] and f in ("good", "near")), len(blocks))
     for heavy, run in groupby(range(len(blocks)), key=lambda i: inside[i] and blocks[i][1] > MAX_LINKS):
         run = list(run)
         for i in run:
             if off[i] or article and not inside[i]:
                 first[i] = "bad"
-            elif article and first[i] == "bad" and not (heavy and len(run) >= MENU):
+            elif article and first[i] == "bad" and not (heavy and len(run) >= MENU and i < text_from):
                 first[i] = "short"
     places = [i for i in range(len(blocks)) if inside[i] or not article]
     return second_pass(first, places, article)
