@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,15 +15,13 @@ AUDIO_EXTENSIONS = (".mp3", ".wav", ".flac", ".ogg", ".m4a", ".aac", ".opus", ".
 
 def pack_hash(f1: Column, f2: Column, dt: Column, cfg: FingerprintConfig = FingerprintConfig()) -> Column:
     """Two bins and their distance in one int."""
-    return (F.shiftleft(f1.cast("int"), cfg.freq_bits + cfg.dt_bits).bitwiseOR(F.shiftleft(f2.cast("int"), cfg.dt_bits))
-            .bitwiseOR(dt.cast("int")).cast("int"))
+    placed = [F.shiftleft(c.cast("int"), cfg.layout.shift(part)) for part, c in {"f1": f1, "f2": f2, "dt": dt}.items()]
+    return reduce(Column.bitwiseOR, placed).cast("int")
 
 
 def unpack_hash(h: Column, cfg: FingerprintConfig = FingerprintConfig()) -> tuple[Column, Column, Column]:
     """(f1, f2, dt)."""
-    bins, steps = (1 << cfg.freq_bits) - 1, (1 << cfg.dt_bits) - 1
-    return (F.shiftright(h, cfg.freq_bits + cfg.dt_bits).bitwiseAND(F.lit(bins)), F.shiftright(h, cfg.dt_bits).bitwiseAND(F.lit(bins)),
-            h.bitwiseAND(F.lit(steps)))
+    return tuple(F.shiftright(h, cfg.layout.shift(part)).bitwiseAND(F.lit(cfg.layout.values(part)[-1])) for part, _ in cfg.layout.parts)
 
 
 def frames_to_seconds(frames: Column, cfg: FingerprintConfig = FingerprintConfig()) -> Column:

@@ -125,5 +125,6 @@ def _pairs(cfg: FingerprintConfig):
 
 def check_bins(peaks: DataFrame, cfg: FingerprintConfig = FingerprintConfig()) -> DataFrame:
     """peaks, with an error at run time for a bin that would not fit in a hash."""
-    ok = (F.col("f") >= 0) & (F.col("f") < 1 << cfg.freq_bits)
+    held = cfg.layout.values("f1")
+    ok = F.col("f").between(held[0], held[-1])
     return peaks.withColumn("f", F.when(ok, F.col("f")).otherwise(F.raise_error(F.concat(F.lit("bin out of range: "), F.col("f").cast("string"))).cast("int")))

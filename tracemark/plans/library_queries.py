@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from tracemark.config import FingerprintConfig
 from tracemark.functions import scalars as S
 from tracemark.operators import audio, degrade, evaluation, peaks
+from tracemark.operators.hashing import generate_hashes
 from tracemark.plans import analogs as A
 from tracemark.plans import queries as Q
-from tracemark.plans.indexers import RmsIndexer
+from tracemark.plans.indexers import FingerprintIndexer, RmsIndexer
 from tracemark.plans.library import Library, add_songs
-from tracemark.scratch import scratch_path
+from tracemark.scratch import materialise, scratch_path
 from tracemark.sources import files as X
+from tracemark.streaming.pieces import gather_pieces
 
 RATE = 8000
 FLOOR_CFG = FingerprintConfig(min_freq_hz=50.0)  # the first five bins
@@ -178,7 +180,136 @@ SELECT path, CASE WHEN nth = 1 THEN 'ingested' ELSE 'skipped' END AS first, CASE
        round(sqrt(list_sum(list_transform(q, lambda x: pow(x / 32768.0::DOUBLE, 2))) / len(q)), 6) AS rms, title, round(len(q) / {RATE}.0::DOUBLE, 6) AS duration_s FROM f
 """
 
+def _as_files(spark, d):
+    """Vectors as WAV files at RATE."""
+    @F.pandas_udf("binary")
+    def as_wav(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda x: X.encode_wav(np.asarray(x, np.float64), RATE))
+
+    return A.table(spark, d, "embeddings").select(F.format_string("v/%06d.wav", "vec_id").alias("path"), as_wav("embedding").alias("content"))
+
+
+def delete_compact(spark, d):
+    """Vectors are ingested with two indexes, some songs deleted, one index of others dropped, the buckets with dead rows
+    written anew and old files removed; then songs, live rows and the library's counts are read."""
+    library, ix, other = Library(spark, scratch_path(spark, "library"), buckets=8), RmsIndexer("v1", RATE), RmsIndexer("v1", RATE)
+    other.name = "second"
+    library.ingest(_as_files(spark, d), [ix, other])
+    number = F.regexp_extract("title", "[0-9]+", 0).cast("long")
+    songs = materialise(library.songs().select(F.col("id").alias("song_id"), number.alias("vec_id")), "songs")
+    library.delete_song(songs.filter("vec_id % 3 = 0"))
+    library.delete_index(songs.filter("vec_id % 3 = 1 and vec_id % 4 = 0"), other)
+    library.compact([ix, other], dead_share=0.1)
+    library.manifests.vacuum()
+    rows = library.songs().select(F.col("id").alias("song_id"), number.alias("vec_id"))
+    found = rows.join(library.index(ix).select("song_id", F.round("rms", 6).alias("rms")), "song_id", "left").join(library.index(other).select("song_id", F.lit(1).alias("has_second")), "song_id", "left")
+    counts = library.stats(ix).select("songs", F.col("fingerprints").alias("n_rows"), F.lit(FingerprintConfig().version()).alias("config")).crossJoin(
+        library.health().select(F.col("songs").alias("healthy"), "version"))
+    return found.crossJoin(F.broadcast(counts)).select("vec_id", "rms", F.coalesce("has_second", F.lit(0)).alias("has_second"), "songs", "n_rows", "healthy", (F.col("version") == F.col("config")).alias("agrees"))
+
+
+DELETE_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(least(greatest(CAST(x AS DOUBLE), -1), 1) * 32767) AS INTEGER)) AS q FROM embeddings),
+k AS (SELECT * FROM v WHERE vec_id % 3 <> 0), n AS (SELECT count(*) AS n FROM k)
+SELECT vec_id, round(sqrt(list_sum(list_transform(q, lambda x: pow(x / 32768.0::DOUBLE, 2))) / len(q)), 6) AS rms, CASE WHEN vec_id % 3 = 1 AND vec_id % 4 = 0 THEN 0 ELSE 1 END AS has_second,
+       n AS songs, n AS n_rows, n AS healthy, true AS agrees FROM k, n
+"""
+
+
+class _EventIndexer(FingerprintIndexer):
+    """The landmarks of events in a library: what stands for a song's samples is the song's number."""
+
+    def __init__(self, hashes):
+        super().__init__()
+        self.sample_rate, self.hashes = RATE, hashes
+
+    def compute(self, samples):
+        number = F.round(F.element_at("samples", 1).cast("double") * 32768).cast("long") + 32768 * F.round(F.element_at("samples", 2).cast("double") * 32768).cast("long")
+        return self.hashes.join(samples.select("song_id", number.alias("user")), "user").select("song_id", "hash", "anchor_time")
+
+
+def identify_stored(spark, d):
+    """users' landmarks are ingested in a library, and clips are identified against its stored index."""
+    @F.pandas_udf("binary")
+    def as_wav(users: pd.Series) -> pd.Series:
+        return users.map(lambda u: X.encode_wav((np.array([u % 32768, u // 32768]) + 0.5) / 32767, RATE))
+
+    rows = Q._events(spark, d)
+    users = rows.select("song_id").distinct()
+    hashes = generate_hashes(rows).withColumnRenamed("song_id", "user")
+    library = Library(spark, scratch_path(spark, "library"), buckets=8)
+    library.ingest(users.select(F.format_string("%09d.wav", "song_id").alias("path"), as_wav("song_id").alias("content")), [_EventIndexer(hashes)])
+    found = library.identify(A.clip_ids(rows), generate_hashes(A.clip_peaks(rows), key="clip_id"))
+    named = library.songs().select("id", F.col("title").cast("long").alias("user"))
+    best = found.select("clip_id", "is_match", F.col("best_song_id").alias("id"), "aligned_matches", "runner_up_matches", "query_hashes", "db_hits")
+    # ids of the library come from content hashes: where users tie, which of them is best differs, and is not shown
+    return best.join(named, "id", "left").select("clip_id", "is_match", F.when(F.col("aligned_matches") > F.col("runner_up_matches"), F.col("user")).alias("user"), "aligned_matches", "runner_up_matches", "query_hashes", "db_hits")
+
+
+STORED_SQL = Q.EVENT_MATCH + """ SELECT clip_id, best_song_id IS NOT NULL AND best >= 5 AND conf >= 0.25 AS is_match, CASE WHEN best > ru THEN best_song_id END AS "user",
+ best AS aligned_matches, ru AS runner_up_matches, query_hashes, db_hits FROM mc"""
+
+
+def noisy_vectors(spark, d):
+    """M6, M9: vectors as clips under white noise at 5 dB, sample for sample."""
+    clips = _vectors(spark, d, F.lit(RATE)).withColumn("condition", F.lit("noise_5db"))
+    return degrade.degrade(clips, seed=7).select("clip_id", F.posexplode("samples").alias("n", "x")).select("clip_id", "n", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+def _mixed_sql(source: str, keep: str, x: str, name: str) -> str:
+    """splitmix64 of a column x of 64 bits, as CTEs name_0 to name_3."""
+    def times(a, k):
+        return f"((({a})::UHUGEINT * {k}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    return f"""{name}_0 AS (SELECT {keep}, ((({x})::UHUGEINT + {degrade.GAMMA}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM {source}),
+{name}_1 AS (SELECT {keep}, {times('xor(z, z >> 30)', degrade.MIX_A)} AS z FROM {name}_0),
+{name}_2 AS (SELECT {keep}, {times('xor(z, z >> 27)', degrade.MIX_B)} AS z FROM {name}_1),
+{name}_3 AS (SELECT {keep}, xor(z, z >> 31) AS z FROM {name}_2)"""
+
+
+NOISE_SQL = f"""
+WITH v AS (SELECT vec_id, xor({int(degrade.mixed(7))}::UBIGINT, vec_id::UBIGINT) AS x, embedding FROM embeddings),
+{_mixed_sql("v", "vec_id", "x", "a")},
+{_mixed_sql("a_3", "vec_id", f"xor(z, {list(degrade.CONDITIONS).index('noise_5db')}::UBIGINT)", "b")},
+s AS (SELECT b_3.vec_id, n, k, ((z::UHUGEINT + (2 * n + k)::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS x FROM b_3, range(64) r(n), range(2) q(k)),
+{_mixed_sql("s", "vec_id, n, k", "x", "c")},
+u AS (SELECT vec_id, n, max(CASE WHEN k = 0 THEN (z >> 11)::DOUBLE / 9007199254740992 END) AS u, max(CASE WHEN k = 1 THEN (z >> 11)::DOUBLE / 9007199254740992 END) AS v FROM c_3 GROUP BY 1, 2),
+p AS (SELECT vec_id, embedding, sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) for x in embedding]) / len(embedding) * pow(10.0::DOUBLE, -0.5)) AS level FROM embeddings)
+SELECT vec_id AS clip_id, CAST(n AS INTEGER) AS n, round(CAST(CAST(CAST(embedding[n + 1] AS DOUBLE) + level * sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v) AS FLOAT) AS DOUBLE), 6) AS x
+FROM p JOIN u USING (vec_id) WHERE n < len(embedding)
+"""
+
+GAP_MS, MOST, DELAY_MS = 36 * 3_600_000, 20, 600_000
+
+
+def gathered_events(spark, d):
+    """The events of a user as pieces of one sample, put together by a stateful stream into clips of 20 samples, or of what comes before
+    a day and a half of silence."""
+    root = scratch_path(spark, "gathered")
+    schema = A.table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    pieces = events.select(F.col("user_id").alias("source_id"), F.col("event_id").alias("piece_id"), F.col("ts").cast("timestamp").alias("ts"), F.array(F.col("value").cast("float")).alias("samples"))
+    clips = gather_pieces(pieces, MOST, GAP_MS, f"{DELAY_MS} milliseconds")
+    clips.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/clips").awaitTermination()
+    found = spark.read.schema(clips.schema).parquet(f"{root}/clips")
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return found.select("source_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), F.col("n_pieces").cast("long").alias("n_pieces"), F.round(total, 2).alias("total"))
+
+
+GATHERED_SQL = f"""
+WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS us, CAST(CAST(value AS FLOAT) AS DOUBLE) AS x FROM events),
+g AS (SELECT *, CASE WHEN us - lag(us) OVER w > {GAP_MS}000 THEN 1 ELSE 0 END AS brk FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY us, event_id) AS run FROM g),
+r AS (SELECT *, (row_number() OVER (PARTITION BY user_id, run ORDER BY us, event_id) - 1) // {MOST} AS part, max(run) OVER (PARTITION BY user_id) AS last_run FROM s),
+c AS (SELECT user_id, run, last_run, min(us) AS started, max(us) AS ended, count(*) AS n_pieces, round(sum(x), 2) AS total FROM r GROUP BY user_id, run, last_run, part)
+SELECT user_id AS source_id, started, ended, n_pieces, total FROM c
+WHERE n_pieces = {MOST} OR run < last_run OR ended // 1000 + {GAP_MS} < (SELECT max(us) // 1000 - {DELAY_MS} FROM e)
+"""
+
 REGISTRY: dict[str, tuple] = {
+    "delete_compact": (delete_compact, DELETE_SQL),
+    "identify_stored": (identify_stored, STORED_SQL),
+    "noisy_vectors": (noisy_vectors, NOISE_SQL),
+    "gathered_events": (gathered_events, GATHERED_SQL),
     "clip_limits": (clip_limits, CLIP_LIMITS_SQL),
     "seek_window": (seek_window, SEEK_SQL),
     "floored_peaks": (floored_peaks, FLOORED_SQL),
