@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tracemark.config import FingerprintConfig, MatchConfig
 from tracemark.functions.scalars import confidence_score, frames_to_seconds, is_match, shown_offset
-from tracemark.scratch import materialise
 
 
 SKETCHED = 1000  # hashes of a side that the sketch names; each more frequent than one row in so many is among them
@@ -26,23 +25,26 @@ def lookup(index: DataFrame, hashes: DataFrame) -> DataFrame:
 def join_cells(queries: DataFrame, index: DataFrame, cell_rows: int = CELL_ROWS, cell_share: int = CELL_SHARE, cell_pairs: int = CELL_PAIRS) -> DataFrame | None:
     """(hash, q_cells, i_cells) of hashes that are too frequent for one task on either side; None if there are none.
 
-    A mergeable sketch of frequent items names the candidates of each side, which are then counted exactly. Rows of a side are dealt
-    over so many cells that none has more than its share, and more where the pairs in a cell would be too many. Both tables are
-    read by their hashes alone, so written ones are cheap to ask.
+    A mergeable sketch of frequent items names the candidates of each side, at most SKETCHED; those that it holds for frequent are
+    counted exactly. Rows of a side are dealt over so many cells that none has more than its share, and more where the pairs in
+    a cell would be too many. Both tables are read by their hashes alone, so written ones are cheap to ask.
     """
-    top = f"transform(approx_top_k(hash, {SKETCHED}, {10 * SKETCHED}), x -> x.item)"
     sides = {"q": queries.select("hash"), "i": index.select("hash")}
-    # at most twice as many as a sketch names
-    hashes = reduce(DataFrame.unionByName, [side.agg(F.expr(top).alias("h")).select(F.explode("h").alias("hash")) for side in sides.values()]).distinct()
-    named = F.broadcast(materialise(hashes, "frequent"))
-    counts = reduce(DataFrame.unionByName, [df.join(named, "hash", "left_semi").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(s)) for s, df in sides.items()])
-    per_hash = counts.groupBy("hash").pivot("side", list(sides)).agg(F.sum("n")).filter("q > 0 and i > 0")
-    most = {s: max(cell_rows, df.count() // cell_share) for s, df in sides.items()}
-    q, i = (F.ceil(F.col(s) / most[s]) for s in sides)
-    more = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("i") / (q * i) / cell_pairs))
-    cells = per_hash.select("hash", q.cast("int").alias("q_cells"), (i * more).cast("int").alias("i_cells")).filter("q_cells > 1 or i_cells > 1")
-    cells = materialise(cells, "cells")
-    return None if cells.isEmpty() else cells
+    sketch = F.expr(f"approx_top_k(hash, {SKETCHED}, {10 * SKETCHED})").alias("top")
+    found = reduce(DataFrame.unionByName, [df.agg(sketch, F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(s)) for s, df in sides.items()]).collect()
+    most = {r["side"]: max(cell_rows, r["n"] // cell_share) for r in found}
+    likely = sorted({t["item"] for r in found for t in r["top"] or [] if 2 * t["count"] > most[r["side"]]})
+    if not likely:
+        return None
+    counts = {s: dict(map(tuple, df.filter(F.col("hash").isin(likely)).groupBy("hash").count().collect())) for s, df in sides.items()}
+    cells = []
+    for h in likely:
+        n = {s: counts[s].get(h, 0) for s in sides}
+        q, i = (-(-n[s] // most[s]) for s in sides)
+        i *= max(1, -(-n["q"] * n["i"] // (max(1, q * i) * cell_pairs)))
+        if max(q, i) > 1 and min(q, i) > 0:
+            cells.append((h, q, i))
+    return queries.sparkSession.createDataFrame(cells, "hash int, q_cells int, i_cells int") if cells else None
 
 
 def in_cells(rows: DataFrame, cells: DataFrame, own: str, other: str) -> DataFrame:
