@@ -28,10 +28,15 @@ def test_typed_parts_round_trip(spark):
     out = {r["conv_id"]: r for r in C.read_back(C.format_chat(spark.createDataFrame(rows, MESSAGES))).collect()}
     one = out[1]
     assert [t["role"] for t in one["turns"]] == ["user", "assistant", "tool\n<|x", "assistant"]
-    assert one["turns"][1]["parts"] == nasty and one["loss_texts"] == nasty
-    assert one["turns"][0]["parts"] == ["look <", "<|image|>", "|> and", "<|audio|>"] and one["turns"][2]["parts"] == ["<|document|>", "odd kind"]
-    assert [tuple(a) for a in one["attachments"]] == [(0, "image", "s3://a.png", 4), (1, "audio", "b.wav", 53), (2, "document", "c.pdf", 768)]
-    assert out[2]["turns"][0]["parts"] == [""] and out[2]["loss_texts"] == [] and out[None]["loss_texts"] == ["null id"]
+    parts = [[tuple(p) for p in t["parts"]] for t in one["turns"]]
+    assert parts[1] == [("text", t, None) for t in nasty] and one["loss_texts"] == nasty and parts[3] == []
+    assert parts[0] == [("text", "look <", None), ("image", None, "s3://a.png"), ("text", "|> and", None), ("audio", None, "b.wav")]
+    assert parts[2] == [("document", None, "c.pdf"), ("text", "odd kind", None)]
+    assert [tuple(a) for a in one["attachments"]] == [(0, "image", "s3://a.png", 4, 0, 1), (1, "audio", "b.wav", 53, 0, 3), (2, "document", "c.pdf", 768, 2, 0)]
+    # a text that looks like a placeholder is a text
+    both = C.read_back(C.format_chat(spark.createDataFrame([(1, 0, "user", [("image", None, None, 1, 1, None, None), text("<|image|>"), text("<␛|image|>")])], MESSAGES))).first()
+    assert [tuple(p) for p in both["turns"][0]["parts"]] == [("image", None, None), ("text", "<|image|>", None), ("text", "<␛|image|>", None)]
+    assert out[2]["turns"][0]["parts"][0]["text"] == "" and out[2]["loss_texts"] == [] and out[None]["loss_texts"] == ["null id"]
     assert one["formatted"].count("<|turn|>") == 4
     assert C.format_chat(spark.createDataFrame([], MESSAGES)).isEmpty()
 

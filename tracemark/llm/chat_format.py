@@ -61,7 +61,7 @@ def format_chat(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     that repeated turn numbers have one result; a null turn comes first, a null role or text is empty, a null or
     unknown part kind is text, and a null part list is no part. loss_spans holds, for each text part of a turn of
     loss_role, the turn's position and the part's start and length (code points) from that turn's start in
-    formatted; attachments holds ordinal, kind, ref and tokens in order over the conversation. Rows of a null
+    formatted; attachments holds ordinal, kind, ref and tokens in order over the conversation, with turn and part, their places. Rows of a null
     conversation form one conversation. An empty table gives an empty table.
 
     A conversation is one row of the result and so one task's work; conversations are bounded by what a string
@@ -95,28 +95,40 @@ def format_chat(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
             F.col("turn_").alias("turn"), F.coalesce("role_", F.lit("")).alias("role"), "content",
             F.when(F.coalesce(F.col("role_"), F.lit("")) == loss_role, starts)
             .otherwise(F.array().cast("array<struct<start:int,length:int>>")).alias("spans"),
-            F.transform(F.filter("seen", lambda p: ~p["is_text"]),
-                        lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens"))).alias("files")).alias("t"))
+            F.filter(F.transform("seen", lambda p, k: F.struct(
+                p["is_text"], p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens"), k.alias("part"))),
+                lambda p: ~p["is_text"]).alias("files")).alias("t"))
     grouped = rows.groupBy("conv_").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     return grouped.select(
         F.col("conv_").alias(conv),
         F.array_join(F.col("turns.content"), "").alias("formatted"),
         F.flatten(F.transform("turns", lambda t, i: F.transform(t["spans"], lambda s: F.struct(
             i.alias("turn"), s["start"].alias("start"), s["length"].alias("length"))))).alias("loss_spans"),
-        F.transform(F.flatten("turns.files"), lambda f, i: F.struct(
-            i.alias("ordinal"), f["kind"].alias("kind"), f["ref"].alias("ref"), f["tokens"].alias("tokens"))).alias("attachments"))
+        F.transform(F.flatten(F.transform("turns", lambda t, i: F.transform(t["files"], lambda f: F.struct(f.alias("f"), i.alias("turn"))))), lambda x, i: F.struct(
+            i.alias("ordinal"), x["f"]["kind"].alias("kind"), x["f"]["ref"].alias("ref"), x["f"]["tokens"].alias("tokens"),
+            x["turn"].alias("turn"), x["f"]["part"].alias("part"))).alias("attachments"))
 
 
 def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """Parse formatted again: turns (role, parts) and loss_texts, the unescaped texts under loss_spans, in order."""
+    """Parse formatted again: turns (role, parts) and loss_texts, the unescaped texts under loss_spans, in order.
+
+    A part is (kind, text, ref): a placeholder stands in formatted as no text can, whose "<|" is escaped, and has the ref of the
+    attachment in its place; its text is null. Kinds that are unknown come back as text.
+    """
     pieces = F.slice(F.split(F.col("formatted"), r"<\|turn\|>", -1), 2, 2**30)
     df = formatted.withColumn("pieces", pieces)
 
-    def parse(p):
+    def parse(p, i):
+        here = F.filter("attachments", lambda a: a["turn"] == i)
+
+        def part(raw, k):
+            kind = F.regexp_extract(raw, rf"^<\|({'|'.join(KINDS[1:])})\|>$", 1)
+            return F.struct(F.when(kind == "", "text").otherwise(kind).alias("kind"), F.when(kind == "", unescape(raw)).alias("text"),
+                            F.when(kind != "", F.get(F.filter(here, lambda a: a["part"] == k), 0)["ref"]).alias("ref"))
         role = F.substring_index(p, "\n", 1)
         body = F.substr(p, F.length(role) + 2, F.length(p) - F.length(role) - 1 - len(END))
         parts = F.slice(F.split(body, r"<\|part\|>", -1), 2, 2**30)
-        return F.struct(unescape_role(role).alias("role"), F.transform(parts, unescape).alias("parts"))
+        return F.struct(unescape_role(role).alias("role"), F.transform(parts, part).alias("parts"))
 
     # spans count from the turn's marker, which split() took away
     cut = F.transform("loss_spans", lambda s: unescape(F.substr(
@@ -132,7 +144,7 @@ def op2(conversations: DataFrame) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
     out = read_back(format_chat(rows.select("conv_id", "turn", "role", text_parts(F.col("text")).alias("parts"))))
-    turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), F.array_join(t["parts"], ""), F.lit("\n")))
+    turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), F.array_join(t["parts"]["text"], ""), F.lit("\n")))
     loss = F.array_join("loss_texts", "")
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
