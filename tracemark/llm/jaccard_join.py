@@ -7,10 +7,13 @@
    of parts. Classes that share too few keys with all others together are left out, twice over.
 3. Similar classes form groups: a class joins the smallest id with which it shares a key. The other groups in which
    it finds enough of its keys are the groups that it queries.
-4. A group is stored in blocks of a bounded number of tokens. For each block and each block of queries, the union of
-   the block's tokens bounds a query's overlap with any member; only a query that the bound lets through opens the
-   block and is compared with the members.
-5. Links, at most one for each class and block, go to connected components.
+4. Every member is compared with its group's leader, once and exactly. Those that link with it are one component and need not meet
+   each other; only the rest of the group asks the group as other groups' queries do. So a group of near copies costs as much as
+   it has members.
+5. A group that is asked is stored in blocks of a bounded number of tokens. For each block and each block of queries, the union of
+   the block's tokens bounds a query's overlap with any member; only a query that the bound lets through is compared
+   with the members.
+6. Links, at most one for each class and block, go to connected components.
 
 No pairs of a group are emitted, no group is gathered in one task, and nothing but counts goes to the driver.
 """
@@ -136,10 +139,35 @@ def _find(root: list[int], i: int) -> int:
     return i
 
 
-def compare(ids: list[int], sets: list[np.ndarray], query: list[bool], num: int, den: int, inner: bool) -> list[tuple[int, int]]:
-    """Links within one tile as (id, smallest id that it reaches here). inner: members query each other."""
+def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets link."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if den * len(small) < num * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int(np.count_nonzero(large[at] == small))
+    return den * both >= num * (len(a) + len(b) - both)
+
+
+def _leaders(num: int, den: int):
+    """Rows come sorted by block of a group, its leader first: members that link with the leader, one at a time."""
+    def run(batches):
+        now, leader, lead = None, np.empty(0, U), -1
+        for batch in batches:
+            found = []
+            for g, b, is_member, i, tokens in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if not is_member:
+                    now, leader, lead = (g, b), np.frombuffer(tokens, U), i
+                elif now == (g, b) and linked(leader, np.frombuffer(tokens, U), num, den):
+                    found.append((i, lead))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+    return run
+
+
+def compare(ids: list[int], sets: list[np.ndarray], query: list[bool], num: int, den: int) -> list[tuple[int, int]]:
+    """Links within one tile as (id, smallest id that it reaches here), by asking the members for each query."""
     members = [i for i, q in enumerate(query) if not q]
-    asking = members if inner else [i for i, q in enumerate(query) if q]
+    asking = [i for i, q in enumerate(query) if q]
     if not members or not asking:
         return []
     flat = np.concatenate([sets[i] for i in members])
@@ -148,20 +176,19 @@ def compare(ids: list[int], sets: list[np.ndarray], query: list[bool], num: int,
     flat, owner = flat[order], owner[order]
     sizes = np.array([len(sets[i]) for i in members])
     root = list(range(len(ids)))
-    for at, i in enumerate(asking):
+    for i in asking:
         q = sets[i]
         lo, hi = np.searchsorted(flat, q, "left"), np.searchsorted(flat, q, "right")
-        # the bound: tokens of the query in the union of the block's (other) sets
-        if den * int(np.count_nonzero(hi - lo > inner)) < num * len(q):
+        # the bound: tokens of the query in the union of the block's sets
+        if den * int(np.count_nonzero(hi > lo)) < num * len(q):
             continue
         width = hi - lo
         spots = np.repeat(lo - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(int(width.sum()))
         both = np.bincount(owner[spots], minlength=len(members))
         for m in np.flatnonzero(den * both >= num * (len(q) + sizes - both)):
-            if not (inner and m <= at):
-                a, b = _find(root, i), _find(root, members[m])
-                if a != b:
-                    root[max(a, b, key=lambda x: (ids[x], x))] = min(a, b, key=lambda x: (ids[x], x))
+            a, b = _find(root, i), _find(root, members[m])
+            if a != b:
+                root[max(a, b, key=lambda x: (ids[x], x))] = min(a, b, key=lambda x: (ids[x], x))
     return [(ids[i], ids[r]) for i in range(len(ids)) if ids[r := _find(root, i)] != ids[i]]
 
 
@@ -172,7 +199,7 @@ def _tiles(num: int, den: int):
 
         def close():
             if rows:
-                out.extend(compare([r[0] for r in rows], [np.frombuffer(r[1], U) for r in rows], [r[2] for r in rows], num, den, now[1] == now[2]))
+                out.extend(compare([r[0] for r in rows], [np.frombuffer(r[1], U) for r in rows], [r[2] for r in rows], num, den))
 
         for batch in batches:
             for *tile, query, i, tokens in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -268,24 +295,26 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     discard(touched)
     discard(shared)
 
-    # blocks of members, and blocks of the queries from other groups; a tile is a pair of blocks
-    blocks = (grouped.groupBy("g").agg(F.ceil(F.sum("n") / block_tokens).cast("int").alias("nb"))
-              .join(queries.groupBy("g").agg(F.ceil(F.sum("n") / block_tokens).cast("int").alias("nq")), "g", "left")
-              .fillna(0, ["nq"]))
-    mine = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
-    asks = F.pmod(F.xxhash64("id"), F.col("nq")).cast("int")
-    own = grouped.join(blocks, "g").withColumn("b", mine)
-    # tile (i, j): j = i members among themselves; j > i block j queries block i; j < 0 foreign queries ask block i
-    inside = own.select("g", "b", "id", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("x")).select(
-        "g", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), (F.col("b") > F.col("x")).alias("query"), "id")
-    asked = own.filter("nq > 0").select("g", F.col("b").alias("i"), F.explode(F.sequence(F.lit(1), F.col("nq"))).alias("x"), "id").select(
-        "g", "i", (-F.col("x")).alias("j"), F.lit(False).alias("query"), "id")
-    asking = queries.join(blocks, "g").withColumn("c", asks).select(
-        "g", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), (-F.col("c") - 1).alias("j"), F.lit(True).alias("query"), "id")
-    tokens = _only(named, grouped.select("id"), "left_semi").mapInArrow(_tokens(words), "id long, tokens binary")
-    tiles = (inside.unionByName(asked).unionByName(asking).join(tokens, "id")
+    # every member meets its leader, in blocks of the group that each have a copy of the leader
+    sets = materialise(_only(named, grouped.select("id"), "left_semi").mapInArrow(_tokens(words), "id long, tokens binary"), "tokens")
+    block = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
+    sized = grouped.groupBy("g").agg(F.ceil(F.sum("n") / block_tokens).cast("int").alias("nb"))
+    own = grouped.join(sized, "g").withColumn("b", block)
+    led = own.filter("id <> g").select("g", "b", F.lit(True).alias("is_member"), "id")
+    leads = sized.select("g", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"), F.lit(False).alias("is_member"), F.col("g").alias("id"))
+    met = leads.unionByName(led).join(sets, "id").select("g", "b", "is_member", "id", "tokens").repartition("g", "b").sortWithinPartitions("g", "b", "is_member")
+    by_leader = materialise(met.mapInArrow(_leaders(num, den), "a long, b long"), "leader-links")
+    rest = own.filter("id <> g").join(by_leader.select(F.col("a").alias("id")).distinct(), "id", "left_anti").select("id", "g", "n")
+
+    # a tile (i, j) has block i of a group's members and block j of those that ask it: its own rest, and queries from other groups
+    queries = queries.select("id", "g", "n").unionByName(rest)
+    asked_by = queries.groupBy("g").agg(F.ceil(F.sum("n") / block_tokens).cast("int").alias("nq"))
+    asked = own.join(asked_by, "g").select("g", F.col("b").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("j"), F.lit(False).alias("query"), "id")
+    asking = queries.join(sized, "g").join(asked_by, "g").withColumn("j", F.pmod(F.xxhash64("id"), F.col("nq")).cast("int")).select(
+        "g", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), "j", F.lit(True).alias("query"), "id")
+    tiles = (asked.unionByName(asking).join(sets, "id")
              .select("g", "i", "j", "query", "id", "tokens").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j"))
-    links = tiles.mapInArrow(_tiles(num, den), "a long, b long")
+    links = tiles.mapInArrow(_tiles(num, den), "a long, b long").unionByName(by_leader)
     # the classes of one id are one document's
     several = members.filter("n > 0 and id is not null").groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).filter("b < last")
     links = links.unionByName(members.filter("n > 0").join(several.select("id", "b"), "id").select(F.col("rep").alias("a"), "b"))
