@@ -388,6 +388,14 @@ NEIGHBOR_SQL = f"""WITH u AS ({LINE_SUMS_SQL}), sp AS (SELECT song_id, min(t) AS
  cf AS (SELECT song_id, t, CAST(f AS INTEGER) AS f FROM ce, range(0, 32) x(f)), g AS (SELECT cf.song_id, cf.t, cf.f, coalesce(cents, 0) / 100000.0::DOUBLE AS db FROM cf LEFT JOIN u ON u.song_id = cf.song_id AND u.t = cf.t AND u.f = cf.f), n AS (SELECT a.song_id, a.t, a.f, any_value(a.db) AS db, max(b.db) AS nb_max, min(b.db) AS nb_min FROM g a JOIN g b ON a.song_id = b.song_id
  AND b.t BETWEEN a.t - 7 AND a.t + 7 AND b.f BETWEEN a.f - 7 AND a.f + 7 GROUP BY 1, 2, 3)"""
 FRAMES_SQL = """SELECT vec_id, CAST(t AS INTEGER) AS t, list_transform(embedding[t * 8 + 1 : t * 8 + 16], lambda x: CAST(x AS DOUBLE)) AS frame FROM embeddings, range(0, 7) r(t)"""
+# M1, M2, M3 and so M4: frames of 16 samples two apart, the transform by its definition, boxes of 3 x 3, the cap, the hashes
+PRINTS_SQL = f"""WITH fr AS (SELECT vec_id, CAST(t AS INTEGER) AS t, list_transform(embedding[t * 2 + 1 : t * 2 + 16], lambda x: CAST(CAST(x * 100 AS FLOAT) AS DOUBLE)) AS frame FROM embeddings, range(0, 25) r(t)),
+ s AS (SELECT vec_id, t, unnest(range(0, 16)) AS n, unnest(frame) AS x FROM fr), w AS (SELECT vec_id, t, n, x * (0.5 - 0.5 * cos(2 * pi() * n / 16)) AS x FROM s),
+ g AS (SELECT vec_id AS song_id, t, CAST(f AS INTEGER) AS f, CAST(20 * log10(sqrt(pow(sum(x * cos(2 * pi() * f * n / 16)), 2) + pow(sum(x * sin(2 * pi() * f * n / 16)), 2)) + 1e-10) AS FLOAT) AS db FROM w, range(0, 8) r(f) GROUP BY 1, 2, 3),
+ n AS (SELECT a.song_id, a.t, a.f, any_value(a.db) AS db, max(b.db) AS hi, min(b.db) AS lo FROM g a JOIN g b ON a.song_id = b.song_id AND abs(a.t - b.t) <= 1 AND abs(a.f - b.f) <= 1 GROUP BY 1, 2, 3),
+ l AS (SELECT song_id, max(db) AS loudest FROM g GROUP BY 1 HAVING max(db) >= -60),
+ k AS (SELECT n.*, row_number() OVER (PARTITION BY n.song_id, t // 5512 ORDER BY db DESC, f, t) AS r FROM n JOIN l USING (song_id) WHERE db = hi AND db > lo AND db >= loudest - 60),
+ p AS (SELECT row_number() OVER () AS pid, song_id, t, f FROM k WHERE r <= 15) {_hash_sql('p')}"""
 JUDGED_SQL = f"""WITH r AS ({RECORD_SQL}), mx AS (SELECT max(confidence) AS top FROM r WHERE kind = 'negative' AND split = 'calibration' AND best_song_id IS NOT NULL AND aligned >= 5),
  th AS (SELECT CASE WHEN top IS NULL THEN 0.0::DOUBLE ELSE coalesce((SELECT min(round(g / 100.0::DOUBLE, 2)) FROM range(0, 101) x(g) WHERE round(g / 100.0::DOUBLE, 2) > top), 1.0::DOUBLE) END AS threshold FROM mx),
  j AS (SELECT r.*, threshold, best_song_id IS NOT NULL AND aligned >= 5 AND confidence >= threshold AS is_match, coalesce(best_song_id = true_song_id, false) AS raw FROM r, th)"""
@@ -472,7 +480,7 @@ REGISTRY: dict[str, tuple] = {
     "frame_rms": (frame_rms, f"SELECT vec_id, t, round(sqrt(list_sum(list_transform(frame, lambda x: x * x)) / 16), 5) AS rms FROM ({FRAMES_SQL})"),
     "spectrogram": (spectrogram, f"""WITH s AS (SELECT vec_id, t, unnest(range(0, 16)) AS n, unnest(frame) AS x FROM ({FRAMES_SQL})), w AS (SELECT vec_id, t, n, x * (0.5 - 0.5 * cos(2 * pi() * n / 16)) AS x FROM s)
  SELECT vec_id AS song_id, t, CAST(f AS INTEGER) AS f, round(pow(10.0::DOUBLE, CAST(CAST(20 * log10(sqrt(pow(sum(x * cos(2 * pi() * f * n / 16)), 2) + pow(sum(x * sin(2 * pi() * f * n / 16)), 2)) + 1e-10) AS FLOAT) AS DOUBLE) / 20), 4) AS magnitude FROM w, range(0, 8) r(f) GROUP BY 1, 2, 3"""),
-    "audio_fingerprints": (audio_fingerprints, None),
+    "audio_fingerprints": (audio_fingerprints, PRINTS_SQL),
 }
 
 
