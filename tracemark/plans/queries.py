@@ -334,8 +334,8 @@ def spectrogram(spark, d):
 
 
 def audio_fingerprints(spark, d):
-    """M4 on vectors as samples: fused spectrogram, peaks and hashes."""
-    rows = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("song_id"), F.transform("embedding", lambda x: x * 100).alias("samples"))
+    """M4 on vectors as samples: fused spectrogram, peaks and hashes. Samples are floats: a float times an integer is a double here."""
+    rows = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("song_id"), F.transform("embedding", lambda x: (x * 100).cast("float")).alias("samples"))
     return audio.fingerprint(rows, FingerprintConfig(n_fft=16, hop_length=2, peak_neighborhood_freq=3, peak_neighborhood_time=3))
 
 
