@@ -150,3 +150,29 @@ def test_a_hash_of_a_third_of_all_rows_on_both_sides(spark):
 def test_no_frequent_hashes(spark):
     q, i = spark.createDataFrame([(1, 5, 0)], "clip_id long, hash int, anchor_time int"), spark.createDataFrame([], "hash int, song_id long, anchor_time int")
     assert M.join_cells(q, i) is None and M.counted_offsets(q, i).isEmpty()
+
+
+def test_a_grid_of_clips_and_songs_gives_the_plain_candidates(spark, monkeypatch):
+    """Repeats, null songs, ties, songs that are cut into parts, and clips that share a group; no pair of equal hashes is shuffled."""
+    from tracemark.operators import meeting
+
+    draw = np.random.default_rng(3)
+    q = spark.createDataFrame([(int(c), int(h), int(t)) for c, h, t in zip(draw.integers(0, 9, 900), draw.integers(0, 40, 900), draw.integers(0, 12, 900))] + [(77, 999, 5)], "clip_id long, hash int, anchor_time int")
+    i = spark.createDataFrame([(int(h), int(s) if s else None, int(t)) for h, s, t in zip(draw.integers(0, 50, 4000), draw.integers(0, 30, 4000), draw.integers(-30, 30, 4000))], "hash int, song_id long, anchor_time int")
+    clips = spark.range(12).withColumnRenamed("id", "clip_id")
+    want = rows(M.match_fingerprints(clips, q, i).withColumn("candidates", F.col("candidates").cast("string")))
+    assert rows(M.match_fingerprints(clips, q, i, groups=2).withColumn("candidates", F.col("candidates").cast("string"))) == want
+    assert rows(M.match_fingerprints(clips, q, i.limit(0), groups=2)) == rows(M.match_fingerprints(clips, q, i.limit(0)))
+    # in one task, with small bounds: songs in parts, candidates that are kept again and again
+    for name, n in (("PAIRS", 500), ("AT_ONCE", 150)):
+        monkeypatch.setattr(meeting, name, n)
+    import pyarrow as pa
+
+    def packed(df, key):
+        t = pa.table({"id": pa.array([r[key] for r in df], pa.int64()), "hash": pa.array([r["hash"] for r in df], pa.int32()), "t": pa.array([r["anchor_time"] for r in df], pa.int32())})
+        return sorted((r for b in meeting._pack(iter(t.to_batches(max_chunksize=700))) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), key=lambda r: (r[0] is not None, r[0] or 0))
+    cell = [(0, 0, 0, *r) for r in packed(q.collect(), "clip_id")] + [(0, 0, 1, *r) for r in packed(i.collect(), "song_id")]
+    table = pa.table({n: [r[k] for r in cell] for k, n in enumerate(("clips", "songs", "side", "id", "rows"))})
+    got = [r for b in meeting._meet(5, 1)(iter(table.to_batches(max_chunksize=9))) for r in b.to_pylist() if r["aligned_matches"] is not None]
+    for c in M.match_fingerprints(clips, q, i).collect():
+        assert [tuple(x) for x in c["candidates"]] == [(r["song_id"], r["offset_frames"], r["aligned_matches"]) for r in got if r["clip_id"] == c["clip_id"]]

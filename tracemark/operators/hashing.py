@@ -85,7 +85,11 @@ def paired(group: np.ndarray, own: np.ndarray, t: np.ndarray, f: np.ndarray, n:
         found.append((anchor[near], ahead[near], times))
         left[near] -= times
         ahead = ahead + 1
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+    if not found:
+        return (np.empty(0, np.int64),) * 3
+    anchor, target, times = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(anchor, kind="stable")  # a key's rows stay together
+    return anchor[order], target[order], times[order]
 
 
 def _pairs(cfg: FingerprintConfig):

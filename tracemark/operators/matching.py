@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemark.config import FingerprintConfig, MatchConfig
 from tracemark.functions.scalars import confidence_score, frames_to_seconds, is_match, shown_offset
+from tracemark.operators.meeting import best_songs
 
 
 SKETCHED = 1000  # hashes of a side that the sketch names; each more frequent than one row in so many is among them
@@ -113,13 +114,8 @@ def query_stats(clips: DataFrame, queries: DataFrame, index: DataFrame) -> DataF
     return clips.select("clip_id").distinct().join(sent, "clip_id", "left").join(hits, "clip_id", "left").fillna(0, ["query_hashes", "db_hits"])
 
 
-def match_fingerprints(clips: DataFrame, queries: DataFrame, index: DataFrame, cfg: MatchConfig = MatchConfig(),
-                       fp: FingerprintConfig = FingerprintConfig(), cells: DataFrame | None = None) -> DataFrame:
-    """M5 (J1, J2, A1, E5, A2, E6, A3, A4, P4, P5): one row for each clip of clips, with or without hashes.
-
-    queries: (clip_id, hash, anchor_time); index: (hash, song_id, anchor_time). Without candidates the scores are 0
-    and nothing matches. Offsets may be negative. cells: what join_cells finds in written queries and index.
-    """
+def _ranked_by_shuffle(queries: DataFrame, index: DataFrame, cfg: MatchConfig, cells: DataFrame | None) -> DataFrame:
+    """The scores and candidates of each clip with hashes, by a shuffle of the pairs of equal hashes: for few clips."""
     bins = tolerant_bins(counted_offsets(queries, index, cells), cfg.offset_tolerance_frames)
     # the hits of a clip are summed beside the ranking: a second branch would read the index again
     songs = best_bins(bins).withColumn("db_hits", F.sum("hits").over(Window.partitionBy("clip_id")))
@@ -132,12 +128,32 @@ def match_fingerprints(clips: DataFrame, queries: DataFrame, index: DataFrame, c
         F.max(F.when(F.col("rank") == 2, F.col("aligned_matches"))).alias("runner_up_matches"), F.max("db_hits").alias("db_hits"),
         F.array_sort(F.collect_list(F.when(F.col("rank") <= cfg.top_candidates, top))).alias("c"))
     sent = queries.groupBy("clip_id").agg(F.count(F.lit(1)).alias("query_hashes"))
-    rows = clips.select("clip_id").distinct().join(sent, "clip_id", "left").join(per_clip, "clip_id", "left")
+    return sent.join(per_clip, "clip_id", "left")
+
+
+def match_fingerprints(clips: DataFrame, queries: DataFrame, index: DataFrame, cfg: MatchConfig = MatchConfig(),
+                       fp: FingerprintConfig = FingerprintConfig(), cells: DataFrame | None = None, groups: int | None = None) -> DataFrame:
+    """M5 (J1, J2, A1, E5, A2, E6, A3, A4, P4, P5): one row for each clip of clips, with or without hashes.
+
+    queries: (clip_id, hash, anchor_time); index: (hash, song_id, anchor_time). Without candidates the scores are 0
+    and nothing matches. Offsets may be negative. cells: what join_cells finds in written queries and index.
+    groups: how many groups of clips meet the songs in a grid of tasks (meeting.clip_groups), for many clips and songs: then only candidates
+    leave a task, and not the pairs of equal hashes, which grow with clips times songs.
+    """
+    names = "array<struct<song_id:bigint,offset_frames:int,aligned_matches:bigint>>"
+    if groups is None:
+        per_clip = _ranked_by_shuffle(queries, index, cfg, cells)
+    else:
+        found = best_songs(queries, index, groups, max(2, cfg.top_candidates), cfg.offset_tolerance_frames)
+        per_clip = found.select(
+            "clip_id", "query_hashes", "db_hits", F.get("best", F.lit(0))["song_id"].alias("best_song_id"), F.get("best", F.lit(0))["offset_frames"].alias("offset_frames"),
+            (-F.get("best", F.lit(0))["worth"]).alias("aligned_matches"), (-F.get("best", F.lit(1))["worth"]).alias("runner_up_matches"),
+            F.transform(F.slice("best", 1, cfg.top_candidates), lambda b: F.struct(b["song_id"].alias("song_id"), b["offset_frames"].alias("offset_frames"), (-b["worth"]).alias("aligned_matches"))).alias("c"))
+    rows = clips.select("clip_id").distinct().join(per_clip, "clip_id", "left")
     rows = rows.fillna(0, ["query_hashes", "db_hits", "aligned_matches", "runner_up_matches"])
     rows = rows.withColumn("confidence", confidence_score(F.col("aligned_matches"), F.col("runner_up_matches"), cfg))
     matched = F.col("best_song_id").isNotNull() & is_match(F.col("aligned_matches"), F.col("confidence"), cfg)
     rows = rows.withColumns({"is_match": matched, "song_id": F.when(matched, F.col("best_song_id"))})
-    names = "array<struct<song_id:bigint,offset_frames:int,aligned_matches:bigint>>"
     candidates = F.transform("c", lambda c: F.struct(c["song_id"].alias("song_id"), c["offset_frames"].alias("offset_frames"), c["aligned_matches"].alias("aligned_matches")))
     return rows.select(
         "clip_id", "is_match", "song_id", "best_song_id", "offset_frames", frames_to_seconds(F.col("offset_frames"), fp).alias("offset_s"),

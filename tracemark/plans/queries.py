@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemark.config import FingerprintConfig
 from tracemark.functions import scalars as S
-from tracemark.operators import audio, evaluation, hashing, library, matching, peaks
+from tracemark.operators import audio, evaluation, hashing, library, matching, meeting, peaks
 from tracemark.plans import analogs as A
 from tracemark.plans.library import latest_status, outcome_counts, plan_stale
 from tracemark.scratch import materialise
@@ -33,9 +33,9 @@ def _clip_hashes(rows: DataFrame, remainder: int = 0) -> DataFrame:
 
 
 def _match(clips: DataFrame, queries: DataFrame, index: DataFrame) -> DataFrame:
-    """The clips' hashes and the index are written once: both are read to find what is frequent, and then joined."""
-    queries, index = materialise(queries, "queries"), materialise(index, "index")
-    found = matching.match_fingerprints(clips, queries, index, cells=matching.join_cells(queries, index))
+    """The clips' hashes are written once, and counted; both sides then meet in a grid of tasks."""
+    queries = materialise(queries, "queries")
+    found = matching.match_fingerprints(clips, queries, index, groups=meeting.clip_groups(queries.count()))
     return found.select("clip_id", "is_match", "song_id", "best_song_id", "offset_frames", F.round("offset_s", 6).alias("offset_s"), F.round("confidence", 6).alias("confidence"),
                         "aligned_matches", "runner_up_matches", "query_hashes", "db_hits", F.size("candidates").cast("long").alias("n_candidates"))
 
