@@ -278,3 +278,16 @@ def test_labels(spark):
     assert [value(S.reject_upload(F.lit(x).cast("binary"), 3)) for x in ("", "abcd", "abc")] == ["empty", "too large", None]
     assert value(S.source_tag(F.lit(1))) == "fma" and value(S.source_tag(F.lit(None), F.lit(True))) == "upload"
     assert abs(value(S.frames_to_seconds(F.lit(43))) - 43 * 256 / 11025) < 1e-12 and value(S.seconds_to_frames(F.lit(256 / 11025))) == 1
+
+
+def test_an_ingest_sends_no_table_through_the_driver(spark):
+    """What grows with the library is joined by shuffle, small or not."""
+    from tracemark.plans.library import plan_stale
+
+    songs = spark.createDataFrame([(1, "a")], "id long, content_hash string")
+    marks = spark.createDataFrame([(1, "rms", "v1")], "song_id long, index_name string, version string")
+    wanted = spark.createDataFrame([("rms", "v1"), ("rms2", "v1")], "index_name string, version string")
+    plan = plan_stale(spark.createDataFrame([("a",), ("b",)], "content_hash string"), songs, marks, wanted)
+    assert sorted(map(tuple, plan.collect())) == [("a", "rms2", "v1"), ("b", "rms", "v1"), ("b", "rms2", "v1")]
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in text and text.count("SortMergeJoin") >= 2

@@ -51,7 +51,7 @@ class Library:
     def songs(self) -> DataFrame:
         """Songs with a marker."""
         songs = self.manifests.read("songs", SONGS)
-        return songs.join(self.statuses().select(F.col("song_id").alias("id")).distinct(), "id", "left_semi")
+        return songs.join(by_shuffle(self.statuses().select(F.col("song_id").alias("id")).distinct()), "id", "left_semi")
 
     def index(self, indexer: Indexer, version: str | None = None) -> DataFrame:
         """Live rows of an index, of one version (by default the indexer's own)."""
@@ -66,7 +66,7 @@ class Library:
 
     def _live(self, rows: DataFrame, indexer: Indexer) -> DataFrame:
         live = self.statuses().filter(F.col("index_name") == indexer.name).select("song_id", "version", "batch_id")
-        return rows.join(live, ["song_id", "version", "batch_id"], "left_semi")
+        return rows.join(by_shuffle(live), ["song_id", "version", "batch_id"], "left_semi")
 
     def lookup(self, hashes: DataFrame, indexer: Indexer) -> DataFrame:
         """J1 on the stored index: live rows with one of the hashes (hash). Only the buckets of the hashes are read, and
@@ -99,10 +99,10 @@ class Library:
         ranked = hashed.withColumn("nth", F.row_number().over(first))
         # written, not cached: what was planned and found must not change with the tables that the batch appends to
         todo = self._keep(self.plan(hashed.select("content_hash").distinct(), indexers), f"staging/{batch}/todo")
-        work = ranked.filter("nth = 1").join(todo.select("content_hash").distinct(), "content_hash", "left_semi")
+        work = ranked.filter("nth = 1").join(by_shuffle(todo.select("content_hash").distinct()), "content_hash", "left_semi")
         decoded = []
         for rate in sorted({x.sample_rate for x in indexers}):  # W2: decoded once for each rate
-            due = work.join(todo.filter(F.col("sample_rate") == rate).select("content_hash").distinct(), "content_hash", "left_semi")
+            due = work.join(by_shuffle(todo.filter(F.col("sample_rate") == rate).select("content_hash").distinct()), "content_hash", "left_semi")
             decode(due, rate).write.mode("overwrite").parquet(f"{self.root}/staging/{batch}/rate={rate}")
             decoded.append(self.spark.read.schema("content_hash string, sample_rate int, samples array<float>, error string").parquet(f"{self.root}/staging/{batch}/rate={rate}").withColumn("rate_no", F.lit(len(decoded))))
         got = reduce(DataFrame.unionByName, decoded)
@@ -112,21 +112,21 @@ class Library:
         known = self.songs().select("id", "content_hash")
         # no id is given twice, not even that of a deleted song
         top = self.manifests.read("songs", SONGS).agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-        fresh = work.join(good, "content_hash").join(known, "content_hash", "left_anti")
+        fresh = work.join(by_shuffle(good), "content_hash").join(by_shuffle(known), "content_hash", "left_anti")
         # ids of new songs only: one narrow row each
         ids = with_rank(fresh.select("content_hash"), ["content_hash"], "nth").crossJoin(F.broadcast(top)).select("content_hash", (F.col("top") + F.col("nth")).cast("long").alias("id"))
-        rows = fresh.join(ids, "content_hash").select(
+        rows = fresh.join(by_shuffle(ids), "content_hash").select(
             "id", F.coalesce("source", F.lit("file")).alias("source"), "source_id", title_or_stem(F.col("title"), F.col("path")).alias("title"), "artist", "album",
             F.col("duration_s").cast("double").alias("duration_s"), F.col("path").alias("file_path"), "content_hash", F.current_timestamp().alias("created_at"))
         written = self._write(tables, "songs", rows)
-        named = written.unionByName(known.join(good, "content_hash", "left_semi"), allowMissingColumns=True).select("content_hash", F.col("id").alias("song_id"))
+        named = written.unionByName(known.join(by_shuffle(good), "content_hash", "left_semi"), allowMissingColumns=True).select("content_hash", F.col("id").alias("song_id"))
         markers = []
         for x in indexers:
-            due = named.join(todo.filter(F.col("index_name") == x.name).select("content_hash"), "content_hash", "left_semi")
-            samples = got.filter(F.col("sample_rate") == x.sample_rate).join(due, "content_hash").select("song_id", "sample_rate", "samples")
+            due = named.join(by_shuffle(todo.filter(F.col("index_name") == x.name).select("content_hash")), "content_hash", "left_semi")
+            samples = got.filter(F.col("sample_rate") == x.sample_rate).join(by_shuffle(due), "content_hash").select("song_id", "sample_rate", "samples")
             stored = self._append(tables, x, x.compute(samples), batch)
             counts = stored.groupBy("song_id").agg(F.count(F.lit(1)).alias("n"))  # of this batch's folder alone
-            markers.append(due.join(counts, "song_id", "left").select(  # A21
+            markers.append(due.join(by_shuffle(counts), "song_id", "left").select(  # A21
                 "song_id", F.lit(x.name).alias("index_name"), F.lit(x.version).alias("version"), F.coalesce("n", F.lit(0)).cast("long").alias("item_count"),
                 F.current_timestamp().alias("indexed_at"), F.lit(batch).alias("batch_id")))
         result = self._keep(self._outcomes(ranked, todo, per_file, known, named), f"results/batch={batch}")
@@ -169,8 +169,8 @@ class Library:
     def _outcomes(ranked, todo, per_file, known, named) -> DataFrame:
         items = todo.groupBy("content_hash").agg(F.sort_array(F.collect_set("index_name")).alias("due"))
         was = known.select(F.col("content_hash").alias("content_hash"), F.col("id").alias("old_id"))
-        rows = (ranked.select("path", "content_hash", "nth").join(items, "content_hash", "left").join(per_file.select("content_hash", "error"), "content_hash", "left")
-                .join(was, "content_hash", "left").join(named, "content_hash", "left"))
+        rows = (ranked.select("path", "content_hash", "nth").join(by_shuffle(items), "content_hash", "left").join(by_shuffle(per_file.select("content_hash", "error")), "content_hash", "left")
+                .join(by_shuffle(was), "content_hash", "left").join(by_shuffle(named), "content_hash", "left"))
         outcome = (F.when((F.col("nth") > 1) & F.col("error").isNull(), "skipped").when(F.col("due").isNull(), "skipped").when(F.col("error").isNotNull(), "failed")
                    .when(F.col("old_id").isNotNull(), "updated").otherwise("ingested"))
         none = F.array().cast("array<string>")
@@ -249,6 +249,12 @@ class Library:
         return done
 
 
+def by_shuffle(rows: DataFrame) -> DataFrame:
+    """rows for a join that sends neither side through the driver: songs, files and markers grow with the library, and as long as each
+    is small enough to broadcast, a batch's many joins would send them there again and again."""
+    return rows.hint("merge")
+
+
 def latest_status(markers: DataFrame) -> DataFrame:
     """The newest row of each (song_id, index_name); of equal times the greater batch id."""
     best = F.max_by(F.struct("version", "item_count", "indexed_at", "batch_id"), F.struct("indexed_at", "batch_id"))
@@ -257,8 +263,8 @@ def latest_status(markers: DataFrame) -> DataFrame:
 
 def plan_stale(files: DataFrame, songs: DataFrame, statuses: DataFrame, wanted: DataFrame) -> DataFrame:
     """(content_hash, index_name, version, ...) of wanted indexes that a file's song does not have in that version."""
-    current = songs.select(F.col("id").alias("song_id"), "content_hash").join(statuses.select("song_id", "index_name", "version"), "song_id").select("content_hash", "index_name", "version")
-    return files.select("content_hash").crossJoin(F.broadcast(wanted)).join(current, ["content_hash", "index_name", "version"], "left_anti")
+    current = songs.select(F.col("id").alias("song_id"), "content_hash").join(by_shuffle(statuses.select("song_id", "index_name", "version")), "song_id").select("content_hash", "index_name", "version")
+    return files.select("content_hash").crossJoin(F.broadcast(wanted)).join(by_shuffle(current), ["content_hash", "index_name", "version"], "left_anti")
 
 
 def outcome_counts(results: DataFrame) -> DataFrame:

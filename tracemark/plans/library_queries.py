@@ -13,7 +13,7 @@ from tracemark.operators.hashing import generate_hashes
 from tracemark.plans import analogs as A
 from tracemark.plans import queries as Q
 from tracemark.plans.indexers import FingerprintIndexer, RmsIndexer
-from tracemark.plans.library import Library, add_songs
+from tracemark.plans.library import Library, add_songs, by_shuffle
 from tracemark.scratch import materialise, scratch_path
 from tracemark.sources import files as X
 from tracemark.streaming.pieces import gather_pieces
@@ -166,8 +166,8 @@ def ingest_vectors(spark, d):
     first = library.ingest(files, [RmsIndexer("v1", RATE)]).select("path", "song_id", F.col("outcome").alias("first"))
     newer = RmsIndexer("v2", RATE)
     second = library.ingest(files, [newer]).select("path", F.col("outcome").alias("second"))
-    found = first.join(second, "path").join(library.index(newer).select("song_id", "rms"), "song_id", "left")
-    return found.join(library.songs().select(F.col("id").alias("song_id"), "title", F.round("duration_s", 6).alias("duration_s")), "song_id", "left").select(
+    found = first.join(by_shuffle(second), "path").join(by_shuffle(library.index(newer).select("song_id", "rms")), "song_id", "left")
+    return found.join(by_shuffle(library.songs().select(F.col("id").alias("song_id"), "title", F.round("duration_s", 6).alias("duration_s"))), "song_id", "left").select(
         "path", "first", "second", F.round("rms", 6).alias("rms"), "title", "duration_s")
 
 
