@@ -291,3 +291,18 @@ def test_an_ingest_sends_no_table_through_the_driver(spark):
     assert sorted(map(tuple, plan.collect())) == [("a", "rms2", "v1"), ("b", "rms", "v1"), ("b", "rms2", "v1")]
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in text and text.count("SortMergeJoin") >= 2
+
+
+def test_small_files_are_decoded_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Forty small files are the work of all shuffle partitions, though their bytes would fit in one."""
+    import numpy as np
+
+    from tracemark.plans import library as L
+    from tracemark.plans.indexers import RmsIndexer
+    from tracemark.sources.files import encode_wav
+
+    seen, plain = [], L.decode
+    monkeypatch.setattr(L, "decode", lambda due, rate: (seen.append(due.rdd.getNumPartitions()), plain(due, rate))[1])
+    files = spark.createDataFrame([(f"{i:02d}.wav", bytearray(encode_wav(np.array([i / 50.0, 0.1]), 8000))) for i in range(40)], "path string, content binary")
+    got = L.Library(spark, str(tmp_path / "lib"), buckets=2).ingest(files, [RmsIndexer("v1", 8000)])
+    assert seen == [4] and {r["outcome"] for r in got.collect()} == {"ingested"}

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tracemark.config import FingerprintConfig, MatchConfig
 from tracemark.functions.scalars import title_or_stem
 from tracemark.operators.audio import duration_s
-from tracemark.operators.matching import join_cells, match_fingerprints
+from tracemark.operators.matching import match_fingerprints
+from tracemark.operators.meeting import clip_groups
 from tracemark.plans.indexers import Indexer, default_indexers
 from tracemark.plans.manifests import Manifests, Tables
 from tracemark.schemas import SONG_INDEXES, SONGS
@@ -95,6 +96,8 @@ class Library:
             if name not in files.columns:
                 files = files.withColumn(name, F.lit("file" if name == "source" else None).cast("string"))
         hashed = files.withColumn("content_hash", F.sha2(F.coalesce("content", F.lit("").cast("binary")), 256))
+        # a number of parts that stays: files are decoded one by one, and by their bytes alone small ones would be the work of a task or two
+        hashed = hashed.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "content_hash")
         first = Window.partitionBy("content_hash").orderBy("path")
         ranked = hashed.withColumn("nth", F.row_number().over(first))
         # written, not cached: what was planned and found must not change with the tables that the batch appends to
@@ -190,12 +193,12 @@ class Library:
         return self.songs().agg(F.count(F.lit(1)).alias("songs")).withColumn("version", F.lit(cfg.version()))
 
     def identify(self, clips: DataFrame, queries: DataFrame, fp: FingerprintConfig = FingerprintConfig(), cfg: MatchConfig = MatchConfig()) -> DataFrame:
-        """M5 against the index of the same version. The queries are written once: they tell which buckets to read."""
+        """M5 against the index of the same version. The queries are written once: they are counted, and tell which buckets to read."""
         from tracemark.plans.indexers import FingerprintIndexer
 
         queries = materialise(queries, "queries")
         met = self.lookup(queries, FingerprintIndexer(fp))
-        return match_fingerprints(clips, queries, met, cfg, fp, join_cells(queries, met))
+        return match_fingerprints(clips, queries, met, cfg, fp, groups=clip_groups(queries.count()))
 
     def delete_song(self, song_ids: DataFrame) -> None:
         """Songs and all their rows go: the markers are written anew without theirs. compact() removes what lies there still."""

@@ -162,6 +162,7 @@ def ingest_vectors(spark, d):
     vectors = A.table(spark, d, "embeddings")
     vectors = vectors.withColumn("copy", F.explode(F.when(F.pmod("vec_id", F.lit(5)) == 0, F.array(F.lit("v"), F.lit("w"))).otherwise(F.array(F.lit("v")))))
     files = vectors.select(F.format_string("%s/%06d.wav", "copy", "vec_id").alias("path"), as_wav("embedding").alias("content"))
+    files = materialise(files, "files")
     library = Library(spark, scratch_path(spark, "library"), buckets=8)
     first = library.ingest(files, [RmsIndexer("v1", RATE)]).select("path", "song_id", F.col("outcome").alias("first"))
     newer = RmsIndexer("v2", RATE)
@@ -186,7 +187,7 @@ def _as_files(spark, d):
     def as_wav(vectors: pd.Series) -> pd.Series:
         return vectors.map(lambda x: X.encode_wav(np.asarray(x, np.float64), RATE))
 
-    return A.table(spark, d, "embeddings").select(F.format_string("v/%06d.wav", "vec_id").alias("path"), as_wav("embedding").alias("content"))
+    return materialise(A.table(spark, d, "embeddings").select(F.format_string("v/%06d.wav", "vec_id").alias("path"), as_wav("embedding").alias("content")), "files")
 
 
 def delete_compact(spark, d):
@@ -229,16 +230,17 @@ class _EventIndexer(FingerprintIndexer):
 
 
 def identify_stored(spark, d):
-    """users' landmarks are ingested in a library, and clips are identified against its stored index."""
+    """users' landmarks are ingested in a library, and clips are identified against its stored index. The users' files are
+    written once: an ingest reads its files several times."""
     @F.pandas_udf("binary")
     def as_wav(users: pd.Series) -> pd.Series:
         return users.map(lambda u: X.encode_wav((np.array([u % 32768, u // 32768]) + 0.5) / 32767, RATE))
 
     rows = Q._events(spark, d)
-    users = rows.select("song_id").distinct()
+    users = rows.select("song_id").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     hashes = generate_hashes(rows).withColumnRenamed("song_id", "user")
     library = Library(spark, scratch_path(spark, "library"), buckets=8)
-    library.ingest(users.select(F.format_string("%09d.wav", "song_id").alias("path"), as_wav("song_id").alias("content")), [_EventIndexer(hashes)])
+    library.ingest(materialise(users.select(F.format_string("%09d.wav", "song_id").alias("path"), as_wav("song_id").alias("content")), "files"), [_EventIndexer(hashes)])
     found = library.identify(A.clip_ids(rows), generate_hashes(A.clip_peaks(rows), key="clip_id"))
     named = library.songs().select("id", F.col("title").cast("long").alias("user"))
     best = found.select("clip_id", "is_match", F.col("best_song_id").alias("id"), "aligned_matches", "runner_up_matches", "query_hashes", "db_hits")
