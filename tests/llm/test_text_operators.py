@@ -125,6 +125,16 @@ def test_leaks(spark):
     assert D.leaks(df.limit(0), bench).isEmpty() and D.leaks(df, bench.limit(0)).isEmpty()
 
 
+def test_long_runs_of_names_numbers_and_separators(spark):
+    item = "which of the many questions in a benchmark would be found again in some other text by its words"
+    runs = ["De " * 30_000, "a De " + "Aa " * 30_000 + "Aa1", "1" + ".1" * 30_000, "1," * 30_000, ". " * 30_000, " " * 30_000, "- , . " * 10_000]
+    docs = [(i, f"so {run} {item}") for i, run in enumerate(runs)] + [(i + 100, run) for i, run in enumerate(runs)] + [(200, None)]
+    df, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: r["n_windows"] for r in D.op4(df, bench).collect()}
+    assert got == dict.fromkeys(range(len(runs)), 12)
+    assert {r["doc_id"] for r in D.decontaminate(df, bench, shortest=1).collect()} == {*range(100, 100 + len(runs)), 200}
+
+
 def test_a_clash_takes_only_its_windows(spark):
     words = [f"w{a}{b}" for a in "abcdef" for b in "ghijklmn"]
     passage = " ".join(words[:6] + ["3"] + words[6:40] + ["3"] + words[40:])

@@ -20,6 +20,8 @@ SHORTEST = 3  # default of the functions; the queries search items of any length
 BROADCAST_WINDOWS = 1_000_000
 NUM, UNIT, NAME, JOINED = "\ue000", "\ue001", "\ue002", "\ue003"
 MARKS = NUM + UNIT + NAME + JOINED
+# repeated groups are possessive: nothing needs them to give back, and a greedy one takes a frame of the stack for each round, so that some
+# thousand names, numbers or separators in a row overflow it
 # fixed values: unit words, as they stand after a number (a capitalised one is a name by its form, and so a slot too)
 UNITS = """km m cm mm mi miles mile kg g mg lb lbs tons ton l ml litres liters hours hour h minutes minute min seconds second s days day weeks week months
 month years year dollars dollar euros euro cents cent percent mph kmh meters metres meter kilometers kilometres feet foot inches inch yards degrees
@@ -27,12 +29,12 @@ heures heure secondes jours semaines mois ans litres mètres kilomètres grammes
 horas hora minutos segundos días semanas meses años metros kilómetros gramos litros
 ore minuti secondi giorni settimane mesi anni metri chilometri grammi litri
 км м см кг г л часов часа минут секунд дней недель лет рублей метров километров""".split()
-SEPARATORS = rf"(?:[^\p{{L}}\p{{N}}.,{MARKS}]|(?<!\p{{N}})[.,]|[.,](?!\p{{N}}))+"
+SEPARATORS = rf"(?:[^\p{{L}}\p{{N}}.,{MARKS}]|(?<!\p{{N}})[.,]|[.,](?!\p{{N}}))++"
 # fixed values: the blocks of scripts without spaces (Thai to Myanmar, Khmer, kana, Han); each character is a word
 SPACELESS = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3041-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}&&\p{L}]"
 BETWEEN = rf"[^\p{{L}}{NUM}{UNIT}{NAME}]+"  # once all numbers are placeholders
 BEFORE_NAME = r"[\p{Ll}\p{N},;:]"  # what stands, with a space, before a name: not the end of a sentence
-NAMED = rf"\p{{Lu}}(?<={BEFORE_NAME} .)\p{{Ll}}+(?:{JOINED}\p{{Lu}}\p{{Ll}}+)*(?![\p{{L}}\p{{N}}])"
+NAMED = rf"\p{{Lu}}(?<={BEFORE_NAME} .)\p{{Ll}}+(?:{JOINED}\p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}]))*+(?![\p{{L}}\p{{N}}])"
 NAME_GAP = rf" (?=\p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}]))(?<={BEFORE_NAME} \p{{Lu}}\p{{Ll}}{{1,40}} )"
 
 
@@ -60,7 +62,7 @@ def canonical_words(text: Column) -> Column:
     """The same words of a text with joined names, with placeholders, the others in lower case. Texts without digits,
     most of them, take a short way."""
     spaced = F.regexp_replace(F.regexp_replace(text, r"(?<=\p{N})(?=\p{L})", " "), NAMED, NAME)
-    numbers = F.regexp_replace(spaced, r"\p{N}+(?:[.,]\p{N}+)*", NUM)
+    numbers = F.regexp_replace(spaced, r"\p{N}+(?:[.,]\p{N}+)*+", NUM)
     units = F.regexp_replace(numbers, rf"(?<={NUM} )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", UNIT)
     return F.array_remove(F.split(F.lower(F.when(text.rlike(r"\p{N}"), units).otherwise(F.regexp_replace(text, NAMED, NAME))), BETWEEN), "")
 
