@@ -135,6 +135,13 @@ def test_long_runs_of_names_numbers_and_separators(spark):
     assert {r["doc_id"] for r in D.decontaminate(df, bench, shortest=1).collect()} == {*range(100, 100 + len(runs)), 200}
 
 
+def test_words_are_not_worked_out_for_each_hit(spark):
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    found = D.leaks(spark.createDataFrame([(1, BENCH[0][1])], DOCS), bench)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 1 and "regexp_replace" not in plan
+
+
 def test_a_clash_takes_only_its_windows(spark):
     words = [f"w{a}{b}" for a in "abcdef" for b in "ghijklmn"]
     passage = " ".join(words[:6] + ["3"] + words[6:40] + ["3"] + words[40:])

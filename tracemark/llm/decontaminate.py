@@ -155,19 +155,24 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     hits = spots.join(held, ["h", "size", "exact"]).select("id", "tk", "item_id", "ik", "variant", "exact", "pos", "from", "at", "size", F.col("n_windows").alias("item_windows")).distinct()
     hits = materialise(hits, "hits")  # few rows, read twice below
 
-    # the words of the documents and items that met, to compare in full and to fill the placeholders
+    # the words of the documents and items that met, to compare in full and to fill the placeholders; they are written, since a
+    # join would work them out again for each of a document's hits
     met = materialise(hits.select(F.col("id").alias("mid"), F.col("tk").alias("mtk")).distinct(), "met")
     met = F.broadcast(met) if met.count() <= BROADCAST_WINDOWS else met
     found = rows.join(met, rows["id"].eqNullSafe(met["mid"]) & (rows["tk"] == met["mtk"]), "left_semi").dropDuplicates(["id", "tk"])
     found = found.withColumn("plain", plain(F.col("text"))).withColumn("joined", join_names(F.col("plain"))).select(
         F.col("id").alias("did"), F.col("tk").alias("dtk"), canonical_words(F.col("joined")).alias("dc"), split_words(F.col("joined")).alias("dw"), split_words(F.col("plain")).alias("du"))
+    found = materialise(found, "words")
     items = items.select(F.col("item_id").alias("iid"), F.col("ik").alias("iik"), F.col("variant").alias("iv"), "ic", "iw", "iu")
-    full = hits.join(found, hits["id"].eqNullSafe(found["did"]) & (hits["tk"] == found["dtk"])).join(
-        items, F.col("item_id").eqNullSafe(F.col("iid")) & (F.col("ik") == F.col("iik")) & (F.col("variant") == F.col("iv")))
 
     def cut(words, exact_words, at):
         return F.slice(F.when(F.col("exact"), F.col(exact_words)).otherwise(F.col(words)), F.col(at) + 1, F.col("size"))
-    full = full.withColumns({"a": cut("dc", "du", "pos"), "b": cut("ic", "iu", "from"), "x": cut("dw", "du", "pos"), "y": cut("iw", "iu", "from")})
+    # a written table of hits is many times smaller than its rows in memory, so its size must not choose a broadcast; and of a
+    # document's words only the window's go on
+    full = hits.hint("merge").join(found, hits["id"].eqNullSafe(found["did"]) & (hits["tk"] == found["dtk"]))
+    full = full.select(*hits.columns, cut("dc", "du", "pos").alias("a"), cut("dw", "du", "pos").alias("x"))
+    full = full.join(items, F.col("item_id").eqNullSafe(F.col("iid")) & (F.col("ik") == F.col("iik")) & (F.col("variant") == F.col("iv")))
+    full = full.withColumns({"b": cut("ic", "iu", "from"), "y": cut("iw", "iu", "from")})
     # equal words, and not equal hashes only
     full = full.filter(F.transform("a", F.lower) == F.transform("b", F.lower))
     slot = F.transform("a", lambda w, i: F.when(is_slot(w) | (F.col("exact") & w.rlike(r"^\p{N}")), F.struct(
