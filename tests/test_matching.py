@@ -176,3 +176,58 @@ def test_a_grid_of_clips_and_songs_gives_the_plain_candidates(spark, monkeypatch
     got = [r for b in meeting._meet(5, 1)(iter(table.to_batches(max_chunksize=9))) for r in b.to_pylist() if r["aligned_matches"] is not None]
     for c in M.match_fingerprints(clips, q, i).collect():
         assert [tuple(x) for x in c["candidates"]] == [(r["song_id"], r["offset_frames"], r["aligned_matches"]) for r in got if r["clip_id"] == c["clip_id"]]
+
+
+def test_a_group_of_clips_is_held_in_few_bytes(monkeypatch):
+    import tracemalloc
+
+    from tracemark.operators import meeting
+
+    monkeypatch.setattr(meeting, "CHUNK", 1 << 14, raising=False)
+    draw = np.random.default_rng(4)
+    n_clips, n = 2_000, 300
+    rows_ = [meeting.pack(np.sort(draw.integers(0, 1 << 18, n)), draw.integers(0, 300, n), np.ones(n, np.int64)) for _ in range(n_clips)]
+    tracemalloc.start()
+    held = meeting.Clips(list(range(n_clips)), rows_, 5, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held.sent.tolist() == [n] * n_clips and peak < 32 * n_clips * n
+
+
+def test_held_clips_in_whole_numbers_and_in_columns(monkeypatch):
+    """Few repeats, many repeats, and numbers of more than 63 bits, against all pairs."""
+    from collections import Counter
+
+    from tracemark.operators import meeting
+
+    for chunk in (1 << 20, 3):
+        monkeypatch.setattr(meeting, "CHUNK", chunk)
+        for case, (hash_step, t_step, most) in {"whole": (1, 1, 2), "repeats": (1, 1, 9), "wide": (1 << 25, 1 << 25, 2)}.items():
+            draw = np.random.default_rng(5)
+            ids = [9, 7, 7, 1 << 40, -3]  # a clip comes in two parts
+
+            def row(size):
+                at = sorted({(int(h) * hash_step - hash_step, int(t) * t_step) for h, t in zip(draw.integers(0, 40, size), draw.integers(-9, 30, size))})
+                return np.array([h for h, _ in at]), np.array([t for _, t in at]), draw.integers(1, most, len(at))
+            clips, songs = [(c, row(60)) for c in ids], [(s, row(90)) for s in range(7)]
+            held = meeting.Clips([c for c, _ in clips], [meeting.pack(*r) for _, r in clips], 3, 0)
+            assert (held.whole is not None) == (case == "whole")
+            held.meet(np.arange(7), np.repeat(np.arange(7), [len(r[0]) for _, r in songs]), *(np.concatenate([r[k] for _, r in songs]) for k in range(3)))
+            got = [r for b in held.result(True) for r in b.to_pylist()]
+            sent, hits, found = Counter(), Counter(), Counter()
+            for c, (h, t, n) in clips:
+                sent[c] += int(n.sum())
+            for c in set(ids):
+                asked = {int(h) for k, (hs, _, _) in clips if k == c for h in hs}
+                hits[c] = sum(int(n) for _, r in songs for h, _, n in zip(*r) if int(h) in asked)
+                for k, r in clips:
+                    if k == c:
+                        for h, t, n in zip(*r):
+                            for s, (hs, ts, ns) in songs:
+                                for m in np.flatnonzero(hs == h):
+                                    found[c, s, int(ts[m] - t)] += int(n * ns[m])
+            assert {r["clip_id"]: (r["sent"], r["hits"]) for r in got if r["song_id"] is None} == {c: (sent[c], hits[c]) for c in set(ids)}
+            for c in set(ids):
+                best = sorted((-max(n for (k, q, _), n in found.items() if (k, q) == (c, s)), s) for s in range(7) if any(k == c and q == s for k, q, _ in found))[:3]
+                want = [(s, min(o for (k, q, o), n in found.items() if (k, q) == (c, s) and n == -worth), -worth) for worth, s in best]
+                assert sorted(((r["song_id"], r["offset_frames"], r["aligned_matches"]) for r in got if r["clip_id"] == c and r["song_id"] is not None), key=lambda x: (-x[2], x[0])) == want

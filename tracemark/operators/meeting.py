@@ -18,7 +18,9 @@ HELD = 1 << 24  # hashes of clips that a task holds, but for a clip that has mor
 CLIP_GROUPS = 2  # at least, so that a long song is the work of as many tasks
 SONG_GROUPS = 16
 AT_ONCE = 200_000  # hashes of songs that are looked up at once, but for a song that has more
-PAIRS = 1 << 22  # pairs that are made at once, but for those of a single hash of a song
+PAIRS = 1 << 20  # pairs that are made at once, but for those of a single hash of a song
+CHUNK = 1 << 20  # held rows that are gone through at once
+HEADER = 6  # whole numbers before the planes of packed rows: how many rows, first and last hash, least time, sum of times, widths and span of times
 NO_ID = np.iinfo(np.int64).min  # stands for null
 
 PACKED = "id long, rows binary"
@@ -64,13 +66,13 @@ def pack(hashes: np.ndarray, t: np.ndarray, times: np.ndarray) -> bytes:
     """Rows sorted by hash in bytes; times are how often each comes."""
     first, least = int(hashes[0]), int(t.min())
     (a, x), (b, y), (c, z) = _bytes(np.diff(hashes, prepend=first)), _bytes(t - least), _bytes(times - 1)
-    return np.array([len(hashes), first, least, a | b << 4 | c << 8], "<i8").tobytes() + x + y + z
+    return np.array([len(hashes), first, int(hashes[-1]), least, int(times.sum()), a | b << 4 | c << 8 | int(t.max()) - least << 12], "<i8").tobytes() + x + y + z
 
 
 def unpack(rows: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, first, least, widths = np.frombuffer(rows, "<i8", 4).tolist()
-    out, at = [], 32
-    for width in (widths & 15, widths >> 4 & 15, widths >> 8):
+    n, first, _, least, _, widths = np.frombuffer(rows, "<i8", HEADER).tolist()
+    out, at = [], 8 * HEADER
+    for width in (widths & 15, widths >> 4 & 15, widths >> 8 & 15):
         x = np.zeros((n, 4), np.uint8)
         x[:, :width] = np.frombuffer(rows, np.uint8, n * width, at).reshape(width, n).T
         out.append(x.view("<u4").ravel().astype(np.int64))
@@ -97,39 +99,78 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Clips:
-    """A group of clips, by hash, and the best songs so far of each."""
+    """A group of clips, by hash, and the best songs so far of each.
+
+    An executor has several tasks, which hold up to HELD rows each. So hash, clip and time of a row are one number of 8 bytes, sorted where it
+    lies, and a repeated row is there again. Rows that repeat often, or whose numbers need more bits, are held in columns with their times.
+    """
 
     def __init__(self, ids: list[int], rows: list[bytes], k: int, tolerance: int):
+        """rows is emptied."""
         self.k, self.tolerance = k, tolerance
         self.ids, number = np.unique(np.array(ids, np.int64), return_inverse=True)
-        parts = [unpack(r) for r in rows]
-        hashes, t, times = (np.concatenate([p[n] for p in parts]) for n in range(3))
-        clip = np.repeat(number, [len(p[0]) for p in parts])
-        self.sent = np.bincount(clip, times, len(self.ids)).astype(np.int64)
-        order = np.argsort(hashes * len(self.ids) + clip)
-        hashes, self.clip, self.t, self.times = hashes[order], clip[order].astype(np.int32), t[order].astype(np.int32), times[order].astype(np.int32)
-        new = np.append(True, hashes[1:] != hashes[:-1])
-        self.first = new | np.append(True, self.clip[1:] != self.clip[:-1])  # a clip's hash counts once for its hits
-        self.starts = np.flatnonzero(new)
-        self.hashes, self.starts = hashes[self.starts], np.append(self.starts, len(hashes))
-        self.plain = bool((self.times == 1).all())
-        self.met = np.zeros(len(hashes) + 1, np.int64)  # index rows by place, as differences
+        n, first, last, least, sent, span = np.array([np.frombuffer(r, "<i8", HEADER) for r in rows]).T
+        self.sent = np.zeros(len(self.ids), np.int64)
+        np.add.at(self.sent, number, sent)
+        self.low, self.t_low, self.t_high = int(first.min()), int(least.min()), int((least + (span >> 12)).max())
+        high = int(last.max())
+        self.clip_bits, self.t_bits = (len(self.ids) - 1).bit_length(), (self.t_high - self.t_low).bit_length()
+        self.whole = self.clip = self.t = self.times = None
+        if sent.sum() <= 2 * n.sum() and (high - self.low).bit_length() + self.clip_bits + self.t_bits < 64:
+            self.whole = np.empty(int(sent.sum()), np.int64)
+            end = 0
+            for m in range(len(rows)):
+                h, t, times = unpack(rows[m])
+                rows[m] = b""
+                one = (h - self.low << self.clip_bits | int(number[m])) << self.t_bits | (t - self.t_low)
+                end += int(sent[m])
+                self.whole[end - int(sent[m]):end] = one if sent[m] == n[m] else np.repeat(one, times)
+            self.whole.sort()
+            hash_of, size = self._hash_of, len(self.whole)
+        else:
+            parts = [unpack(r) for r in rows]
+            hashes, t, times = (np.concatenate([p[m] for p in parts]) for m in range(3))
+            clip = np.repeat(number, n)
+            order = np.lexsort((clip, hashes))
+            hashes, self.clip, self.t, self.times = hashes[order], clip[order].astype(np.int32), t[order].astype(np.int32), times[order]
+            hash_of, size = hashes.__getitem__, len(hashes)
+        rows.clear()
+        kind, place = (np.int32 if abs(self.low) < 1 << 31 and abs(high) < 1 << 31 else np.int64), np.int32 if size < 1 << 31 else np.int64
+        found, starts = [], []
+        for a in range(0, size, CHUNK):
+            h = hash_of(slice(max(0, a - 1), a + CHUNK))  # and the one before
+            new = np.append([True] if a == 0 else [], h[1:] != h[:-1]).astype(bool)
+            h = h if a == 0 else h[1:]
+            found.append(h[new].astype(kind))
+            starts.append((np.flatnonzero(new) + a).astype(place))
+        self.hashes, self.starts = np.concatenate(found), np.append(np.concatenate(starts), place(size))
+        self.met = np.zeros(len(self.hashes), np.int64)  # index rows of each hash
         self.least, self.least_song = np.zeros(len(self.ids), np.int64), np.full(len(self.ids), np.iinfo(np.int64).max)
         self.best: tuple = (np.empty(0, np.int64),) * 4
         self.more: list[tuple] = []
         self.n_more = 0
 
+    def _hash_of(self, place) -> np.ndarray:
+        return (self.whole[place] >> self.clip_bits + self.t_bits) + self.low
+
+    def rows(self, place) -> tuple[np.ndarray, np.ndarray]:
+        """Clip, as its place in ids, and time."""
+        if self.whole is None:
+            return self.clip[place].astype(np.int64), self.t[place].astype(np.int64)
+        one = self.whole[place]
+        return one >> self.t_bits & (1 << self.clip_bits) - 1, (one & (1 << self.t_bits) - 1) + self.t_low
+
     def meet(self, songs: np.ndarray, number: np.ndarray, hashes: np.ndarray, t: np.ndarray, times: np.ndarray) -> None:
         """Whole songs, with the rows of each in sequence: number is a row's place in songs."""
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
-        some = self.hashes[at] == hashes
-        at, number, t, times = at[some], number[some], t[some], times[some]
+        some = np.flatnonzero((hashes >= self.hashes[0]) & (hashes <= self.hashes[-1]))
+        at = np.searchsorted(self.hashes, hashes[some].astype(self.hashes.dtype))
+        equal = self.hashes[at] == hashes[some]
+        at, some = at[equal], some[equal]
+        number, t, times = number[some], t[some], times[some]
         if not len(at):
             return
-        start, end = self.starts[at], self.starts[at + 1]
-        np.add.at(self.met, start, times)
-        np.subtract.at(self.met, end, times)
+        start, end = self.starts[at].astype(np.int64), self.starts[at + 1].astype(np.int64)
+        np.add.at(self.met, at, times)
         done = np.cumsum(end - start)
         last = np.append(np.flatnonzero(number[1:] != number[:-1]), len(number) - 1)  # rows where a song ends
         a = 0
@@ -142,8 +183,8 @@ class Clips:
 
     def _songs(self, songs, number, start, end, t, times) -> None:
         first = int(number[0])
-        low = int(t.min()) - int(self.t.max())
-        width = int(t.max()) - int(self.t.min()) - low + self.tolerance + 2
+        low = int(t.min()) - self.t_high
+        width = int(t.max()) - self.t_low - low + self.tolerance + 2
         n_songs = int(number[-1]) - first + 1
         if n_songs > 1 and len(self.ids) * n_songs * width >= 1 << 62:  # numbers would not hold it
             cut = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
@@ -156,8 +197,9 @@ class Clips:
             n = (end - start)[a:b]
             row = np.repeat(np.arange(a, b), n)
             place = np.arange(len(row)) + np.repeat(start[a:b] - (np.cumsum(n) - n), n)
-            key = (self.clip[place].astype(np.int64) * n_songs + (number[row] - first)) * width + (t[row] - self.t[place] - low)
-            parts.append(_counted(key, None if self.plain and (times[a:b] == 1).all() else times[row] * self.times[place]))
+            clip, at = self.rows(place)
+            key = (clip * n_songs + (number[row] - first)) * width + (t[row] - at - low)
+            parts.append(_counted(key, None if self.times is None and (times[a:b] == 1).all() else times[row] if self.times is None else times[row] * self.times[place]))
             a = b
             if len(parts) > 1 and len(parts[-1][0]) >= len(parts[0][0]) or a >= len(start) and len(parts) > 1:
                 parts = [_counted(*(np.concatenate(c) for c in zip(*parts)))]
@@ -199,9 +241,24 @@ class Clips:
         self.best = tuple(c[rank < self.k] for c in (clip, song, top, offset))
         self.more, self.n_more = [], 0
 
+    def _hits(self) -> np.ndarray:
+        """Index rows of each clip's hashes; a hash counts once in a clip."""
+        hits, size = np.zeros(len(self.ids), np.int64), int(self.starts[-1])
+        for a in range(0, size, CHUNK):
+            b = min(size, a + CHUNK)
+            one, end = (int(np.searchsorted(self.starts, self.starts.dtype.type(x), "right")) for x in (a, b - 1))
+            edges = np.clip(self.starts[one - 1:end + 1].astype(np.int64), a, b)
+            number = np.repeat(np.arange(one - 1, end), np.diff(edges))
+            clip = self.rows(slice(max(0, a - 1), b))[0]  # and the one before
+            new = np.append([True] if a == 0 else [], clip[1:] != clip[:-1]).astype(bool)
+            new[edges[:-1][self.starts[one - 1:end] >= a] - a] = True
+            clip = clip[len(clip) - (b - a):]
+            hits += np.bincount(clip[new], self.met[number[new]], len(self.ids)).astype(np.int64)
+        return hits
+
     def result(self, count_sent: bool) -> Iterator[pa.RecordBatch]:
         self.keep()
-        hits = np.bincount(self.clip, np.where(self.first, np.cumsum(self.met)[:-1], 0), len(self.ids)).astype(np.int64)
+        hits = self._hits()
         n, none = len(self.ids), np.ones(len(self.ids), bool)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
         names = [c.split()[0] for c in FOUND.split(", ")]
@@ -230,14 +287,14 @@ def _counted(key: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndar
 def _meet(k: int, tolerance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, clips = None, None
-        q: list[tuple] = []  # id and rows of clips, until their cell's first song comes
+        q: tuple[list, list] = [], []  # ids and rows of clips, until their cell's first song comes
         held: list[tuple] = []  # songs
         size = 0
 
         def met():
             nonlocal held, size, clips, q
-            if q:
-                clips, q = Clips([r[0] for r in q], [r[1] for r in q], k, tolerance), []
+            if q[0]:
+                clips, q = Clips(*q, k, tolerance), ([], [])
             if held and clips:
                 ids = np.array([r[0] for r in held], np.int64)
                 parts = [r[1] for r in held]
@@ -253,18 +310,20 @@ def _meet(k: int, tolerance: int):
             clips = None
 
         for batch in batches:
-            for g, h, side, key, rows in zip(*(batch.column(n).to_pylist() for n in range(5))):
+            packed = batch.column(4)
+            for m, (g, h, side, key) in enumerate(zip(*(batch.column(n).to_pylist() for n in range(4)))):
                 if (g, h) != cell:
                     yield from result()
                     cell = g, h
                 key = NO_ID if key is None else key
                 if side == 0:
-                    q.append((key, rows))
+                    q[0].append(key)
+                    q[1].append(packed[m].as_py())
                     continue
-                if q or size >= AT_ONCE and held[-1][0] != key:
+                if q[0] or size >= AT_ONCE and held[-1][0] != key:
                     met()
                 if clips:
-                    held.append((key, unpack(rows)))
+                    held.append((key, unpack(packed[m].as_py())))
                     size += len(held[-1][1][0])
         yield from result()
     return run
